@@ -77,7 +77,9 @@ def _likes(globs):
 def _regexes(column, patterns):
     if not patterns:
         return "true"
-    return "(" + " OR ".join(f"regexp_matches({column}, {quoted(p)})" for p in patterns) + ")"
+    # The end of the text is `\\Z` in our rules and `\\z` here.
+    tests = [f"regexp_matches({column}, {quoted(p.replace(chr(92) + 'Z', chr(92) + 'z'))})" for p in patterns]
+    return "(" + " OR ".join(tests) + ")"
 
 
 def applicable_sql(source, rules=None, name="applicable", by_path=True, by_content=True):

@@ -3,6 +3,8 @@
 import re
 from functools import reduce
 from operator import or_
+from re._constants import LITERAL, MAX_REPEAT, MIN_REPEAT, SUBPATTERN
+from re._parser import parse
 
 from pyspark.sql import functions as F
 
@@ -58,8 +60,41 @@ _UNICODE_SENSITIVE = re.compile(r"\\[wWdDsSbB]|\(\?[a-zA-Z]*i")
 def java_pattern(pattern):
     """A Python `re.search` pattern for Spark: only `\\n` ends a line, classes are Unicode-aware."""
     flags = "(?dU)" if _UNICODE_SENSITIVE.search(pattern) else "(?d)"
-    pattern = pattern.replace("(?P<", "(?<").replace(r"\Z", r"\z")
-    return flags + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern)
+    pattern = re.sub(r"(?s)\\(.)", lambda m: r"\z" if m[1] == "Z" else m[0], pattern)
+    return flags + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
+
+
+def _literal_runs(items):
+    """Texts that every match of a parsed pattern must contain."""
+    run = ""
+    for op, value in items:
+        if op is LITERAL:
+            run += chr(value)
+            continue
+        yield run
+        run = ""
+        if op is SUBPATTERN and not value[1] & re.IGNORECASE:
+            yield from _literal_runs(value[3])
+        elif op in (MAX_REPEAT, MIN_REPEAT) and value[0] > 0:
+            yield from _literal_runs(value[2])
+    yield run
+
+
+def required_literal(pattern):
+    """The longest text every match must contain, or an empty string if there is none to be sure of."""
+    try:
+        tree = parse(pattern)
+    except (re.error, OverflowError):
+        return ""
+    return "" if tree.state.flags & re.IGNORECASE else max(_literal_runs(tree), key=len)
+
+
+def regex_match(text, pattern):
+    """`re.search` as a predicate. A text without the pattern's fixed part is ruled out by a byte search,
+    which is far cheaper than decoding the text for the regex engine."""
+    literal = required_literal(pattern)
+    found = text.rlike(java_pattern(pattern))
+    return text.contains(literal) & found if literal else found
 
 
 def any_of(predicates):
@@ -73,4 +108,4 @@ def path_trigger(path, globs):
 
 def content_trigger(content, regexes):
     """True for no regexes, else if any regex is found in the text."""
-    return any_of([content.rlike(java_pattern(r)) for r in regexes]) if regexes else F.lit(True)
+    return any_of([regex_match(content, r) for r in regexes]) if regexes else F.lit(True)

@@ -9,15 +9,13 @@ _LINE_BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 # Blanks before a line end. The look-behind makes a long run of blanks cost one try, not one per blank.
 _BLANKS = r"[\s\x1C-\x1F&&[^\n]]"
 _TRAILING_BLANKS = rf"(?U)(?<!{_BLANKS}){_BLANKS}+(?=\n|\z)"
-_TRAILING_NEWLINES = r"(?<!\n)\n+\z"
 
 
 def normalize_text(content):
     """Unify line breaks, strip blanks at line ends and trailing blank lines, end with one newline."""
     text = F.regexp_replace(content, _LINE_BREAKS, "\n")
     text = F.regexp_replace(text, _TRAILING_BLANKS, "")
-    text = F.regexp_replace(text, _TRAILING_NEWLINES, "")
-    return F.concat(text, F.lit("\n"))
+    return F.concat(F.rtrim(text, F.lit("\n")), F.lit("\n"))
 
 
 def short_sha(text, chars):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rulelens.functions.findings import findings_to_json
 from rulelens.functions.text import content_hash, rules_hash
-from rulelens.plans.joins import lookup_join
+from rulelens.plans.joins import keep_listed, lookup_join
 from rulelens.schemas import CACHE, CACHE_KEY, DEFAULT_TTL_HOURS
 
 
@@ -45,13 +45,15 @@ def fresh_entries(cache, as_of, ttl_hours=DEFAULT_TTL_HOURS):
 def triage(keyed, cache=None, as_of=None, ttl_hours=DEFAULT_TTL_HOURS):
     """Status per row: `skip` (no rule applies), `cached` (a fresh verdict exists) or `analyze`.
 
-    Only keys are joined: rows without rules never meet the cache, and no text or finding is shuffled.
+    Only keys are joined: rows without rules never meet the cache, and no text or finding is shuffled. For a
+    small batch the cache is cut to the batch's keys at its scan. `keyed` should be a stored table; the cache
+    may hold several entries per key.
     """
     with_rules = F.size("rule_ids") > 0
     if cache is None:
         return keyed.withColumn("status", F.when(with_rules, "analyze").otherwise("skip"))
-    fresh = latest_entries(fresh_entries(cache, as_of, ttl_hours).select(*CACHE_KEY, "created_at"))
-    known = fresh.select(*CACHE_KEY, F.lit(True).alias("_known"))
+    entries = fresh_entries(cache, as_of, ttl_hours).select(*CACHE_KEY)
+    known = keep_listed(entries, keyed.select(*CACHE_KEY), CACHE_KEY).distinct().withColumn("_known", F.lit(True))
     skipped = keyed.filter(~with_rules).withColumn("status", F.lit("skip"))
     looked_up = lookup_join(keyed.filter(with_rules), known, CACHE_KEY, "left").withColumn(
         "status", F.when(F.col("_known"), "cached").otherwise("analyze")
@@ -61,7 +63,8 @@ def triage(keyed, cache=None, as_of=None, ttl_hours=DEFAULT_TTL_HOURS):
 
 def cache_lookup(keyed, cache, as_of, ttl_hours=DEFAULT_TTL_HOURS):
     """Rows with a fresh verdict, with the stored `findings` and `created_at`."""
-    fresh = latest_entries(fresh_entries(cache, as_of, ttl_hours))
+    fresh = fresh_entries(cache, as_of, ttl_hours)
+    fresh = latest_entries(keep_listed(fresh, keyed.select(*CACHE_KEY), CACHE_KEY))
     return lookup_join(keyed.filter(F.size("rule_ids") > 0), fresh, CACHE_KEY, "inner")
 
 

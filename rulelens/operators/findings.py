@@ -101,7 +101,7 @@ def attach_snippet(findings, corpus):
     many findings is split over tasks. `findings` is read several times, so pass a stored table.
     """
     texts = corpus.select("path", F.col("content").alias("_content"))
-    reviewed = keep_listed(texts, findings.select("path").distinct(), ["path"])
+    reviewed = keep_listed(texts, findings.select("path"), ["path"])
     joined = lookup_join(
         findings.drop("snippet"), reviewed, ["path"], "left", spread=("issue_id",), rows_per_task=100_000
     )

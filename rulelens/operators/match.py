@@ -73,7 +73,9 @@ def match_rules(corpus, rules, strategy="auto"):
     if strategy == "auto":
         strategy = "columns" if len(rules) <= MAX_COMPILED_RULES else "python"
     if strategy == "columns":
-        return corpus.withColumn("rule_ids", rule_ids_column(F.col("path"), F.col("content"), rules))
+        ids = rule_ids_column(F.col("path"), F.col("content"), rules)
+        # A generated column is computed once: later filters on it cannot be pushed down into a second copy.
+        return corpus.withColumn("rule_ids", F.explode(F.array(ids)))
     schema = StructType([*corpus.schema.fields, StructField("rule_ids", STRINGS)])
     return corpus.mapInPandas(_match_batches(rules), schema)
 
@@ -119,8 +121,8 @@ def detect_lines(corpus, rules):
     found = lines.select(
         "path",
         (F.col("_pos") + 1).cast("int").alias("start_line"),
-        F.explode(F.array_compact(F.array(*hits))).alias("rule_id"),
-    )
+        F.explode_outer(F.array_compact(F.array(*hits))).alias("rule_id"),
+    ).filter("rule_id is not null")
     table = rules_df(spark, rules).select(
         "rule_id",
         "level",

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulelens.functions.findings import with_issue_id
+from rulelens.functions.patterns import any_of
 from rulelens.functions.text import estimate_tokens
 from rulelens.schemas import (
     ANSWER,
@@ -80,7 +81,6 @@ def canned_scorer(responses):
             F.lit(None).cast("string").alias("error"),
         )
 
-    scored.is_expression = True
     return scored
 
 
@@ -123,7 +123,6 @@ def python_scorer(answer):
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
         return F.pandas_udf(run, SCORED).asNondeterministic()(prompt)
 
-    scored.is_expression = False
     return scored
 
 
@@ -137,89 +136,86 @@ def parse_answer(json):
     return F.from_json(json, ANSWER, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": ANSWER_CORRUPT})
 
 
+def _issue_fields(issue):
+    """The fields of one issue, with defaults for the optional ones."""
+    fields = {name: issue[name] for name in ("rule_id", "level", "title", "why", "do")}
+    fields["start_line"] = issue["location"]["start_line"]
+    fields["end_line"] = issue["location"]["end_line"]
+    fields["confidence"] = F.coalesce(issue["confidence"], F.lit(DEFAULT_CONFIDENCE))
+    fields["tags"] = F.coalesce(issue["tags"], F.array().cast("array<string>"))
+    return fields
+
+
+_PARSED_FIELDS = ["rule_id", "level", "start_line", "end_line", "title", "why", "do", "confidence", "tags"]
+
+
+def _explode_issues(parsed):
+    rows = parsed.select("path", F.posexplode("_parsed.issues").alias("ordinal", "_i"))
+    fields = _issue_fields(F.col("_i"))
+    return rows.select("path", "ordinal", *[fields[name].alias(name) for name in _PARSED_FIELDS])
+
+
 def parse_responses(rows, json_col="response_json"):
     """One row per issue of each answer, as the model gave it, with its position; nothing is checked."""
-    parsed = rows.select("path", F.posexplode(parse_answer(F.col(json_col))["issues"]).alias("pos", "i"))
-    return parsed.select(
-        "path",
-        F.col("pos").alias("ordinal"),
-        "i.rule_id",
-        "i.level",
-        F.col("i.location.start_line").alias("start_line"),
-        F.col("i.location.end_line").alias("end_line"),
-        "i.title",
-        "i.why",
-        "i.do",
-        F.coalesce("i.confidence", F.lit(DEFAULT_CONFIDENCE)).alias("confidence"),
-        F.coalesce("i.tags", F.array().cast("array<string>")).alias("tags"),
-    )
+    return _explode_issues(rows.select("path", parse_answer(F.col(json_col)).alias("_parsed")))
 
 
-def answer_fault(json, error=None):
+def answer_fault(parsed, json, error=None):
     """Why a whole answer is rejected, or null: a failed call, bad JSON, a missing or out-of-range field."""
-    parsed = parse_answer(json)
     issues = parsed["issues"]
 
     def lacks_field(i):
         needed = [i["rule_id"], i["level"], i["location"]["start_line"], i["title"], i["why"], i["do"]]
-        missing = needed[0].isNull()
-        for field in needed[1:]:
-            missing = missing | field.isNull()
-        return missing
+        return any_of([field.isNull() for field in needed])
 
     def bad_confidence(i):
-        return (i["confidence"] < 0) | (i["confidence"] > 1)
+        return F.coalesce((i["confidence"] < 0) | (i["confidence"] > 1), F.lit(False))
 
     fault = (
         F.when(json.isNull() | parsed[ANSWER_CORRUPT].isNotNull(), "malformed")
         .when(F.exists(issues, lacks_field), "missing_field")
         .when(F.exists(issues, lambda i: F.length(i["title"]) > MAX_TITLE_CHARS), "title_too_long")
-        .when(F.exists(issues, lambda i: F.coalesce(bad_confidence(i), F.lit(False))), "confidence_range")
+        .when(F.exists(issues, bad_confidence), "confidence_range")
     )
     return fault if error is None else F.when(error.isNotNull(), "call_failed").otherwise(fault)
 
 
+def check_answers(rows, json_col="response_json", error_col=None):
+    """Add `_parsed` and `fault` to rows with an answer text; the text is parsed once."""
+    error = F.col(error_col) if error_col else None
+    parsed = rows.withColumn("_parsed", parse_answer(F.col(json_col)))
+    return parsed.withColumn("fault", answer_fault(F.col("_parsed"), F.col(json_col), error))
+
+
 def validate_findings(rows, json_col="response_json", error_col=None):
     """`(good, rejected)`: findings of valid answers, and a quarantine table with reasons.
 
     A fault anywhere rejects its whole answer (`ordinal` is null); an unknown level drops that one finding.
     """
-    error = F.col(error_col) if error_col else None
-    checked = rows.select("path", json_col, answer_fault(F.col(json_col), error).alias("reject_reason"))
-    found = parse_responses(checked.filter("reject_reason is null"), json_col)
+    checked = check_answers(rows, json_col, error_col)
+    found = _explode_issues(checked.filter("fault is null"))
     known = F.col("level").isin(LEVELS)
-    whole = checked.filter("reject_reason is not null").select(
-        "path", F.lit(None).cast("int").alias("ordinal"), "reject_reason"
+    whole = checked.filter("fault is not null").select(
+        "path", F.lit(None).cast("int").alias("ordinal"), F.col("fault").alias("reject_reason")
     )
     single = found.filter(~known).select("path", "ordinal", F.lit("unknown_level").alias("reject_reason"))
     return found.filter(known), whole.unionByName(single)
 
 
-def finding_array(json, path, pack, error=None):
-    """Array of flat findings of one answer; empty if the answer is rejected, without unknown levels."""
-    parsed = parse_answer(json)
-    valid = F.filter(parsed["issues"], lambda i: i["level"].isin(LEVELS))
-
-    def to_finding(i):
-        given = {
-            "path": path,
-            "start_line": i["location"]["start_line"],
-            "end_line": i["location"]["end_line"],
-            "pack": F.lit(pack),
-            "source": F.lit("llm"),
-            "confidence": F.coalesce(i["confidence"], F.lit(DEFAULT_CONFIDENCE)),
-            "tags": F.coalesce(i["tags"], F.array().cast("array<string>")),
-        }
-        for name in ("rule_id", "level", "title", "why", "do"):
-            given[name] = i[name]
-        fields = [f for f in FINDINGS.fields if f.name != "issue_id"]
-        return F.struct(
-            *[given.get(f.name, F.lit(None).cast(f.dataType)).cast(f.dataType).alias(f.name) for f in fields]
-        )
+_FLAT = T.StructType([f for f in FINDINGS.fields if f.name != "issue_id"])
+
+
+def finding_array(pack):
+    """Flat findings of a checked answer as an array; empty for a faulty one, without unknown levels."""
+
+    def to_finding(issue):
+        given = _issue_fields(issue) | {"path": F.col("path"), "pack": F.lit(pack), "source": F.lit("llm")}
+        columns = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in _FLAT.fields]
+        return F.struct(*columns)
 
-    empty = F.array().cast(T.ArrayType(T.StructType([f for f in FINDINGS.fields if f.name != "issue_id"])))
-    ok = answer_fault(json, error).isNull() & valid.isNotNull()
-    return F.when(ok, F.transform(valid, to_finding)).otherwise(empty)
+    valid = F.filter("_parsed.issues", lambda i: i["level"].isin(LEVELS))
+    found = F.when(F.col("fault").isNull(), F.transform(valid, to_finding))
+    return F.coalesce(found, F.array().cast(T.ArrayType(_FLAT)))
 
 
 def explode_findings(rows, array_col="findings"):

@@ -115,7 +115,7 @@ CHAT = Pack(
         rules_from_records(
             [
                 _rule(
-                    "chat/short-turn", "Very short turn", "minor", ["chat/*"], [r"\A[^\n]{0,40}\z"],
+                    "chat/short-turn", "Very short turn", "minor", ["chat/*"], [r"\A[^\n]{0,40}\Z"],
                     ["chat"], "A turn this short carries little.", ["Drop the turn"],
                 ),
                 _rule(

@@ -23,7 +23,7 @@ from rulelens.operators.findings import (
 from rulelens.operators.match import match_rules
 from rulelens.operators.score import run_meta, summary
 from rulelens.operators.scorer import (
-    answer_fault,
+    check_answers,
     explode_findings,
     finding_array,
     score_with,
@@ -104,14 +104,12 @@ def _with_snippets(findings, content):
 def _score_rows(rows, rules, scorer, opts):
     """Call the scorer once per row and keep its answer, findings and fault in a stored table."""
     answered = score_with(with_prompt(rows, rules, opts.language), scorer)
-    json, error = F.col("answer.response_json"), F.col("answer.error")
-    found = finding_array(json, F.col("path"), opts.pack_name, error)
+    answered = answered.select("path", "content", "file_hash", "rules_hash", "answer.*")
+    found = finding_array(opts.pack_name)
     if opts.snippets:
         found = _with_snippets(found, F.col("content"))
-    kept = answered.select(
-        "path", "file_hash", "rules_hash", "answer.*", found.alias("findings"), answer_fault(json, error).alias("fault")
-    )
-    return materialize(kept, "scored")
+    checked = check_answers(answered, "response_json", "error").withColumn("findings", found)
+    return materialize(checked.drop("content", "_parsed"), "scored")
 
 
 def _cached_findings(keyed, cache, opts):
@@ -178,7 +176,7 @@ def review(corpus, rules, scorer, opts, cache=None):
     if prices is None:
         prices = corpus.sparkSession.createDataFrame([], "model string, prompt_price double, completion_price double")
     usage = usage_rows(calls, opts.run_id, opts.as_of, opts.model, opts.pack_name, prices)
-    _, rejected = validate_findings(scored, "response_json", "error")
+    _, rejected = validate_findings(scored.drop("findings", "fault"), "response_json", "error")
     return ReviewResult(
         findings=findings,
         summary=summary(findings),

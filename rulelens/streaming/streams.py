@@ -4,7 +4,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from rulelens.operators.cache import latest_entries
 from rulelens.plans.review import review
 from rulelens.schemas import CACHE
 
@@ -39,7 +38,7 @@ def review_batches(rules, scorer, options_for, out):
     def run(batch, batch_id):
         spark = batch.sparkSession
         stored = _read_or_empty(spark, f"{out}/cache", _STORED_CACHE)
-        cache = latest_entries(stored.filter(F.col("batch_id") < batch_id).select(CACHE.fieldNames()))
+        cache = stored.filter(F.col("batch_id") < batch_id).select(CACHE.fieldNames())
         result = review(batch, rules, scorer, options_for(batch_id), cache)
         for name in ("findings", "new_cache", "usage"):
             folder = "cache" if name == "new_cache" else name

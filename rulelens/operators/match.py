@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from rulelens.functions.findings import with_issue_id
-from rulelens.functions.patterns import content_trigger, path_trigger
+from rulelens.functions.patterns import content_trigger, path_trigger, sql_text
 from rulelens.schemas import FINDING_COLUMNS, FINDINGS, MAX_TITLE_CHARS, STRINGS
 from rulelens.sources.rules import rules_df
 
@@ -23,18 +23,23 @@ def _by_globs(rules):
     return groups
 
 
+def _hits(tests):
+    """SQL for the array of ids whose test holds; `tests` are `(predicate, id)`."""
+    cases = ", ".join(f"CASE WHEN {test} THEN {sql_text(rule_id)} END" for test, rule_id in tests)
+    return f"array_compact(array({cases}))"
+
+
 def rule_ids_column(path, content, rules):
-    """Sorted array of the ids of all rules that apply. Each distinct glob list is tested once per row, and
-    the regexes behind it only where it matches."""
-    arrays = []
-    for globs, group in _by_globs(rules).items():
-        ids = F.array_compact(
-            F.array(*[F.when(content_trigger(content, r.code_patterns), F.lit(r.rule_id)) for r in group])
-        )
-        arrays.append(F.when(path_trigger(path, globs), ids).otherwise(F.array().cast(STRINGS)))
-    if not arrays:
-        return F.array().cast(STRINGS)
-    return F.array_sort(F.concat(*arrays)) if len(arrays) > 1 else F.array_sort(arrays[0])
+    """Sorted array of the ids of all rules that apply, from two column names. Each distinct glob list is
+    tested once per row, and the regexes behind it only where it matches."""
+    none = "cast(array() AS array<string>)"
+    arrays = [
+        f"CASE WHEN {path_trigger(path, globs)} THEN "
+        + _hits((content_trigger(content, r.code_patterns), r.rule_id) for r in group)
+        + f" ELSE {none} END"
+        for globs, group in _by_globs(rules).items()
+    ]
+    return F.expr(f"array_sort(concat({', '.join(arrays)}))" if arrays else none)
 
 
 def _match_batches(rules):
@@ -73,7 +78,7 @@ def match_rules(corpus, rules, strategy="auto"):
     if strategy == "auto":
         strategy = "columns" if len(rules) <= MAX_COMPILED_RULES else "python"
     if strategy == "columns":
-        ids = rule_ids_column(F.col("path"), F.col("content"), rules)
+        ids = rule_ids_column("path", "content", rules)
         # A generated column is computed once: later filters on it cannot be pushed down into a second copy.
         return corpus.withColumn("rule_ids", F.explode(F.array(ids)))
     schema = StructType([*corpus.schema.fields, StructField("rule_ids", STRINGS)])
@@ -109,19 +114,15 @@ def detect_lines(corpus, rules):
     if not rules:
         return spark.createDataFrame([], FINDINGS)
     groups = list(_by_globs(rules).items())
-    active = [path_trigger(F.col("path"), globs).alias(f"_on{i}") for i, (globs, _) in enumerate(groups)]
-    lines = corpus.select(
-        "path", *active, F.posexplode(F.split("content", "\n")).alias("_pos", "_line")
-    )
-    hits = [
-        F.when(F.col(f"_on{i}") & content_trigger(F.col("_line"), rule.code_patterns), F.lit(rule.rule_id))
+    active = [F.expr(path_trigger("path", globs)).alias(f"_on{i}") for i, (globs, _) in enumerate(groups)]
+    lines = corpus.select("path", *active, F.posexplode(F.split("content", "\n")).alias("_pos", "_line"))
+    hits = _hits(
+        (f"_on{i} AND {content_trigger('_line', rule.code_patterns)}", rule.rule_id)
         for i, (_, group) in enumerate(groups)
         for rule in group
-    ]
+    )
     found = lines.select(
-        "path",
-        (F.col("_pos") + 1).cast("int").alias("start_line"),
-        F.explode_outer(F.array_compact(F.array(*hits))).alias("rule_id"),
+        "path", (F.col("_pos") + 1).cast("int").alias("start_line"), F.explode_outer(F.expr(hits)).alias("rule_id")
     ).filter("rule_id is not null")
     table = rules_df(spark, rules).select(
         "rule_id",

@@ -32,7 +32,7 @@ def changed_rows(old, new, globs=None, exclude=None, keep_removed=False):
     if not keep_removed:
         out = out.filter("change <> 'removed'")
     if globs:
-        out = out.filter(path_trigger(F.col("path"), globs))
+        out = out.filter(path_trigger("path", globs))
     return exclude_paths(out, exclude or [])
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rulelens.functions.patterns import any_of, glob_match
+from rulelens.functions.patterns import any_of, path_trigger
 from rulelens.schemas import IGNORED_DIRS
 from rulelens.sources.files import read_text_files
 
@@ -74,15 +74,12 @@ def exclude_paths(df, globs, base=None, path="path"):
         prefix = base.rstrip("/") + "/"
         full = F.when(full.startswith(prefix), F.substring(full, len(prefix) + 1, 1 << 30)).otherwise(full)
     parts = _components(full)
-
-    def hit(text):
-        return any_of([glob_match(text, g) for g in globs])
-
     parents = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")
     )
-    root_hit = any_of([glob_match(F.lit("."), g) for g in globs])
-    return df.filter(~(F.exists(parts, hit) | F.exists(parents, hit) | root_hit))
+    # Components, the path and all its parents, and the root they end in.
+    names = df.withColumn("_names", F.concat(parts, parents, F.array(F.lit("."))))
+    return names.filter(f"NOT exists(_names, n -> {path_trigger('n', globs)})").drop("_names")
 
 
 def include_paths(df, roots, path="path"):

@@ -103,8 +103,7 @@ def read_text_files(spark, path, glob="*.py"):
             deep = spark.createDataFrame([(d,) for d in directories], "path string")
             deep = deep.repartition(len(directories), "path")
             listed = listed.union(deep.mapInPandas(_list_files(uri, tuple(IGNORED_DIRS)), "path string"))
-        name = F.substring_index("path", "/", -1)
-        listed = listed.filter(glob_match(name, glob))
+        listed = listed.filter(glob_match("substring_index(path, '/', -1)", glob))
         base = info.path.rstrip("/")
     read = listed.repartition("path").mapInPandas(_read_files(uri), _CONTENT)
     return read.withColumn("path", F.substring(F.col("path"), len(base) + 2, 1 << 30))

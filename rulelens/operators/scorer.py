@@ -160,6 +160,25 @@ def parse_responses(rows, json_col="response_json"):
     return _explode_issues(rows.select("path", parse_answer(F.col(json_col)).alias("_parsed")))
 
 
+_TEXT_LIST = ["ARRAY<STRING>", "ARRAY<VOID>"]
+
+
+def _wrong_types(variant):
+    """Whether a field of any issue has another JSON type than text, list of texts or number; the typed parse
+    alone would turn a number into text and could not tell null from absent."""
+
+    def type_of(value, field):
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant")), F.lit("absent"))
+
+    def odd(issue):
+        texts = [~type_of(issue, name).isin("STRING", "VOID", "absent") for name in ("rule_id", "level", "title", "why")]
+        lists = [~type_of(issue, name).isin(*_TEXT_LIST, "absent") for name in ("do", "tags")]
+        return any_of([*texts, *lists, type_of(issue, "confidence") == "VOID"])
+
+    issues = F.try_variant_get(variant, "$.issues", "array<variant>")
+    return F.coalesce(F.exists(issues, odd), F.lit(False)) | (type_of(variant, "issues") == "VOID")
+
+
 def answer_fault(parsed, json, error=None):
     """Why a whole answer is rejected, or null: a failed call, bad JSON, a missing or out-of-range field."""
     issues = parsed["issues"]
@@ -171,8 +190,14 @@ def answer_fault(parsed, json, error=None):
     def bad_confidence(i):
         return F.coalesce((i["confidence"] < 0) | (i["confidence"] > 1), F.lit(False))
 
+    def has_gap(texts):
+        return F.coalesce(F.exists(texts, lambda t: t.isNull()), F.lit(False))
+
+    variant = F.try_parse_json(json)
+    no_object = ~F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))
     fault = (
-        F.when(json.isNull() | parsed[ANSWER_CORRUPT].isNotNull(), "malformed")
+        F.when(no_object | parsed[ANSWER_CORRUPT].isNotNull(), "malformed")
+        .when(_wrong_types(variant) | F.exists(issues, lambda i: has_gap(i["do"]) | has_gap(i["tags"])), "wrong_type")
         .when(F.exists(issues, lacks_field), "missing_field")
         .when(F.exists(issues, lambda i: F.length(i["title"]) > MAX_TITLE_CHARS), "title_too_long")
         .when(F.exists(issues, bad_confidence), "confidence_range")

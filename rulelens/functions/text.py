@@ -43,8 +43,8 @@ def line_count(content):
 
 def split_lines(content):
     """Array of lines at any line boundary, without an empty last line after a final break."""
-    lines = F.split(F.regexp_replace(content, _LINE_BREAKS, "\n"), "\n")
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    text = F.regexp_replace(F.regexp_replace(content, _LINE_BREAKS, "\n"), r"\n\z", "")
+    return F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
 
 
 def estimate_tokens(text):
@@ -52,9 +52,11 @@ def estimate_tokens(text):
     return F.floor(F.length(text) / 4).cast("bigint")
 
 
-def snippet(content, start_line, end_line=None, context=SNIPPET_CONTEXT_LINES):
-    """Numbered lines around a range; `>` marks the lines inside it. End 0 or null means the start."""
-    lines = split_lines(content)
+def snippet(lines, start_line, end_line=None, context=SNIPPET_CONTEXT_LINES):
+    """Numbered lines around a range; `>` marks the lines inside it. End 0 or null means the start.
+
+    `lines` is a column of split_lines, which is worth storing in a column of its own if it is used often.
+    """
     end = start_line if end_line is None else F.coalesce(F.nullif(end_line, F.lit(0)), start_line)
     first = F.greatest(F.lit(0), start_line - F.lit(context + 1))
     last = F.least(F.size(lines), end + F.lit(context))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rulelens.functions.findings import level_rank
 from rulelens.functions.patterns import any_of
-from rulelens.functions.text import snippet
+from rulelens.functions.text import snippet, split_lines
 from rulelens.plans.joins import keep_listed, lookup_join
 from rulelens.schemas import MAX_FINDINGS_PER_PATH
 
@@ -100,13 +100,13 @@ def attach_snippet(findings, corpus):
     If few paths have findings, all other texts are dropped at the scan and never shuffled; a path with very
     many findings is split over tasks. `findings` is read several times, so pass a stored table.
     """
-    texts = corpus.select("path", F.col("content").alias("_content"))
+    texts = corpus.select("path", split_lines(F.col("content")).alias("_lines"))
     reviewed = keep_listed(texts, findings.select("path"), ["path"])
     joined = lookup_join(
         findings.drop("snippet"), reviewed, ["path"], "left", spread=("issue_id",), rows_per_task=100_000
     )
-    text = snippet(F.col("_content"), F.col("start_line"), F.col("end_line"))
-    return joined.withColumn("snippet", text).drop("_content").select(findings.columns)
+    text = snippet(F.col("_lines"), F.col("start_line"), F.col("end_line"))
+    return joined.withColumn("snippet", text).drop("_lines").select(findings.columns)
 
 
 def enrich_findings(findings, rules):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulelens.functions.findings import cached_form, with_issue_id
-from rulelens.functions.text import snippet
+from rulelens.functions.text import snippet, split_lines
 from rulelens.operators.cache import cache_lookup, latest_entries, triage, with_cache_key
 from rulelens.operators.findings import (
     all_findings,
@@ -94,9 +94,9 @@ def _rows_to_score(corpus, matched, chosen, opts, cached):
     return corpus.join(F.broadcast(keys) if bounded else keys, "path")
 
 
-def _with_snippets(findings, content):
+def _with_snippets(findings, lines):
     def fill(x):
-        return x.withField("snippet", snippet(content, x["start_line"], x["end_line"]))
+        return x.withField("snippet", snippet(lines, x["start_line"], x["end_line"]))
 
     return F.transform(findings, fill)
 
@@ -107,9 +107,10 @@ def _score_rows(rows, rules, scorer, opts):
     answered = answered.select("path", "content", "file_hash", "rules_hash", "answer.*")
     found = finding_array(opts.pack_name)
     if opts.snippets:
-        found = _with_snippets(found, F.col("content"))
-    checked = check_answers(answered, "response_json", "error").withColumn("findings", found)
-    return materialize(checked.drop("content", "_parsed"), "scored")
+        answered = answered.withColumn("_lines", split_lines(F.col("content")))
+        found = _with_snippets(found, F.col("_lines"))
+    checked = check_answers(answered.drop("content"), "response_json", "error").withColumn("findings", found)
+    return materialize(checked.drop("_lines", "_parsed"), "scored")
 
 
 def _cached_findings(keyed, cache, opts):

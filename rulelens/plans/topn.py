@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from rulelens.plans.storage import materialize
 
-# Up to here a top-n is one sorted take; beyond it the rows are cut by range.
-SMALL_N = 100_000
+# Up to here a top-n is one sorted take, where every task hands its own first n rows to a single last task;
+# beyond it the rows are cut by range.
+SMALL_N = 1_000
 
 
 def first_n(df, n, order, small_n=SMALL_N):

@@ -46,7 +46,10 @@ def findings_document(findings, meta=None, n=MAX_FINDINGS_PER_PATH):
 
 
 def findings_jsonl(findings, summary):
-    """JSON lines: one summary line, then one line per finding. `ordinal` 0 marks the summary."""
+    """JSON lines: one summary line, then one line per finding. `ordinal` 0 marks the summary.
+
+    The summary is the first partition, so written parts start with it and no finding has to be moved.
+    """
     head = summary.select(
         F.lit(0).alias("ordinal"),
         F.to_json(
@@ -61,7 +64,7 @@ def findings_jsonl(findings, summary):
             {"ignoreNullFields": "false"},
         ).alias("value"),
     )
-    return head.unionByName(lines)
+    return head.coalesce(1).unionByName(lines)
 
 
 def _issue_fields():
@@ -70,8 +73,8 @@ def _issue_fields():
 
 
 def write_jsonl(lines, folder):
-    """Write JSON lines as text parts; the first part starts with the summary line."""
-    lines.sort("ordinal").select("value").write.text(folder)
+    """Write JSON lines as text parts in partition order."""
+    lines.select("value").write.text(folder)
 
 
 def write_documents(documents, folder):

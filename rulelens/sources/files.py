@@ -7,8 +7,10 @@ pyarrow inside tasks: directories are listed in parallel, then the files are spr
 from pyspark.sql import functions as F
 
 from rulelens.functions.patterns import glob_match
+from rulelens.plans.storage import materialize
 from rulelens.schemas import CORPUS, IGNORED_DIRS
 
+_LISTING = "path string, size long"
 _CONTENT = "path string, content string"
 
 
@@ -27,13 +29,16 @@ def _frontier(fs, root, wanted):
             for info in fs.get_file_info(FileSelector(directory)):
                 if _ignored(info.base_name):
                     continue
-                (below if info.type == FileType.Directory else files).append(info.path)
+                if info.type == FileType.Directory:
+                    below.append(info.path)
+                else:
+                    files.append((info.path, info.size))
         level = below
     return level, files
 
 
 def _list_files(uri, ignored_dirs):
-    """Tasks: one row per directory in, one row per file below it out."""
+    """Tasks: one row per directory in, one `(path, size)` row per file below it out."""
 
     def run(batches):
         import pandas as pd
@@ -49,8 +54,11 @@ def _list_files(uri, ignored_dirs):
                         name = info.base_name
                         if name in ignored_dirs or (name.startswith(".") and name not in (".", "..")):
                             continue
-                        (pending if info.type == FileType.Directory else found).append(info.path)
-                    yield pd.DataFrame({"path": found}, dtype=object)
+                        if info.type == FileType.Directory:
+                            pending.append(info.path)
+                        else:
+                            found.append((info.path, info.size))
+                    yield pd.DataFrame(found, columns=["path", "size"])
 
     return run
 
@@ -93,22 +101,28 @@ def read_text_files(spark, path, glob="*.py"):
     if info.type == FileType.NotFound:
         return empty
     if info.type == FileType.File:
-        listed = spark.createDataFrame([(info.path,)], "path string")
+        listed = spark.createDataFrame([(info.path, info.size)], _LISTING)
         base = info.path.rpartition("/")[0]
     else:
-        wanted = 2 * spark.sparkContext.defaultParallelism
-        directories, files = _frontier(fs, info.path, wanted)
-        listed = spark.createDataFrame([(f,) for f in files], "path string")
+        directories, files = _frontier(fs, info.path, 2 * spark.sparkContext.defaultParallelism)
+        listed = spark.createDataFrame(files, _LISTING)
         if directories:
             deep = spark.createDataFrame([(d,) for d in directories], "path string")
             deep = deep.repartition(len(directories), "path")
-            listed = listed.union(deep.mapInPandas(_list_files(uri, tuple(IGNORED_DIRS)), "path string"))
-        listed = listed.filter(glob_match("substring_index(path, '/', -1)", glob))
+            listed = listed.union(deep.mapInPandas(_list_files(uri, tuple(IGNORED_DIRS)), _LISTING))
+        listed = materialize(listed.filter(glob_match("substring_index(path, '/', -1)", glob)), "files")
         base = info.path.rstrip("/")
-    read = listed.repartition("path").mapInPandas(_read_files(uri), _CONTENT)
+    read = listed.select("path").repartition(_read_tasks(listed), "path").mapInPandas(_read_files(uri), _CONTENT)
     return read.withColumn("path", F.substring(F.col("path"), len(base) + 2, 1 << 30))
 
 
+def _read_tasks(listed, task_bytes=128 << 20, task_files=10_000):
+    """Number of read tasks: paths are short, so their own size would put far too many files into one task."""
+    files, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    cores = listed.sparkSession.sparkContext.defaultParallelism
+    return max(cores, size // task_bytes + 1, files // task_files + 1)
+
+
 def with_corpus_defaults(df):
     """Add the optional corpus columns (`is_new` false, no hunks) where they are missing."""
     defaults = {"is_new": F.lit(False), "hunks": F.array().cast(CORPUS["hunks"].dataType)}

@@ -37,6 +37,10 @@ def review_batches(rules, scorer, options_for, out):
 
     def run(batch, batch_id):
         spark = batch.sparkSession
+        cores = spark.sparkContext.defaultParallelism
+        if batch.rdd.getNumPartitions() < cores:
+            # Fewer splits than cores: what arrived is small, spread it.
+            batch = batch.repartition(cores, "path")
         stored = _read_or_empty(spark, f"{out}/cache", _STORED_CACHE)
         cache = stored.filter(F.col("batch_id") < batch_id).select(CACHE.fieldNames())
         result = review(batch, rules, scorer, options_for(batch_id), cache)
@@ -53,9 +57,24 @@ def stream_review(corpus_stream, rules, scorer, options_for, out, checkpoint):
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _first_in_batch(key):
+    """Tasks: drop repeats of a key inside each Arrow batch."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.drop_duplicates(key)
+
+    return run
+
+
 def stream_dedup(findings_stream, delay="1 hour", event_time="detected_at"):
-    """First finding per id among those that arrive within the delay; state is dropped behind the watermark."""
-    return findings_stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["issue_id"])
+    """First finding per id among those that arrive within the delay; state is dropped behind the watermark.
+
+    Repeats are first thinned out where they are read, since streaming dedup sends every row of an id to the
+    one task that holds its state.
+    """
+    thinned = findings_stream.mapInPandas(_first_in_batch("issue_id"), findings_stream.schema)
+    return thinned.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["issue_id"])
 
 
 def stream_usage(calls_stream, delay="10 minutes", window="1 day"):

@@ -70,9 +70,9 @@ def test_snippet(spark):
     text = "\n".join(f"line {i}" for i in range(1, 12_004)) + "\n"
     cases = [(1, None), (1, 0), (2, 2), (5, 7), (12_002, None), (12_003, 12_009), (13_000, None), (3, None)]
     df = spark.createDataFrame([(i, text, s, e) for i, (s, e) in enumerate(cases)], "i int, c string, s int, e int")
-    got = df.select("i", snippet(F.col("c"), F.col("s"), F.col("e"))).orderBy("i").collect()
+    got = df.select("i", snippet(split_lines(F.col("c")), F.col("s"), F.col("e"))).orderBy("i").collect()
     assert [r[1] for r in got] == [plain_snippet(text, s, e) for s, e in cases]
-    assert df.limit(1).select(snippet(F.lit("a\nb"), F.lit(2))).first()[0] == "     1 | a\n>    2 | b"
+    assert df.limit(1).select(snippet(split_lines(F.lit("a\nb")), F.lit(2))).first()[0] == "     1 | a\n>    2 | b"
 
 
 def test_tokens(spark):

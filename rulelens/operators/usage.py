@@ -49,10 +49,12 @@ def usage_rows(calls, run_id, timestamp, model, pack, prices):
     return price_calls(rows, prices).select(USAGE.fieldNames())
 
 
-def append_usage(rows, path):
-    """Append to the log, partitioned by day so that time windows prune folders."""
-    dated = rows.withColumn("day", F.to_date("timestamp"))
-    dated.write.mode("append").partitionBy("day").parquet(path)
+def append_usage(rows, path, run_id):
+    """Add the rows of a run to the log: one folder per run, replaced if the run is repeated.
+
+    All rows of a run share a timestamp, so a time window skips other runs by their file statistics.
+    """
+    rows.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
 
 
 def conform_log(log):

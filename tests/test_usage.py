@@ -64,13 +64,13 @@ def test_rows_are_priced_and_stable(spark):
     assert usage_rows(calls, "r", NOW, "unknown", "k", prices).first()["cost_usd"] == 0.0
 
 
-def test_old_logs_conform_and_appends_are_partitioned(spark):
+def test_old_logs_conform_and_repeated_appends_change_nothing(spark):
     df = log(spark, [("a", 1, "m", 1, 1, 0.0, 0), ("b", 2, "m", 1, 1, 0.0, 0)])
     old = df.withColumns({"prompt_text": F.lit("x"), "response_text": F.lit("y")})
     assert conform_log(old).columns == conform_log(conform_log(old)).columns == USAGE.fieldNames()
     assert conform_log(old).count() == 2
     folder = run_dir(spark, "usage")
-    append_usage(df, folder)
-    append_usage(df, folder)
+    for run_id in ("one", "two", "one"):
+        append_usage(df, folder, run_id)
     back = spark.read.parquet(folder)
-    assert back.count() == 4 and "day" in back.columns and conform_log(back).count() == 4
+    assert back.count() == 4 and conform_log(back).columns == USAGE.fieldNames()

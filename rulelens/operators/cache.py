@@ -11,12 +11,14 @@ from rulelens.schemas import CACHE, CACHE_KEY, DEFAULT_TTL_HOURS
 def with_cache_key(matched, salt=None):
     """Add `file_hash` and `rules_hash` to rows that have `content` and `rule_ids`.
 
-    The key ignores rule texts; pass a `salt` (say, a rule-set version) to invalidate on those too.
+    A row without rules is never looked up, so its text is not hashed and `file_hash` is null. The key ignores
+    rule texts; pass a `salt` (say, a rule-set version) to invalidate on those too.
     """
     ids = F.col("rule_ids")
     if salt is not None:
         ids = F.concat(ids, F.array(F.lit(f"salt={salt}")))
-    return matched.withColumns({"file_hash": content_hash(F.col("content")), "rules_hash": rules_hash(ids)})
+    file_hash = F.when(F.size("rule_ids") > 0, content_hash(F.col("content")))
+    return matched.withColumns({"file_hash": file_hash, "rules_hash": rules_hash(ids)})
 
 
 def _instant(value):

@@ -42,13 +42,15 @@ def mark_new(df, baseline):
     return df.join(known, "path", "left").withColumn("is_new", F.col("_known").isNull()).drop("_known")
 
 
-_HUNK_HEADER = r"@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@"
-_HUNK_FIELDS = r"\A@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@([^\n]*)"
+# A hunk starts at `@@ -<old range> +<new range> @@`; the split keeps what follows `@@ -`.
+_HUNK_START = r"\n@@ -(?=\d+(?:,\d+)? \+\d+(?:,\d+)? @@)"
+_HUNK_FIELDS = r"\A\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@([^\n]*)"
 
 
 def hunks_of(patch):
     """Array of hunks of one unified diff: new-side range, header text, context and added lines."""
-    chunks = F.filter(F.split(patch, rf"(?:\A|\n)(?={_HUNK_HEADER})"), lambda c: c.rlike(r"\A" + _HUNK_HEADER))
+    pieces = F.split(F.concat(F.lit("\n"), patch), _HUNK_START)
+    chunks = F.slice(pieces, 2, F.size(pieces))
 
     def to_hunk(chunk):
         start = F.regexp_extract(chunk, _HUNK_FIELDS, 1).cast("int")

@@ -1,4 +1,4 @@
-"""The verdict cache, built from every third document, against the whole corpus."""
+"""The verdict cache, built from all documents over 30 days, against the same corpus."""
 
 from pyspark.sql import functions as F
 
@@ -56,9 +56,9 @@ def _entry_findings():
     return F.array(F.struct(*[given[n].alias(n) for n in CACHED_FINDING.fieldNames()]))
 
 
-def log_of_entries(keyed, hours=_HOURS, where="doc_id % 3 = 0"):
-    """Cache entries of some documents; copies of a text give several entries with one key."""
-    entries = keyed.filter(f"size(rule_ids) > 0 and {where}")
+def log_of_entries(keyed, hours=_HOURS, min_rules=1):
+    """Cache entries of all documents with rules; copies of a text give several entries with one key."""
+    entries = keyed.filter(F.size("rule_ids") >= min_rules)
     created = F.expr(f"timestamp'{_FIRST}' + make_interval(0, 0, 0, 0, {hours})")
     return entries.withColumns({"findings": _entry_findings(), "created_at": created}).select(CACHE.fieldNames())
 
@@ -74,9 +74,9 @@ KEYED = f"""WITH {DOCS}, {applicable_sql('docs')}, keyed AS (
   FROM docs d LEFT JOIN applicable a ON a.path = d.path GROUP BY d.path)"""
 
 
-def entries_sql(name, hours=_HOURS, where="doc_id % 3 = 0"):
+def entries_sql(name, hours=_HOURS, min_rules=1):
     return f"""{name} AS (SELECT file_hash, rules_hash, first_rule, path AS entry_path, 'stored ' || doc_id AS title,
-  TIMESTAMP '{_FIRST}' + to_hours(CAST({hours} AS INTEGER)) AS created_at FROM keyed WHERE rules > 0 AND {where})"""
+  TIMESTAMP '{_FIRST}' + to_hours(CAST({hours} AS INTEGER)) AS created_at FROM keyed WHERE rules >= {min_rules})"""
 
 
 CACHE_SQL = f"""{KEYED}, {entries_sql('entries')}, cache AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
@@ -140,12 +140,13 @@ def statuses(spark, sf):
     return document_statuses(spark, sf).select("path", "status", F.size("rule_ids").cast("bigint").alias("rules"))
 
 
+# A later review of the documents that have more than one rule.
 _NEWER = "doc_id * 11 % 900"
 
 
 @query(
     "cache_upsert",
-    f"""{CACHE_SQL}, {entries_sql('newer', _NEWER, 'doc_id % 4 = 0')}, both_sides AS (
+    f"""{CACHE_SQL}, {entries_sql('newer', _NEWER, 2)}, both_sides AS (
   SELECT *, 0 AS is_new FROM cache UNION ALL SELECT *, 1 FROM newer),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY file_hash, rules_hash
   ORDER BY is_new DESC, created_at DESC, entry_path DESC) AS rn FROM both_sides)
@@ -153,7 +154,7 @@ SELECT file_hash, rules_hash, title, {_SEEN} FROM ranked WHERE rn = 1""",
 )
 def upserted(spark, sf):
     keyed = keyed_documents(spark, sf)
-    return _entry(cache_put(document_cache(keyed), log_of_entries(keyed, _NEWER, "doc_id % 4 = 0")))
+    return _entry(cache_put(document_cache(keyed), log_of_entries(keyed, _NEWER, 2)))
 
 
 @query(

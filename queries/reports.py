@@ -37,12 +37,10 @@ _LANG = ("lang", "split_part(path, '/', 2)")
 
 @query(
     "score_total",
-    f"""{FINDINGS} SELECT CAST(greatest(0, 100 - coalesce(sum({WEIGHT}), 0)) AS BIGINT) AS score FROM findings
-WHERE rule_id = 'privacy/phone' AND path LIKE 'src7/%'""",
+    f"""{FINDINGS} SELECT CAST(greatest(0, 100 - coalesce(sum({WEIGHT}), 0)) AS BIGINT) AS score FROM findings""",
 )
 def total(spark, sf):
-    found = document_findings(spark, sf)
-    return score(found.filter("rule_id = 'privacy/phone' and path like 'src7/%'"))
+    return score(document_findings(spark, sf))
 
 
 _SCORED = f"""CAST(count(DISTINCT d.path) AS BIGINT) AS corpus_rows, CAST(count(f.issue_id) AS BIGINT) AS findings,

@@ -7,7 +7,6 @@ from queries.cache import CACHE_SQL, document_cache, keyed_documents
 from queries.changes import _LATER, later
 from queries.usage import PRICES
 from rulelens.operators.scorer import canned_scorer
-from rulelens.operators.usage import price_table
 from rulelens.plans.review import Options, review, review_changed
 from rulelens.plans.storage import materialize
 
@@ -63,13 +62,13 @@ def _plain(findings):
     return findings.select("path", "rule_id", "level", F.col("start_line").cast("bigint"), "title", "issue_id")
 
 
-def options(spark, **changed):
+def options(**changed):
     given = {
         "as_of": AS_OF,
         "run_id": "run-1",
         "pack_name": PACK_NAME,
         "model": "acme/deep",
-        "prices": price_table(spark, PRICES),
+        "prices": PRICES,
         "budget": None,
     }
     return Options(**{**given, **changed})
@@ -78,7 +77,7 @@ def options(spark, **changed):
 def review_with_cache(spark, sf, **changed):
     keyed = keyed_documents(spark, sf)
     cache = materialize(document_cache(keyed), "cache")
-    return review(documents(spark, sf), RULES, SCORER, options(spark, budget=60, **changed), cache)
+    return review(documents(spark, sf), RULES, SCORER, options(budget=60, **changed), cache)
 
 
 _BUDGETED = f"""{CACHE_SQL}, hit AS (SELECT k.path, f.first_rule AS rule_id, 'minor' AS level, 1 AS start_line, f.title
@@ -100,7 +99,7 @@ def review_documents(spark, sf):
 SELECT {_OUT} FROM fresh_findings WHERE rule_id LIKE '%legal%'""",
 )
 def review_filtered(spark, sf):
-    opts = options(spark, rule_filter=("legal",), disabled_rules=("general/reviewed",))
+    opts = options(rule_filter=("legal",), disabled_rules=("general/reviewed",))
     return _plain(review(documents(spark, sf), RULES, SCORER, opts).findings)
 
 
@@ -146,7 +145,7 @@ SELECT {_OUT.replace('path,', 'f.path,', 1).replace('|| path ||', '|| f.path ||'
 FROM fresh_findings f JOIN snips s ON s.path = f.path""",
 )
 def review_pages(spark, sf):
-    found = review(pages(spark, sf), RULES, SCORER, options(spark)).findings
+    found = review(pages(spark, sf), RULES, SCORER, options()).findings
     return found.select(
         "path",
         "rule_id",
@@ -160,7 +159,7 @@ def review_pages(spark, sf):
 
 @query("review_chats", f"WITH {CHATS}, {applicable_sql('chats')}, {_answers_sql('chats')} SELECT {_OUT} FROM fresh_findings")
 def review_chats(spark, sf):
-    return _plain(review(chats(spark, sf), RULES, SCORER, options(spark)).findings)
+    return _plain(review(chats(spark, sf), RULES, SCORER, options()).findings)
 
 
 @query(
@@ -170,5 +169,5 @@ def review_chats(spark, sf):
 SELECT {_OUT} FROM fresh_findings""",
 )
 def review_of_changes(spark, sf):
-    result = review_changed(documents(spark, sf), later(spark, sf), RULES, SCORER, options(spark))
+    result = review_changed(documents(spark, sf), later(spark, sf), RULES, SCORER, options())
     return _plain(result.findings)

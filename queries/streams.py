@@ -27,7 +27,7 @@ def reviewed_stream(spark, sf):
     home = run_dir(spark, "stream-review")
     corpus = documents_corpus(_stream(spark, sf, "documents"))
     running = stream_review(
-        corpus, RULES, SCORER, lambda batch_id: options(spark, run_id=f"batch-{batch_id}"), f"{home}/out", f"{home}/ck"
+        corpus, RULES, SCORER, lambda batch_id: options(run_id=f"batch-{batch_id}"), f"{home}/out", f"{home}/ck"
     )
     running.awaitTermination()
     return _plain(spark.read.schema(FINDINGS_SCHEMA).parquet(f"{home}/out/findings"))

@@ -136,7 +136,7 @@ def rows(spark, sf):
         F.lit(3).alias("duration_ms"),
         (size % 5).alias("issues_found"),
     )
-    log = usage_rows(calls, "run-1", AS_OF, "acme/deep", "prose", price_table(spark, PRICES))
+    log = usage_rows(calls, "run-1", AS_OF, "acme/deep", "prose", PRICES)
     return log.select(
         "id",
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),

@@ -84,36 +84,37 @@ def canned_scorer(responses):
     return scored
 
 
-def python_scorer(answer):
+def python_scorer(answer, batch_size=32):
     """Wrap `answer(prompts) -> list of JSON texts` as a plug for `score_with`.
 
-    It runs on Arrow batches, as many at a time as there are tasks; only the prompt travels to Python, and a
-    failing batch is reported in `error` instead of ending the job.
+    It is called with up to `batch_size` prompts, as many calls at a time as there are tasks; only the prompt
+    travels to Python. A failing call is reported in the `error` of its own rows and does not end the job.
     """
 
-    def run(batches):
+    def call(prompts):
         import time
 
+        began = time.monotonic()
+        try:
+            texts, error = list(answer(prompts)), None
+            if len(texts) != len(prompts):
+                raise ValueError("a scorer must return one answer per prompt")
+        except Exception as failure:
+            texts, error = [None] * len(prompts), repr(failure)
+        spent = int((time.monotonic() - began) * 1000) // len(prompts)
+        return [(t, len(p) // 4, len(t or "") // 4, spent, error) for p, t in zip(prompts, texts)]
+
+    names = SCORED.fieldNames()
+
+    def run(batches):
         import pandas as pd
 
-        for prompts in batches:
-            began = time.monotonic()
-            try:
-                texts, error = list(answer(list(prompts))), None
-                if len(texts) != len(prompts):
-                    raise ValueError("a scorer must return one answer per prompt")
-            except Exception as failure:
-                texts, error = [None] * len(prompts), repr(failure)
-            spent = int((time.monotonic() - began) * 1000) // max(1, len(prompts))
-            yield pd.DataFrame(
-                {
-                    "response_json": pd.Series(texts, dtype=object),
-                    "prompt_tokens": [len(p) // 4 for p in prompts],
-                    "completion_tokens": [len(t or "") // 4 for t in texts],
-                    "duration_ms": [spent] * len(prompts),
-                    "error": pd.Series([error] * len(prompts), dtype=object),
-                }
-            )
+        for batch in batches:
+            prompts = list(batch)
+            starts = range(0, len(prompts), batch_size)
+            rows = [row for i in starts for row in call(prompts[i : i + batch_size])]
+            texts = {name: object for name in ("response_json", "error")}
+            yield pd.DataFrame(rows, columns=names).astype(texts)
 
     def scored(prompt):
         from collections.abc import Iterator

@@ -28,25 +28,30 @@ def price_calls(calls, prices):
     return priced.drop("prompt_price", "completion_price")
 
 
-def usage_rows(calls, run_id, timestamp, model, pack, prices):
-    """Log rows for scored rows (`path`, token counts, `duration_ms`, `issues_found`).
+def usage_rows(calls, run_id, timestamp, model, pack, prices=None):
+    """Log rows for scored rows (`path`, token counts, `duration_ms`, `issues_found`), all of one model.
 
-    The id is a hash of run and path, so writing a run again gives the same ids.
+    `prices` is `{model: (prompt price, completion price)}`; a given `cost_usd` wins, an unknown model costs
+    nothing. The id is a hash of run and path, so writing a run again gives the same ids.
     """
-    rows = calls.select(
+    prompt_price, completion_price = (prices or {}).get(model, (0.0, 0.0))
+    prompt, completion = F.col("prompt_tokens").cast("bigint"), F.col("completion_tokens").cast("bigint")
+    given = F.col("cost_usd") if "cost_usd" in calls.columns else F.lit(None).cast("double")
+    estimated = prompt * F.lit(float(prompt_price)) + completion * F.lit(float(completion_price))
+    return calls.select(
         short_sha(F.concat_ws("|", F.lit(run_id), F.col("path")), HASH_CHARS).alias("id"),
         F.lit(timestamp).cast("timestamp").alias("timestamp"),
         F.lit(model).alias("model"),
         F.lit(pack).alias("pack"),
         F.array("path").alias("files"),
-        F.col("prompt_tokens").cast("bigint"),
-        F.col("completion_tokens").cast("bigint"),
-        (F.col("prompt_tokens") + F.col("completion_tokens")).cast("bigint").alias("total_tokens"),
-        F.col("duration_ms").cast("bigint"),
-        F.col("issues_found").cast("bigint"),
+        prompt.alias("prompt_tokens"),
+        completion.alias("completion_tokens"),
+        (prompt + completion).alias("total_tokens"),
+        F.coalesce(given, estimated).alias("cost_usd"),
+        F.col("duration_ms").cast("bigint").alias("duration_ms"),
+        F.col("issues_found").cast("bigint").alias("issues_found"),
         F.lit(False).alias("cached"),
     )
-    return price_calls(rows, prices).select(USAGE.fieldNames())
 
 
 def append_usage(rows, path, run_id):

@@ -47,7 +47,7 @@ class Options:
     pack_name: str = "none"
     model: str = "canned/1"
     language: str = "en"
-    prices: DataFrame | None = None
+    prices: dict | None = None
     budget: int | None = DEFAULT_BUDGET
     ttl_hours: int = DEFAULT_TTL_HOURS
     rule_filter: tuple = ()
@@ -173,10 +173,7 @@ def review(corpus, rules, scorer, opts, cache=None):
     )
     new_cache = latest_entries(passed).select(CACHE.fieldNames())
     calls = scored.withColumn("issues_found", F.size("findings"))
-    prices = opts.prices
-    if prices is None:
-        prices = corpus.sparkSession.createDataFrame([], "model string, prompt_price double, completion_price double")
-    usage = usage_rows(calls, opts.run_id, opts.as_of, opts.model, opts.pack_name, prices)
+    usage = usage_rows(calls, opts.run_id, opts.as_of, opts.model, opts.pack_name, opts.prices)
     _, rejected = validate_findings(scored.drop("findings", "fault"), "response_json", "error")
     return ReviewResult(
         findings=findings,

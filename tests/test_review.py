@@ -6,7 +6,6 @@ from helpers import sha
 
 from rulelens.operators.scorer import canned_scorer, python_scorer
 from rulelens.operators.spans import python_spans
-from rulelens.operators.usage import price_table
 from rulelens.plans.review import Options, apply_budget, changed_corpus, review, review_changed
 from rulelens.schemas import CACHE, FINDING_COLUMNS
 from rulelens.sources.rules import Rule
@@ -60,8 +59,7 @@ def test_empty_corpus(spark, corpus, empty_cache):
 @pytest.mark.parametrize("budget", [None, 10])
 @pytest.mark.parametrize("with_cache", [True, False])
 def test_first_run(spark, corpus, empty_cache, budget, with_cache):
-    prices = price_table(spark, {"m": (1.0, 1.0)})
-    opts = options(budget=budget, prices=prices)
+    opts = options(budget=budget, prices={"m": (1.0, 1.0)})
     result = review(corpus(ROWS), RULES, SCORER, opts, empty_cache if with_cache else None)
     assert plain(result.findings) == ALL and result.findings.columns == FINDING_COLUMNS
     assert meta(result) == (5, 1, 0, 4, 0) and result.rejected.count() == result.deferred.count() == 0

@@ -100,10 +100,13 @@ def test_python_scorer_quarantines_a_failing_batch(spark):
             raise RuntimeError("no answer")
         return ["{}" for _ in prompts]
 
-    df = spark.createDataFrame([("fine", 1), ("boom", 2)], "prompt string, k int").repartition(2, "k")
-    spread = df.withColumn("path", F.col("prompt")).repartitionByRange(2, "k")
-    rows = score_with(spread, python_scorer(answer)).select("path", "answer.*").collect()
+    df = spark.createDataFrame([("fine",), ("boom",), ("good",)], "path string").coalesce(1).withColumn("prompt", F.col("path"))
+    rows = score_with(df, python_scorer(answer, batch_size=1)).select("path", "answer.*").collect()
     got = {r["path"]: (r["response_json"], r["error"]) for r in rows}
-    assert got["fine"] == ("{}", None) and got["boom"][0] is None and "no answer" in got["boom"][1]
+    assert got["fine"] == got["good"] == ("{}", None) and got["boom"][0] is None and "no answer" in got["boom"][1]
+    whole = score_with(df, python_scorer(answer)).select("answer.error").collect()
+    assert all("no answer" in r["error"] for r in whole)
+    short = score_with(df, python_scorer(lambda prompts: [])).select("answer.error").first()
+    assert "one answer per prompt" in short["error"]
     flat = spark.createDataFrame([("x", None, "E")], "path string, response_json string, error string")
     assert validate_findings(flat, "response_json", "error")[1].first()["reject_reason"] == "call_failed"

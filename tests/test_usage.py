@@ -9,6 +9,7 @@ from rulelens.operators.usage import (
     cost_by_model,
     cost_summary,
     find_call,
+    price_calls,
     price_table,
     recent_calls,
     usage_rows,
@@ -56,12 +57,20 @@ def test_recent_and_find(spark):
 
 def test_rows_are_priced_and_stable(spark):
     calls = spark.createDataFrame([("p", 10, 4, 7, 2)], "path string, prompt_tokens int, completion_tokens int, duration_ms int, issues_found int")
-    prices = price_table(spark, {"m": (0.5, 0.25)})
+    prices = {"m": (0.5, 0.25)}
     one = usage_rows(calls, "r", NOW, "m", "k", prices).first()
     assert one["cost_usd"] == 6.0 and one["total_tokens"] == 14 and one["files"] == ["p"] and not one["cached"]
     assert usage_rows(calls, "r", NOW, "m", "k", prices).first()["id"] == one["id"]
     assert usage_rows(calls, "r2", NOW, "m", "k", prices).first()["id"] != one["id"]
     assert usage_rows(calls, "r", NOW, "unknown", "k", prices).first()["cost_usd"] == 0.0
+    given = calls.withColumn("cost_usd", F.lit(2.5))
+    assert usage_rows(given, "r", NOW, "m", "k", prices).first()["cost_usd"] == 2.5
+
+
+def test_pricing_a_log(spark):
+    df = log(spark, [("a", 1, "m", 2, 4, None, 0), ("b", 1, "other", 2, 4, None, 0), ("c", 1, "m", 2, 4, 9.0, 0)])
+    got = price_calls(df, price_table(spark, {"m": (0.5, 0.25)})).collect()
+    assert {r["id"]: r["cost_usd"] for r in got} == {"a": 2.0, "b": 0.0, "c": 9.0}
 
 
 def test_old_logs_conform_and_repeated_appends_change_nothing(spark):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rulelens.llm.bpe import encode_decode
 from rulelens.llm.quality import METRICS, metrics_sql, quality_rules
+from rulelens.llm.substrings import substring_dedup, substring_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -42,3 +43,12 @@ def op8_byte_bpe(spark, sf):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op10_substring_dedup",
+    f"WITH {substring_sql('documents')} SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM parsed",
+)
+def op10_substring_dedup(spark, sf):
+    parsed = substring_dedup(table(spark, sf, "documents"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

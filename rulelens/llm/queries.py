@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from rulelens.llm.bpe import encode_decode
+from rulelens.llm.jaccard import jaccard_components, jaccard_sql
 from rulelens.llm.quality import METRICS, metrics_sql, quality_rules
 from rulelens.llm.substrings import substring_dedup, substring_sql
 
@@ -52,3 +53,8 @@ def op8_byte_bpe(spark, sf):
 def op10_substring_dedup(spark, sf):
     parsed = substring_dedup(table(spark, sf, "documents"))
     return parsed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op4_ngram_jaccard", f"WITH RECURSIVE {jaccard_sql('documents')} SELECT * FROM joined")
+def op4_ngram_jaccard(spark, sf):
+    return jaccard_components(table(spark, sf, "documents"))

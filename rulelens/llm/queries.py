@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from rulelens.llm.bpe import encode_decode
+from rulelens.llm.decontaminate import contaminated, phrase_matches, phrase_sql
 from rulelens.llm.jaccard import jaccard_components, jaccard_sql
 from rulelens.llm.quality import METRICS, metrics_sql, quality_rules
 from rulelens.llm.substrings import substring_dedup, substring_sql
@@ -58,3 +59,19 @@ def op10_substring_dedup(spark, sf):
 @query("op4_ngram_jaccard", f"WITH RECURSIVE {jaccard_sql('documents')} SELECT * FROM joined")
 def op4_ngram_jaccard(spark, sf):
     return jaccard_components(table(spark, sf, "documents"))
+
+
+@query(
+    "op9_decontamination",
+    f"""WITH {phrase_sql('documents', 'benchmark')}
+SELECT doc_id, n_words, n_hit, n_items, sha256(items) AS items_sha256, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated
+FROM hits""",
+)
+def op9_decontamination(spark, sf):
+    found = phrase_matches(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("hit_items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "hit_items").cast("binary"), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"),
+    )

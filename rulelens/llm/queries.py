@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rulelens.llm.bpe import encode_decode
 from rulelens.llm.decontaminate import contaminated, phrase_matches, phrase_sql
+from rulelens.llm.hosts import url_filter, url_filter_sql
 from rulelens.llm.jaccard import jaccard_components, jaccard_sql
 from rulelens.llm.quality import METRICS, metrics_sql, quality_rules
 from rulelens.llm.substrings import substring_dedup, substring_sql
@@ -75,3 +76,21 @@ def op9_decontamination(spark, sf):
         F.sha2(F.concat_ws(",", "hit_items").cast("binary"), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
     )
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+# A page's label is that of the document whose number stands after the language in its path.
+PAGE_KEY = "://[^/?#]+/[a-z]+/([0-9]{1,18})"
+
+
+@query(
+    "op2_url_filters",
+    f"""WITH marked AS (SELECT doc_id AS key, quality = 0 AS bad FROM labels WHERE quality IS NOT NULL),
+{url_filter_sql('pages', 'marked', URL_RULES, f"TRY_CAST(regexp_extract(url, '{PAGE_KEY}', 1) AS BIGINT)")}
+SELECT * FROM judged""",
+)
+def op2_url_filters(spark, sf):
+    labels = table(spark, sf, "labels").filter("quality is not null")
+    labels = labels.select(F.col("doc_id").alias("key"), (F.col("quality") == 0).alias("bad"))
+    key = lambda url: F.regexp_extract(url, PAGE_KEY, 1).try_cast("bigint")
+    return url_filter(table(spark, sf, "pages"), labels, URL_RULES, key=key)

@@ -7,6 +7,7 @@ from rulelens.llm.bpe import encode_decode
 from rulelens.llm.decontaminate import contaminated, phrase_matches, phrase_sql
 from rulelens.llm.hosts import url_filter, url_filter_sql
 from rulelens.llm.jaccard import jaccard_components, jaccard_sql
+from rulelens.llm.langid import fit, predict, read_pieces
 from rulelens.llm.quality import METRICS, metrics_sql, quality_rules
 from rulelens.llm.substrings import substring_dedup, substring_sql
 
@@ -94,3 +95,16 @@ def op2_url_filters(spark, sf):
     labels = labels.select(F.col("doc_id").alias("key"), (F.col("quality") == 0).alias("bad"))
     key = lambda url: F.regexp_extract(url, PAGE_KEY, 1).try_cast("bigint")
     return url_filter(table(spark, sf, "pages"), labels, URL_RULES, key=key)
+
+
+def fold(parts):
+    """Remainder of the crc32 of the id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@query("op1_language_id")
+def op1_language_id(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    pieces = read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    languages, prob = fit(docs.filter(fold(5) != 0), pieces)
+    return predict(docs, pieces, languages, prob).select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")

@@ -3,6 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from rulelens.llm import classifier
 from rulelens.llm.bpe import encode_decode
 from rulelens.llm.decontaminate import contaminated, phrase_matches, phrase_sql
 from rulelens.llm.hosts import url_filter, url_filter_sql
@@ -108,3 +109,14 @@ def op1_language_id(spark, sf):
     pieces = read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     languages, prob = fit(docs.filter(fold(5) != 0), pieces)
     return predict(docs, pieces, languages, prob).select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    weights = classifier.fit(docs, labels.filter(fold(4) != 2))
+    scored = classifier.score(docs, weights)
+    return scored.select(
+        "doc_id", (fold(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )

@@ -3,8 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rulelens.llm import classifier
+from rulelens.llm import classifier, lm
 from rulelens.llm.bpe import encode_decode
+from rulelens.llm.chat import preference_format, preference_sql
 from rulelens.llm.decontaminate import contaminated, phrase_matches, phrase_sql
 from rulelens.llm.hosts import url_filter, url_filter_sql
 from rulelens.llm.jaccard import jaccard_components, jaccard_sql
@@ -120,3 +121,35 @@ def op7_quality_classifier(spark, sf):
     return scored.select(
         "doc_id", (fold(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
     )
+
+
+@query(
+    "op3_chat_formatting",
+    f"""WITH pairs AS (
+  SELECT conv_id // 2 AS pair_id, min(conv_id) AS chosen, max(conv_id) AS rejected FROM conversations
+  WHERE conv_id IS NOT NULL GROUP BY 1 HAVING min(conv_id) < max(conv_id)),
+{preference_sql('conversations', 'pairs')}
+SELECT * FROM formatted""",
+)
+def op3_chat_formatting(spark, sf):
+    """Each conversation of an even id is preferred to the next one, where both are there."""
+    turns = table(spark, sf, "conversations")
+    pair = F.floor(F.col("conv_id") / 2).cast("bigint").alias("pair_id")
+    pairs = turns.groupBy(pair).agg(F.min("conv_id").alias("chosen"), F.max("conv_id").alias("rejected")).filter("chosen < rejected")
+    out = preference_format(turns, pairs)
+
+    def mask(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))), ",")
+
+    return out.select(
+        "pair_id", "n_prompt_turns", "prompt", "chosen", "rejected",
+        mask("chosen_spans").alias("chosen_mask"), mask("rejected_spans").alias("rejected_mask"),
+    )
+
+
+@query("op5_lm_scoring")
+def op5_lm_scoring(spark, sf):
+    """The target is what the labels call good and not toxic."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    good = table(spark, sf, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+    return lm.score(docs, lm.fit(docs, good))

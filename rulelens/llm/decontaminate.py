@@ -7,6 +7,7 @@ There the window is compared word by word. Column expressions only; nothing is d
 
 from pyspark.sql import functions as F
 
+from rulelens.llm.fence import fenced
 from rulelens.plans.storage import materialize
 
 WINDOW = 13
@@ -126,12 +127,13 @@ def phrase_matches(docs, items, window=WINDOW, id_col="doc_id", text_col="text")
     hit = F.coalesce(F.size(F.array_distinct(F.flatten(covered))), F.lit(0))
     ids = F.array_sort(F.array_distinct(F.transform("_found", lambda m: m["item_id"].cast("string"))))
     has = F.col("_found").isNotNull()
-    return rows.select(
-        *[F.col("_row")[f"c{i}"].alias(n) for i, n in enumerate(names)],
-        F.col("_n").cast("bigint").alias("n_words"),
-        F.when(has, hit).otherwise(0).cast("bigint").alias("n_hit"),
-        F.when(has, ids).otherwise(F.array().cast("array<string>")).alias("hit_items"),
-    )
+    rows = fenced(rows, ["_row"], {
+        "n_words": F.col("_n").cast("bigint"),
+        "n_hit": F.when(has, hit).otherwise(0).cast("bigint"),
+        "hit_items": F.when(has, ids).otherwise(F.array().cast("array<string>")),
+    })
+    own = [F.col("_row")[f"c{i}"].alias(n) for i, n in enumerate(names)]
+    return rows.select(*own, "n_words", "n_hit", "hit_items")
 
 
 def contaminated():

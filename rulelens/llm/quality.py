@@ -4,6 +4,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
+from rulelens.llm.fence import fenced
+
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -54,8 +56,8 @@ def _failed(rules):
     return F.expr(" OR ".join(rule.sql() for rule in rules))
 
 
-def _metrics(rows):
-    """Counts of a text column `text` that is never null; helper columns start with an underscore."""
+def _metrics(rows, keep):
+    """The column `keep` with the counts of a text column `text` that is never null."""
     word = F.filter(F.split("text", WORD_BREAK, -1), lambda w: w != "")
     line = F.filter(F.split("text", "\n", -1), lambda x: F.translate(x, BLANKS, "") != "")
     rows = rows.withColumns({"_words": word, "_lines": line})
@@ -91,7 +93,7 @@ def _metrics(rows):
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": F.coalesce(covered, F.lit(0)),
     }
-    return rows.withColumns({name: count.cast("bigint") for name, count in counts.items()})
+    return fenced(rows, [keep], {name: count.cast("bigint") for name, count in counts.items()})
 
 
 def quality_rules(docs, base=BASE, rules=RULES, id_col="doc_id", text_col="text"):
@@ -102,7 +104,7 @@ def quality_rules(docs, base=BASE, rules=RULES, id_col="doc_id", text_col="text"
     the names of the rules, base rules first.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = _metrics(rows)
+    rows = _metrics(rows, "id")
     failed = F.filter(F.array(*[F.when(F.expr(r.sql()), r.name) for r in (*base, *rules)]), lambda x: x.isNotNull())
     base_failed, failing = _failed(base), _failed(rules)
     return rows.select(
@@ -115,7 +117,7 @@ def keep_good(docs, base=BASE, rules=RULES, text_col="text"):
     """The rows of `docs`, with their own columns, whose text passes every rule. A text that fails, a null one too, goes."""
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kept = _metrics(rows).filter(~_failed(base) & ~_failed(rules))
+    kept = _metrics(rows, "_row").filter(~_failed(base) & ~_failed(rules))
     return kept.select(*[F.col("_row")[n].alias(n) for n in names])
 
 

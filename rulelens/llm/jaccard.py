@@ -274,7 +274,9 @@ def jaccard_components(docs, size=3, percent=90, id_col="doc_id", text_col="text
     profiles = materialize(profiles, "profiles")
     real = profiles.filter("id is not null and n > 0")
     classes = real.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "parts")).alias("first"))
-    parts = classes.select("first.id", F.explode("first.parts").alias("part"))
+    # Stored, so that the join with a class of very many ids below can be split.
+    classes = materialize(classes.select("d1", "d2", "n", "first.id", "first.parts"), "classes")
+    parts = classes.select("id", F.explode("parts").alias("part"))
     meets = parts.repartition("part").sortWithinPartitions("part", "id").mapInArrow(_leaders, "u bigint, v bigint")
     members = components(meets)
     members = members.select(F.col("component").alias("family"), F.col("u").alias("id"))
@@ -303,7 +305,7 @@ def jaccard_components(docs, size=3, percent=90, id_col="doc_id", text_col="text
     more = tiles.groupBy("family", "band", "i", "j").applyInArrow(_tile(percent), "u bigint, v bigint")
 
     links = linked.select(F.col("id").alias("u"), F.col("family").alias("v")).unionByName(more)
-    same = real.select("id", "d1", "d2", "n").join(classes.select("d1", "d2", "n", F.col("first.id").alias("v")), ["d1", "d2", "n"])
+    same = real.select("id", "d1", "d2", "n").join(classes.select("d1", "d2", "n", F.col("id").alias("v")), ["d1", "d2", "n"])
     links = links.unionByName(same.filter("id != v").select(F.col("id").alias("u"), "v"))
     found = components(links)
     out = profiles.select("id", "n").join(found.withColumnRenamed("u", "id"), "id", "left")

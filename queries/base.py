@@ -117,6 +117,10 @@ CAPPED = f"""capped AS (
     SELECT *, row_number() OVER (PARTITION BY path ORDER BY {RANK}, start_line, rule_id, issue_id) AS rn
     FROM findings) WHERE rn <= 10)"""
 
+PARTED = f"""parted AS (
+  SELECT *, CAST((row_number() OVER (PARTITION BY path ORDER BY {RANK}, start_line, rule_id, issue_id) - 1) // 10000
+            AS BIGINT) AS part FROM findings)"""
+
 
 def rules_sql(rules=None):
     """CTE `rules` with the rule table."""

@@ -65,10 +65,10 @@ lines AS (SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM
 bodies AS (SELECT path, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE n % 3 <> 0), '') AS kept,
   string_agg(line, chr(10) ORDER BY n) AS full_text FROM lines GROUP BY 1)
 SELECT s.path, CAST(1 AS BIGINT) AS hunk_no, CAST(1 + doc_id % 50 AS BIGINT) AS start_line,
-  CAST(doc_id % 50 + len(ls) AS BIGINT) AS end_line, sha256(kept) AS body_sha, 'part ' || doc_id AS header
+  CAST(doc_id % 50 + len(ls) - len(ls) // 3 AS BIGINT) AS end_line, sha256(kept) AS body_sha, 'part ' || doc_id AS header
 FROM split s JOIN bodies b ON b.path = s.path
 UNION ALL
-SELECT s.path, 2, 90, 90, sha256(full_text), '' FROM split s JOIN bodies b ON b.path = s.path""",
+SELECT s.path, 2, 90, 89 + len(ls), sha256(full_text), '' FROM split s JOIN bodies b ON b.path = s.path""",
 )
 def hunks(spark, sf):
     lines = F.split("text", "\n")
@@ -80,15 +80,19 @@ def hunks(spark, sf):
     )
     doc_id = F.col("doc_id")
     patch = F.concat(
-        F.lit("--- a/x\n+++ b/x\n@@ -3,4 +"),
+        F.lit("--- a/x\n+++ b/x\n@@ -3,"),
+        F.size(lines) - F.floor((F.size(lines) + 1) / 3),
+        F.lit(" +"),
         1 + doc_id % 50,
         F.lit(","),
-        F.size(lines),
+        F.size(lines) - F.floor(F.size(lines) / 3),
         F.lit(" @@  part "),
         doc_id,
         F.lit(" \n"),
         F.array_join(marked_lines, "\n"),
-        F.lit("\n@@ -70 +90 @@\n"),
+        F.lit("\n@@ -70,0 +90,"),
+        F.size(lines),
+        F.lit(" @@\n"),
         F.array_join(F.transform(lines, lambda line: F.concat(F.lit("+"), line)), "\n"),
     )
     path = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), doc_id, F.lit(".txt"))

@@ -99,7 +99,8 @@ def applicable(spark, sf):
     ALL_ROWS + f", {applicable_sql('everything')} SELECT path, rule_id FROM applicable",
 )
 def applicable_in_batches(spark, sf):
-    return applicable_rules(_everything(spark, sf), RULES, "python")
+    """Few rules to a projection, so that several follow each other."""
+    return applicable_rules(_everything(spark, sf), RULES, chunk=4)
 
 
 @query(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from queries.base import (
     CAPPED,
+    PARTED,
     FINDINGS,
     RULES,
     document_findings,
@@ -131,18 +132,18 @@ def capped(spark, sf):
 
 @query(
     "findings_by_path",
-    f"""{FINDINGS}, {CAPPED} SELECT path, CAST(count(*) AS BIGINT) AS findings,
+    f"""{FINDINGS}, {PARTED} SELECT path, part, CAST(count(*) AS BIGINT) AS findings,
   string_agg(level || '@' || start_line || ' ' || rule_id, '; ' ORDER BY
     CASE level WHEN 'blocker' THEN 0 WHEN 'critical' THEN 1 WHEN 'major' THEN 2 WHEN 'minor' THEN 3 ELSE 4 END,
     start_line, rule_id, issue_id) AS listing
-FROM capped GROUP BY path""",
+FROM parted GROUP BY path, part""",
 )
 def grouped(spark, sf):
     listing = F.transform(
         "entries", lambda e: F.concat(e["level"], F.lit("@"), e["start_line"], F.lit(" "), e["rule_id"])
     )
     return findings_by_path(document_findings(spark, sf)).select(
-        "path", "findings", F.array_join(listing, "; ").alias("listing")
+        "path", F.col("part").cast("bigint"), "findings", F.array_join(listing, "; ").alias("listing")
     )
 
 
@@ -196,11 +197,13 @@ _SPANS = """spans AS (
 
 @query(
     "enclosing_span",
-    f"""{FINDINGS}, heads AS (SELECT path, line_no AS n FROM lines), {_SPANS},
-classes AS (SELECT f.path, f.start_line, f.rule_id, s.name, s.id FROM findings f LEFT JOIN spans s
-  ON s.path = f.path AND s.kind = 'class' AND f.start_line BETWEEN s.first AND s.last),
-functions AS (SELECT f.path, f.start_line, f.rule_id, s.name, s.parent FROM findings f LEFT JOIN spans s
-  ON s.path = f.path AND s.kind = 'function' AND f.start_line BETWEEN s.first AND s.last)
+    f"""{FINDINGS}, hit AS MATERIALIZED (SELECT path, start_line, rule_id FROM findings),
+heads AS MATERIALIZED (SELECT path, line_no AS n FROM lines WHERE path IN (SELECT path FROM hit)),
+{_SPANS.replace('spans AS (', 'spans AS MATERIALIZED (')},
+classes AS MATERIALIZED (SELECT f.path, f.start_line, f.rule_id, s.name, s.id FROM hit f LEFT JOIN spans s
+  ON s.path = f.path AND s.kind = 'class' AND s.first = (f.start_line - 1) // 20 * 20 + 1),
+functions AS MATERIALIZED (SELECT f.path, f.start_line, f.rule_id, s.name, s.parent FROM hit f LEFT JOIN spans s
+  ON s.path = f.path AND s.kind = 'function' AND s.first = (f.start_line - 1) // 6 * 6 + 1)
 SELECT c.path, c.start_line, c.rule_id, CASE
   WHEN f.parent = c.id THEN 'in class ' || c.name || '.' || f.name || '()'
   WHEN f.name IS NOT NULL THEN 'in function ' || f.name

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from queries.base import (
     CAPPED,
+    PARTED,
     DOCS,
     FINDINGS,
     RULES,
@@ -27,6 +28,7 @@ from rulelens.operators.score import (
     score_rollup,
     summary,
 )
+from rulelens.plans.review import apply_budget
 from rulelens.plans.storage import materialize
 from rulelens.sinks import findings_document, findings_jsonl
 from rulelens.sources.rules import rules_df
@@ -88,7 +90,8 @@ def summed_up(spark, sf):
 @query(
     "run_meta",
     TRIAGE_SQL
-    + """, calls AS (SELECT path, 0.25 AS cost FROM statuses WHERE status = 'analyze' ORDER BY path LIMIT 40)
+    + """, due AS (SELECT path, row_number() OVER (ORDER BY path) AS n FROM statuses WHERE status = 'analyze'),
+calls AS (SELECT path, 0.25 AS cost FROM due WHERE n <= (SELECT count(*) // 3 FROM due))
 SELECT CAST(count(*) AS BIGINT) AS files_analyzed, CAST(count(*) FILTER (status = 'skip') AS BIGINT) AS skipped,
   CAST(count(*) FILTER (status = 'cached') AS BIGINT) AS cache_hits, CAST(count(c.path) AS BIGINT) AS llm_calls,
   CAST(count(*) FILTER (status = 'analyze') - count(c.path) AS BIGINT) AS deferred,
@@ -96,7 +99,8 @@ SELECT CAST(count(*) AS BIGINT) AS files_analyzed, CAST(count(*) FILTER (status
 )
 def meta(spark, sf):
     statuses = materialize(document_statuses(spark, sf), "statuses")
-    calls = statuses.filter("status = 'analyze'").orderBy("path").limit(40).withColumn("cost_usd", F.lit(0.25))
+    due = statuses.filter("status = 'analyze'")
+    calls = apply_budget(due, due.count() // 3)[0].withColumn("cost_usd", F.lit(0.25))
     return run_meta(statuses, calls)
 
 
@@ -127,19 +131,19 @@ _ISSUE = """{'issue_id': issue_id, 'rule_id': f.rule_id, 'level': level, 'locati
 
 @query(
     "findings_document",
-    f"""{FINDINGS}, {CAPPED}, {_TAGS},
-issues AS (SELECT path, level, start_line, f.rule_id, issue_id, CAST(to_json({_ISSUE}) AS VARCHAR) AS js
-  FROM capped f JOIN rules r ON r.rule_id = f.rule_id),
-levels AS (SELECT path, level, count(*) AS n FROM issues GROUP BY 1, 2),
-counts AS (SELECT path, string_agg('"' || level || '":' || n, ',' ORDER BY level) AS js FROM levels GROUP BY 1)
-SELECT i.path, '{{"issues":[' || string_agg(i.js, ',' ORDER BY CASE level WHEN 'blocker' THEN 0 WHEN 'critical' THEN 1
+    f"""{FINDINGS}, {PARTED}, {_TAGS},
+issues AS (SELECT path, part, level, start_line, f.rule_id, issue_id, CAST(to_json({_ISSUE}) AS VARCHAR) AS js
+  FROM parted f JOIN rules r ON r.rule_id = f.rule_id),
+levels AS (SELECT path, part, level, count(*) AS n FROM issues GROUP BY 1, 2, 3),
+counts AS (SELECT path, part, string_agg('"' || level || '":' || n, ',' ORDER BY level) AS js FROM levels GROUP BY 1, 2)
+SELECT i.path, i.part, '{{"issues":[' || string_agg(i.js, ',' ORDER BY CASE level WHEN 'blocker' THEN 0 WHEN 'critical' THEN 1
     WHEN 'major' THEN 2 WHEN 'minor' THEN 3 ELSE 4 END, start_line, rule_id, issue_id)
   || '],"summary":{{"score":' || greatest(0, 100 - sum({WEIGHT})) || ',"total_issues":' || count(*) || ',"counts":{{'
   || any_value(c.js) || '}}}},"meta":{{"run":"r1"}}}}' AS document
-FROM issues i JOIN counts c ON c.path = i.path GROUP BY i.path""",
+FROM issues i JOIN counts c ON c.path = i.path AND c.part = i.part GROUP BY i.path, i.part""",
 )
 def documents_out(spark, sf):
-    return findings_document(document_findings(spark, sf), {"run": "r1"})
+    return findings_document(document_findings(spark, sf), {"run": "r1"}).withColumn("part", F.col("part").cast("bigint"))
 
 
 @query(

@@ -31,7 +31,7 @@ def _issue(rule_id, level, line, title):
 
 
 SCORER = canned_scorer(
-    {f"- {asked}: ": '{"issues":[' + ",".join(_issue(*i) for i in issues) + "]}" for asked, issues in ANSWERS}
+    {f'"rule": "{asked}"': '{"issues":[' + ",".join(_issue(*i) for i in issues) + "]}" for asked, issues in ANSWERS}
 )
 
 
@@ -74,22 +74,33 @@ def options(**changed):
     return Options(**{**given, **changed})
 
 
-def review_with_cache(spark, sf, **changed):
+def review_with_cache(spark, sf, budgeted=True, **changed):
+    """A review with a filled cache; its budget grows with the corpus: one call for every fifteen documents."""
     keyed = keyed_documents(spark, sf)
     cache = materialize(document_cache(keyed), "cache")
-    return review(documents(spark, sf), RULES, SCORER, options(budget=60, **changed), cache)
+    budget = keyed.count() // 15 if budgeted else None
+    return review(documents(spark, sf), RULES, SCORER, options(budget=budget, **changed), cache)
 
 
+_PLACED = """(SELECT path, row_number() OVER (ORDER BY path) AS n FROM missed)"""
 _BUDGETED = f"""{CACHE_SQL}, hit AS (SELECT k.path, f.first_rule AS rule_id, 'minor' AS level, 1 AS start_line, f.title
   FROM keyed k JOIN fresh f ON f.file_hash = k.file_hash AND f.rules_hash = k.rules_hash WHERE k.rules > 0),
 missed AS (SELECT path FROM keyed k WHERE rules > 0 AND NOT EXISTS (
   SELECT 1 FROM fresh f WHERE f.file_hash = k.file_hash AND f.rules_hash = k.rules_hash)),
-chosen AS (SELECT path FROM missed ORDER BY path LIMIT 60), {_answers_sql('chosen')},
+chosen AS (SELECT path FROM {_PLACED} WHERE n <= (SELECT count(*) // 15 FROM keyed)), {_answers_sql('chosen')},
 final AS (SELECT * FROM hit UNION ALL SELECT * FROM fresh_findings)"""
 
 
-@query("review_documents", f"{_BUDGETED} SELECT {_OUT} FROM final")
+_WHOLE = _BUDGETED.replace(" WHERE n <= (SELECT count(*) // 15 FROM keyed)", "")
+
+
+@query("review_documents", f"{_WHOLE} SELECT {_OUT} FROM final")
 def review_documents(spark, sf):
+    return _plain(review_with_cache(spark, sf, budgeted=False).findings)
+
+
+@query("review_budgeted", f"{_BUDGETED} SELECT {_OUT} FROM final")
+def review_budgeted(spark, sf):
     return _plain(review_with_cache(spark, sf).findings)
 
 

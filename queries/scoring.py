@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from queries.base import DOCS, RULES, applicable_sql, documents, query, table
+from queries.base import DOCS, RULES, applicable_sql, documents, query, quoted, table
 from queries.cache import TRIAGE_SQL, document_statuses
 from rulelens.operators.match import match_rules
 from rulelens.operators.scorer import (
@@ -10,6 +10,7 @@ from rulelens.operators.scorer import (
     parse_responses,
     prompt_stats,
     python_scorer,
+    rule_line,
     score_with,
     validate_findings,
     with_prompt,
@@ -22,14 +23,14 @@ from rulelens.sources.corpus import spread_small
 @query(
     "prompt_stats",
     f"""WITH {DOCS}, {applicable_sql('docs')}, texts(rule_id, line) AS (VALUES
-  {", ".join(f"('{r.rule_id}', '- {r.rule_id}: {r.name} ({r.level}) - {r.description}...')" for r in RULES)}),
+  {", ".join(f"('{r.rule_id}', {quoted(rule_line(r))})" for r in RULES)}),
 listed AS (SELECT d.path, d.content, count(a.rule_id) AS rules, coalesce(sum(length(t.line) + 1), 1) - 1 AS chars
   FROM docs d LEFT JOIN applicable a ON a.path = d.path LEFT JOIN texts t ON t.rule_id = a.rule_id GROUP BY 1, 2),
 sized AS (SELECT *, length('Review the text below against the listed rules. Answer with JSON.') + 2
   + length('Path: ') + length(path) + 2 + length('Rules:') + 1 + chars + 2 + length('Text:') + 1
-  + least(length(content), 10000) + 1 AS n FROM listed)
+  + length(content) + 1 AS n FROM listed)
 SELECT path, CAST(n AS BIGINT) AS prompt_chars, CAST(n // 4 AS BIGINT) AS prompt_tokens,
-  CAST(rules AS BIGINT) AS rules, length(content) > 10000 AS truncated FROM sized""",
+  CAST(rules AS BIGINT) AS rules, false AS truncated FROM sized""",
 )
 def prompts(spark, sf):
     return prompt_stats(with_prompt(match_rules(documents(spark, sf), RULES), RULES))
@@ -158,13 +159,15 @@ def scored(spark, sf):
     )
 
 
-_CHOSEN = TRIAGE_SQL + ", chosen AS (SELECT path FROM statuses WHERE status = 'analyze' ORDER BY path LIMIT 40)"
+# The budget of these queries grows with the corpus: a third of what is due.
+_CHOSEN = TRIAGE_SQL + """, due AS (SELECT path, row_number() OVER (ORDER BY path) AS n FROM statuses WHERE status = 'analyze'),
+chosen AS (SELECT path FROM due WHERE n <= (SELECT count(*) // 3 FROM due))"""
 
 
 @query("apply_budget", _CHOSEN + " SELECT path FROM chosen")
 def budget(spark, sf):
-    misses = document_statuses(spark, sf).filter("status = 'analyze'")
-    return apply_budget(misses, 40)[0].select("path")
+    misses = materialize(document_statuses(spark, sf).filter("status = 'analyze'"), "misses")
+    return apply_budget(misses, misses.count() // 3)[0].select("path")
 
 
 @query(
@@ -173,4 +176,4 @@ def budget(spark, sf):
 )
 def over_budget(spark, sf):
     misses = materialize(document_statuses(spark, sf).filter("status = 'analyze'"), "misses")
-    return apply_budget(misses, 40)[1].select("path")
+    return apply_budget(misses, misses.count() // 3)[1].select("path")

@@ -63,8 +63,34 @@ def glob_match(text, glob):
 _UNICODE_SENSITIVE = re.compile(r"\\[wWdDsSbB]|\(\?[a-zA-Z]*i")
 
 
+def _outside_java(pattern):
+    """Write what Java reads otherwise in Java's way: `[` and `&&` in a class, `{,n}`, a leading `]`, comments."""
+    out, at, inside = [], 0, False
+    while at < len(pattern):
+        char = pattern[at]
+        if char == "\\":
+            out.append(pattern[at : at + 2])
+            at += 2
+        elif inside:
+            out.append("\\" + char if char in "[&" else char)
+            inside = char != "]"
+            at += 1
+        elif char == "[":
+            start = re.match(r"\[\^?\]?", pattern[at:])[0]
+            out.append(start.replace("]", "\\]"))
+            at, inside = at + len(start), True
+        elif re.match(r"\(\?#[^)]*\)", pattern[at:]):
+            at = pattern.index(")", at) + 1
+        else:
+            short = re.match(r"\{,(\d+)\}", pattern[at:])
+            out.append(f"{{0,{short[1]}}}" if short else char)
+            at += len(short[0]) if short else 1
+    return "".join(out)
+
+
 def java_pattern(pattern):
     """A Python `re.search` pattern for Spark: only `\\n` ends a line, classes are Unicode-aware."""
+    pattern = _outside_java(pattern)
     flags = "(?dU)" if _UNICODE_SENSITIVE.search(pattern) else "(?d)"
     pattern = re.sub(r"(?s)\\(.)", lambda m: r"\z" if m[1] == "Z" else m[0], pattern)
     return flags + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))

@@ -9,6 +9,9 @@ from rulelens.functions.text import snippet, split_lines
 from rulelens.plans.joins import keep_listed, lookup_join
 from rulelens.schemas import MAX_FINDINGS_PER_PATH
 
+# Findings of one path that are put into one row.
+PART_ROWS = 10_000
+
 
 def filter_rules(findings, needles):
     """Keep findings whose rule id contains any needle; no needles keep all."""
@@ -33,8 +36,8 @@ def findings_of_packs(findings, known, include=None, exclude=None):
 
 
 def _of_rules(findings, rules, condition):
-    """Findings of the rules that meet a condition; the rule table comes from the driver and is broadcast."""
-    return findings.join(F.broadcast(rules.filter(condition).select("rule_id")), "rule_id", "left_semi")
+    """Findings of the rules that meet a condition. How the rule table gets there is left to its measured size."""
+    return findings.join(rules.filter(condition).select("rule_id"), "rule_id", "left_semi")
 
 
 def findings_by_tag(findings, rules, tag):
@@ -74,22 +77,31 @@ def dedup_findings(findings):
 
 
 def limit_per_path(findings, n=MAX_FINDINGS_PER_PATH):
-    """The n most severe findings of each path; ties go by line, rule and id.
+    """The n most severe findings of each path (all if n is None); ties go by line, rule and id.
 
     The rank filter lets Spark cut each task's groups to n rows before the shuffle.
     """
     order = [level_rank(F.col("level")), F.col("start_line"), F.col("rule_id"), F.col("issue_id")]
+    if n is None:
+        return findings
     ranked = findings.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy(*order)))
     return ranked.filter(F.col("_n") <= n).drop("_n")
 
 
-def findings_by_path(findings, n=MAX_FINDINGS_PER_PATH):
-    """One row per path with its capped findings, most severe first; a group holds at most n rows."""
-    kept = limit_per_path(findings, n)
+def in_parts(findings, part_rows=PART_ROWS):
+    """Number the parts (`part`, from 0) of each path's findings, most severe first: no group exceeds a part."""
+    order = [level_rank(F.col("level")), F.col("start_line"), F.col("rule_id"), F.col("issue_id")]
+    place = F.row_number().over(Window.partitionBy("path").orderBy(*order)) - 1
+    return findings.withColumn("part", F.floor(place / part_rows).cast("int"))
+
+
+def findings_by_path(findings, part_rows=PART_ROWS):
+    """All findings of each path, most severe first: `(path, part, findings, entries)`, one row unless they are very many."""
+    kept = in_parts(findings, part_rows)
     entry = F.struct(
         level_rank(F.col("level")).alias("rank"), "start_line", "rule_id", "issue_id", "level", "title"
     )
-    return kept.groupBy("path").agg(
+    return kept.groupBy("path", "part").agg(
         F.count(F.lit(1)).alias("findings"), F.array_sort(F.collect_list(entry)).alias("entries")
     )
 
@@ -102,6 +114,8 @@ def attach_snippet(findings, corpus):
     """
     texts = corpus.select("path", split_lines(F.col("content")).alias("_lines"))
     reviewed = keep_listed(texts, findings.select("path"), ["path"])
+    # A path with several texts is shown in the smallest of them, so that no finding is multiplied.
+    reviewed = reviewed.groupBy("path").agg(F.min("_lines").alias("_lines"))
     joined = lookup_join(
         findings.drop("snippet"), reviewed, ["path"], "left", spread=("issue_id",), rows_per_task=100_000
     )
@@ -110,8 +124,8 @@ def attach_snippet(findings, corpus):
 
 
 def enrich_findings(findings, rules):
-    """Findings with their rule's name, category, fix and checklist; the rule table is small and broadcast."""
+    """Findings with their rule's name, category, fix and checklist."""
     extra = rules.select(
         "rule_id", F.col("name").alias("rule_name"), "category", "fix", F.col("checklist").alias("rule_checklist")
     )
-    return findings.join(F.broadcast(extra), "rule_id")
+    return findings.join(extra, "rule_id")

@@ -6,15 +6,16 @@ Rules are few and rows are many, so rules become literals of one projection: no
 from dataclasses import replace
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from rulelens.functions.findings import with_issue_id
-from rulelens.functions.patterns import content_trigger, path_trigger, sql_text
-from rulelens.schemas import FINDING_COLUMNS, FINDINGS, MAX_TITLE_CHARS, STRINGS
+from rulelens.functions.patterns import content_trigger, java_pattern, path_trigger, sql_text
+from rulelens.functions.text import split_lines
+from rulelens.schemas import FINDING_COLUMNS, FINDINGS
 from rulelens.sources.rules import rules_df
 
-# Above this many rules one projection gets too large for the code generator: match in Python batches.
-MAX_COMPILED_RULES = 500
+# Rules compiled into one projection; more rules take one projection after another over the same row.
+CHUNK_RULES = 250
+
 
 def _by_globs(rules):
     groups = {}
@@ -42,52 +43,32 @@ def rule_ids_column(path, content, rules):
     return F.expr(f"array_sort(concat({', '.join(arrays)}))" if arrays else none)
 
 
-def _match_batches(rules):
-    """Tasks: `(path, content)` batches in, with sorted applicable rule ids out, using Python's `re`."""
-    import fnmatch
-    import re
-
-    tests = [
-        (r.rule_id, [re.compile(fnmatch.translate(g)) for g in r.file_patterns], list(r.code_patterns))
-        for r in rules
-    ]
-
-    def run(batches):
-        import re as regex
-
-        compiled = [(i, globs, [regex.compile(p) for p in patterns]) for i, globs, patterns in tests]
-
-        def ids(path, content):
-            return sorted(
-                i
-                for i, globs, patterns in compiled
-                if (not globs or any(g.match(path) for g in globs))
-                and (not patterns or any(p.search(content) for p in patterns))
-            )
-
-        for batch in batches:
-            batch["rule_ids"] = [ids(p, c) for p, c in zip(batch["path"], batch["content"])]
-            yield batch
-
-    return run
-
-
-def match_rules(corpus, rules, strategy="auto"):
-    """The corpus with `rule_ids`. Strategy `columns` compiles the rules into one projection, `python` tests
-    them in Arrow batches; `auto` picks by the number of rules. Both give the same rows."""
-    if strategy == "auto":
-        strategy = "columns" if len(rules) <= MAX_COMPILED_RULES else "python"
-    if strategy == "columns":
-        ids = rule_ids_column("path", "content", rules)
+def check_patterns(spark, rules):
+    """Raise for a content regex that Spark cannot compile, naming its rule, before any row is read."""
+    compile_pattern = spark.sparkContext._jvm.java.util.regex.Pattern.compile
+    for rule in rules:
+        for pattern in rule.code_patterns:
+            try:
+                compile_pattern(java_pattern(pattern))
+            except Exception as error:
+                raise ValueError(f"rule {rule.rule_id}: pattern {pattern!r} cannot be compiled") from error
+
+
+def match_rules(corpus, rules, chunk=CHUNK_RULES):
+    """The corpus with the sorted `rule_ids` that apply. A null path or content meets no trigger that looks at it."""
+    check_patterns(corpus.sparkSession, rules)
+    columns = corpus.columns
+    rows = corpus.withColumn("rule_ids", F.array().cast("array<string>"))
+    for at in range(0, len(rules), chunk):
+        ids = F.concat("rule_ids", rule_ids_column("path", "content", rules[at : at + chunk]))
         # A generated column is computed once: later filters on it cannot be pushed down into a second copy.
-        return corpus.withColumn("rule_ids", F.explode(F.array(ids)))
-    schema = StructType([*corpus.schema.fields, StructField("rule_ids", STRINGS)])
-    return corpus.mapInPandas(_match_batches(rules), schema)
+        rows = rows.select(*columns, F.explode(F.array(ids)).alias("rule_ids"))
+    return rows.withColumn("rule_ids", F.array_sort("rule_ids")) if len(rules) > chunk else rows
 
 
-def applicable_rules(corpus, rules, strategy="auto"):
+def applicable_rules(corpus, rules, chunk=CHUNK_RULES):
     """`(path, rule_id)` for every rule whose path and content triggers both hold."""
-    return match_rules(corpus, rules, strategy).select("path", F.explode("rule_ids").alias("rule_id"))
+    return match_rules(corpus, rules, chunk).select("path", F.explode("rule_ids").alias("rule_id"))
 
 
 def path_matches(corpus, rules):
@@ -115,7 +96,7 @@ def detect_lines(corpus, rules):
         return spark.createDataFrame([], FINDINGS)
     groups = list(_by_globs(rules).items())
     active = [F.expr(path_trigger("path", globs)).alias(f"_on{i}") for i, (globs, _) in enumerate(groups)]
-    lines = corpus.select("path", *active, F.posexplode(F.split("content", "\n")).alias("_pos", "_line"))
+    lines = corpus.select("path", *active, F.posexplode(split_lines(F.col("content"))).alias("_pos", "_line"))
     hits = _hits(
         (f"_on{i} AND {content_trigger('_line', rule.code_patterns)}", rule.rule_id)
         for i, (_, group) in enumerate(groups)
@@ -127,7 +108,7 @@ def detect_lines(corpus, rules):
     table = rules_df(spark, rules).select(
         "rule_id",
         "level",
-        F.left("name", F.lit(MAX_TITLE_CHARS)).alias("title"),
+        F.col("name").alias("title"),
         F.col("description").alias("why"),
         F.col("checklist").alias("do"),
         "pack",

@@ -1,5 +1,7 @@
 """Scoring rows with a pluggable scorer: prompt in, structured answer out, answer checked into findings."""
 
+import json
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,21 +15,20 @@ from rulelens.schemas import (
     EMPTY_ANSWER,
     FINDINGS,
     LEVELS,
-    MAX_DESCRIPTION_CHARS,
-    MAX_PROMPT_CHARS,
     MAX_TITLE_CHARS,
     SCORED,
 )
 
 
-def _rule_line(rule):
-    return f"- {rule.rule_id}: {rule.name} ({rule.level}) - {rule.description[:MAX_DESCRIPTION_CHARS]}..."
+def rule_line(rule):
+    """A rule as the prompt lists it: one JSON object."""
+    return json.dumps({"rule": rule.rule_id, "level": rule.level, "name": rule.name, "about": rule.description}, ensure_ascii=False)
 
 
-def build_prompt(path, content, rule_ids, rules, language="en"):
-    """Prompt text of a row: path, one line per applicable rule, the first 10 000 characters of the text."""
+def build_prompt(path, content, rule_ids, rules, language="en", max_chars=None):
+    """Prompt text of a row: path, one line per applicable rule, the text (only its first `max_chars` if asked for)."""
     if rules:
-        lines = F.create_map(*[F.lit(x) for r in rules for x in (r.rule_id, _rule_line(r))])
+        lines = F.create_map(*[F.lit(x) for r in rules for x in (r.rule_id, rule_line(r))])
         listing = F.array_join(F.transform(rule_ids, lambda i: F.element_at(lines, i)), "\n")
     else:
         listing = F.lit("")
@@ -38,24 +39,24 @@ def build_prompt(path, content, rule_ids, rules, language="en"):
         F.lit("\n\nRules:\n"),
         listing,
         F.lit("\n\nText:\n"),
-        F.substring(content, 1, MAX_PROMPT_CHARS),
+        content if max_chars is None else F.substring(content, 1, max_chars),
         F.lit("\n"),
     )
 
 
-def with_prompt(rows, rules, language="en"):
-    prompt = build_prompt(F.col("path"), F.col("content"), F.col("rule_ids"), rules, language)
+def with_prompt(rows, rules, language="en", max_chars=None):
+    prompt = build_prompt(F.col("path"), F.col("content"), F.col("rule_ids"), rules, language, max_chars)
     return rows.withColumn("prompt", prompt)
 
 
-def prompt_stats(rows):
+def prompt_stats(rows, max_chars=None):
     """Size of each prompt, its estimated tokens, number of rules and whether the text was cut."""
     return rows.select(
         "path",
         F.length("prompt").cast("bigint").alias("prompt_chars"),
         estimate_tokens(F.col("prompt")).alias("prompt_tokens"),
         F.size("rule_ids").cast("bigint").alias("rules"),
-        (F.length("content") > MAX_PROMPT_CHARS).alias("truncated"),
+        (F.lit(False) if max_chars is None else F.length("content") > max_chars).alias("truncated"),
     )
 
 
@@ -132,16 +133,22 @@ def score_with(rows, scorer):
     return rows.withColumn("answer", scorer(F.col("prompt")))
 
 
-def parse_answer(json):
+def parse_answer(text):
     """Answer text as a struct; `_corrupt` is set where it is not the expected JSON."""
-    return F.from_json(json, ANSWER, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": ANSWER_CORRUPT})
+    return F.from_json(text, ANSWER, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": ANSWER_CORRUPT})
+
+
+def _line_number(text):
+    """A whole number however it is written (3, 3.0, "3"); null for anything else."""
+    number = text.try_cast("double")
+    return F.when((number == F.floor(number)) & (F.abs(number) < 2**31), number.cast("int"))
 
 
 def _issue_fields(issue):
     """The fields of one issue, with defaults for the optional ones."""
     fields = {name: issue[name] for name in ("rule_id", "level", "title", "why", "do")}
-    fields["start_line"] = issue["location"]["start_line"]
-    fields["end_line"] = issue["location"]["end_line"]
+    fields["start_line"] = _line_number(issue["location"]["start_line"])
+    fields["end_line"] = _line_number(issue["location"]["end_line"])
     fields["confidence"] = F.coalesce(issue["confidence"], F.lit(DEFAULT_CONFIDENCE))
     fields["tags"] = F.coalesce(issue["tags"], F.array().cast("array<string>"))
     return fields
@@ -180,7 +187,7 @@ def _wrong_types(variant):
     return F.coalesce(F.exists(issues, odd), F.lit(False)) | (type_of(variant, "issues") == "VOID")
 
 
-def answer_fault(parsed, json, error=None):
+def answer_fault(parsed, text, error=None):
     """Why a whole answer is rejected, or null: a failed call, bad JSON, a missing or out-of-range field."""
     issues = parsed["issues"]
 
@@ -188,17 +195,23 @@ def answer_fault(parsed, json, error=None):
         needed = [i["rule_id"], i["level"], i["location"]["start_line"], i["title"], i["why"], i["do"]]
         return any_of([field.isNull() for field in needed])
 
+    def odd_line(i):
+        ends = [i["location"][name] for name in ("start_line", "end_line")]
+        return any_of([end.isNotNull() & _line_number(end).isNull() for end in ends])
+
     def bad_confidence(i):
         return F.coalesce((i["confidence"] < 0) | (i["confidence"] > 1), F.lit(False))
 
     def has_gap(texts):
         return F.coalesce(F.exists(texts, lambda t: t.isNull()), F.lit(False))
 
-    variant = F.try_parse_json(json)
+    variant = F.try_parse_json(text)
     no_object = ~F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))
     fault = (
         F.when(no_object | parsed[ANSWER_CORRUPT].isNotNull(), "malformed")
-        .when(_wrong_types(variant) | F.exists(issues, lambda i: has_gap(i["do"]) | has_gap(i["tags"])), "wrong_type")
+        .when(
+            _wrong_types(variant) | F.exists(issues, lambda i: has_gap(i["do"]) | has_gap(i["tags"]) | odd_line(i)), "wrong_type"
+        )
         .when(F.exists(issues, lacks_field), "missing_field")
         .when(F.exists(issues, lambda i: F.length(i["title"]) > MAX_TITLE_CHARS), "title_too_long")
         .when(F.exists(issues, bad_confidence), "confidence_range")

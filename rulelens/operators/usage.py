@@ -20,10 +20,10 @@ def price_table(spark, prices):
 
 
 def price_calls(calls, prices):
-    """Add `cost_usd` where it is missing; an unknown model costs nothing. The price list is broadcast."""
+    """Add `cost_usd` where it is missing; an unknown model costs nothing."""
     cost = F.col("prompt_tokens") * F.col("prompt_price") + F.col("completion_tokens") * F.col("completion_price")
     given = F.col("cost_usd") if "cost_usd" in calls.columns else F.lit(None).cast("double")
-    joined = calls.join(F.broadcast(prices), "model", "left")
+    joined = calls.join(prices, "model", "left")
     priced = joined.withColumn("cost_usd", F.coalesce(given, cost, F.lit(0.0)))
     return priced.drop("prompt_price", "completion_price")
 

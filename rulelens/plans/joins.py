@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from rulelens.plans.storage import materialize
+
 # A key with more rows than this is split over several tasks.
 ROWS_PER_TASK = 1_000_000
 # A table of keys may be broadcast up to this many rows.
@@ -11,28 +13,25 @@ MAX_BROADCAST_ROWS = 200_000
 def lookup_join(left, right, on, how="left", spread=("path",), rows_per_task=ROWS_PER_TASK):
     """Join `left` with a table that has one row per key, exact for any distribution of `left` keys.
 
-    Keys with more than `rows_per_task` rows on the left are found with a map-side count; only they are
-    salted: left rows by a hash of the `spread` columns, the matching right row repeated once per salt. There
-    can be at most rows(left) / rows_per_task such keys, which bounds the broadcast list of them. `left` is
-    read twice, so pass a stored table or a cheap projection.
+    Keys with more than `rows_per_task` rows on the left are found with a map-side count and stored. Usually there are
+    none, and the join is a plain one that keeps whatever partitioning or bucketing the sides have. Otherwise only the rows
+    of hot keys are salted: left rows by a hash of the `spread` columns, the matching right row repeated once per salt.
+    The list of hot keys is broadcast only if its counted rows are few. `left` is read again for each part, so pass a
+    stored table or a cheap projection.
     """
     on = list(on)
-    hot = (
-        left.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > rows_per_task)
-        .select(*on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts"))
-    )
-    hot = F.broadcast(hot)
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    salt = F.pmod(F.xxhash64(*spread), parts).cast("int")
-    salted = left.join(hot, on, "left").withColumn("_salt", salt).drop("_parts")
-    copies = (
-        right.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .drop("_parts")
-    )
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows_per_task)
+    hot = materialize(counts.select(*on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts")), "hot")
+    many = hot.count()
+    if not many:
+        return left.join(right, on, how)
+    if many <= MAX_BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    salt = F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int")
+    salted = left.join(hot, on).withColumn("_salt", salt).drop("_parts")
+    copies = right.join(hot, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    joined = salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return left.join(hot.drop("_parts"), on, "left_anti").join(right, on, how).unionByName(joined)
 
 
 def semi_by_key(big, keys, on, how="left_semi", max_rows=MAX_BROADCAST_ROWS, known_rows=None):

@@ -35,7 +35,7 @@ from rulelens.operators.usage import usage_rows
 from rulelens.plans.joins import MAX_BROADCAST_ROWS, semi_by_key
 from rulelens.plans.storage import materialize
 from rulelens.plans.topn import first_n
-from rulelens.schemas import CACHE, DEFAULT_BUDGET, DEFAULT_TTL_HOURS, FINDINGS, MAX_FINDINGS_PER_PATH
+from rulelens.schemas import CACHE, DEFAULT_TTL_HOURS, FINDINGS, MAX_FINDINGS_PER_PATH
 from rulelens.sources.changes import changed_rows
 from rulelens.sources.rules import prune_rules
 
@@ -48,13 +48,14 @@ class Options:
     model: str = "canned/1"
     language: str = "en"
     prices: dict | None = None
-    budget: int | None = DEFAULT_BUDGET
+    budget: int | None = None
     ttl_hours: int = DEFAULT_TTL_HOURS
     rule_filter: tuple = ()
     disabled_rules: tuple = ()
     min_confidence: float | None = None
     known_rules_only: bool = False
-    per_path: int = MAX_FINDINGS_PER_PATH
+    per_path: int | None = MAX_FINDINGS_PER_PATH
+    max_prompt_chars: int | None = None
     no_cache: bool = False
     cache_salt: str | None = None
     snippets: bool = True
@@ -81,7 +82,16 @@ def apply_budget(misses, n, order=("path",)):
     return chosen, semi_by_key(misses, chosen.select("path"), ["path"], "left_anti", known_rows=n)
 
 
-def _rows_to_score(corpus, matched, chosen, opts, cached):
+def _once(rows, repeated):
+    """Rows with a text that is listed as repeated are reduced to one of each; no other text is moved."""
+    if repeated.isEmpty():
+        return rows
+    on = ["path", "file_hash"]
+    single = semi_by_key(rows, repeated, on, "left_anti")
+    return single.unionByName(semi_by_key(rows, repeated, on).dropDuplicates(on))
+
+
+def _rows_to_score(matched, chosen, opts, cached):
     """Text and rule ids of the chosen rows: by a bounded broadcast, or, if all rows are due, in place."""
     if opts.budget is None and not cached:
         return matched.filter(F.size("rule_ids") > 0)
@@ -90,8 +100,8 @@ def _rows_to_score(corpus, matched, chosen, opts, cached):
         bounded = chosen.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     else:
         bounded = opts.budget <= MAX_BROADCAST_ROWS
-    keys = chosen.select("path", "rule_ids", "file_hash", "rules_hash")
-    return corpus.join(F.broadcast(keys) if bounded else keys, "path")
+    keys = chosen.select("path", "file_hash")
+    return matched.join(F.broadcast(keys) if bounded else keys, ["path", "file_hash"], "left_semi")
 
 
 def _with_snippets(findings, lines):
@@ -103,7 +113,7 @@ def _with_snippets(findings, lines):
 
 def _score_rows(rows, rules, scorer, opts):
     """Call the scorer once per row and keep its answer, findings and fault in a stored table."""
-    answered = score_with(with_prompt(rows, rules, opts.language), scorer)
+    answered = score_with(with_prompt(rows, rules, opts.language, opts.max_prompt_chars), scorer)
     answered = answered.select("path", "content", "file_hash", "rules_hash", "answer.*")
     found = finding_array(opts.pack_name)
     if opts.snippets:
@@ -151,13 +161,19 @@ def review(corpus, rules, scorer, opts, cache=None):
     """
     rules = prune_rules(rules, opts.rule_filter)
     matched = with_cache_key(match_rules(corpus.select("path", "content"), rules), opts.cache_salt)
-    keyed = materialize(matched.drop("content"), "keyed")
+    # A text that arrives several times under one path is one row from here on.
+    keyed = matched.groupBy("path", "file_hash").agg(
+        F.first("rule_ids").alias("rule_ids"), F.first("rules_hash").alias("rules_hash"), F.count(F.lit(1)).alias("copies")
+    )
+    keyed = materialize(keyed, "keyed")
+    repeated = keyed.filter("copies > 1").select("path", "file_hash")
+    keyed = keyed.drop("copies")
     readable = None if opts.no_cache else cache
     statuses = triage(keyed, readable, opts.as_of, opts.ttl_hours)
     if readable is not None:
         statuses = materialize(statuses, "statuses")
     chosen, deferred = apply_budget(statuses.filter("status = 'analyze'"), opts.budget)
-    rows = _rows_to_score(corpus.select("path", "content"), matched, chosen, opts, readable is not None)
+    rows = _once(_rows_to_score(matched, chosen, opts, readable is not None), repeated)
     scored = _score_rows(rows, rules, scorer, opts)
 
     fresh = explode_findings(scored)

@@ -10,11 +10,8 @@ MAX_SCORE = 100
 # Limits of a review run.
 MAX_FINDINGS_PER_PATH = 10
 MAX_TITLE_CHARS = 80
-MAX_PROMPT_CHARS = 10_000
-MAX_DESCRIPTION_CHARS = 100
 DEFAULT_CONFIDENCE = 0.9
 DEFAULT_TTL_HOURS = 168
-DEFAULT_BUDGET = 10
 DEFAULT_SUMMARY_DAYS = 30
 DEFAULT_RECENT_CALLS = 20
 DEFAULT_PACK_VERSION = "0.1.0"
@@ -160,8 +157,9 @@ ANSWER = T.StructType(
                             "location",
                             T.StructType(
                                 [
-                                    T.StructField("start_line", T.IntegerType()),
-                                    T.StructField("end_line", T.IntegerType()),
+                                    # Models write line numbers in several ways; they are read as text and checked.
+                                    T.StructField("start_line", T.StringType()),
+                                    T.StructField("end_line", T.StringType()),
                                 ]
                             ),
                         ),

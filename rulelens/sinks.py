@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from rulelens.functions.findings import level_rank, level_weight
-from rulelens.operators.findings import limit_per_path
-from rulelens.schemas import FINDING_COLUMNS, MAX_FINDINGS_PER_PATH, MAX_SCORE
+from rulelens.operators.findings import PART_ROWS, in_parts
+from rulelens.schemas import FINDING_COLUMNS, MAX_SCORE
 
 _LOCATION = ["path", "start_line", "end_line", "start_col", "end_col"]
 
@@ -20,11 +20,14 @@ def issue_struct():
     return F.struct(*fields)
 
 
-def findings_document(findings, meta=None, n=MAX_FINDINGS_PER_PATH):
-    """One JSON document per path: its capped findings, their score and counts, and the run's meta values."""
-    kept = limit_per_path(findings, n)
+def findings_document(findings, meta=None, part_rows=PART_ROWS):
+    """`(path, part, document)`: all findings of a path as JSON with their score and counts, and the run's meta values.
+
+    A path with more than `part_rows` findings has several documents; each sums up its own part.
+    """
+    kept = in_parts(findings, part_rows)
     order = F.struct(level_rank(F.col("level")).alias("rank"), "start_line", "rule_id", "issue_id")
-    grouped = kept.groupBy("path").agg(
+    grouped = kept.groupBy("path", "part").agg(
         F.array_sort(F.collect_list(F.struct(order.alias("_order"), issue_struct().alias("issue")))).alias("_issues"),
         F.sum(level_weight(F.col("level"))).alias("_penalty"),
     )
@@ -42,7 +45,7 @@ def findings_document(findings, meta=None, n=MAX_FINDINGS_PER_PATH):
         F.struct(score.alias("score"), F.size("_issues").alias("total_issues"), counts.alias("counts")).alias("summary"),
         F.create_map(*[F.lit(str(x)) for kv in (meta or {}).items() for x in kv]).cast("map<string,string>").alias("meta"),
     )
-    return grouped.select("path", F.to_json(report, {"ignoreNullFields": "false"}).alias("document"))
+    return grouped.select("path", "part", F.to_json(report, {"ignoreNullFields": "false"}).alias("document"))
 
 
 def findings_jsonl(findings, summary):

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from rulelens.functions.patterns import path_trigger
 from rulelens.functions.text import content_hash
 from rulelens.schemas import HUNK
+from rulelens.plans.joins import MAX_BROADCAST_ROWS
+from rulelens.plans.storage import materialize
 from rulelens.sources.corpus import exclude_paths
 
 
@@ -37,14 +39,39 @@ def changed_rows(old, new, globs=None, exclude=None, keep_removed=False):
 
 
 def mark_new(df, baseline):
-    """Add `is_new`: the path is not in the baseline."""
-    known = baseline.select("path").distinct().withColumn("_known", F.lit(True))
-    return df.join(known, "path", "left").withColumn("is_new", F.col("_known").isNull()).drop("_known")
+    """Add `is_new`: the path is not in the baseline. A long baseline first meets the paths alone, not the text."""
+    known = materialize(baseline.select("path").distinct().withColumn("_known", F.lit(True)), "baseline")
+    if known.count() > MAX_BROADCAST_ROWS:
+        known = materialize(known.join(df.select("path").distinct(), "path", "left_semi"), "known")
+    short = known.count() <= MAX_BROADCAST_ROWS
+    return df.join(F.broadcast(known) if short else known, "path", "left").withColumn("is_new", F.col("_known").isNull()).drop("_known")
 
 
-# A hunk starts at `@@ -<old range> +<new range> @@`; the split keeps what follows `@@ -`.
+# The header of a hunk in a unified diff. A hunk starts at `@@ -<old range> +<new range> @@`; the split keeps what follows `@@ -`.
 _HUNK_START = r"\n@@ -(?=\d+(?:,\d+)? \+\d+(?:,\d+)? @@)"
 _HUNK_FIELDS = r"\A\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@([^\n]*)"
+_OLD_COUNT = r"\A\d+(?:,(\d+))?"
+
+
+def _new_side(lines, old, new):
+    """The lines of a hunk's new side without their marks: as many as its header says, whatever they begin with.
+
+    A blank line without a mark is a blank line of context; `\\` begins a remark.
+    """
+    kept = F.array().cast("array<string>")
+
+    def step(state, line):
+        mark = F.when(line == "", " ").otherwise(F.left(line, F.lit(1)))
+        on_new = mark.isin(" ", "+") & (state["new"] > 0)
+        on_old = mark.isin(" ", "-") & (state["old"] > 0)
+        return F.struct(
+            (state["old"] - on_old.cast("int")).alias("old"),
+            (state["new"] - on_new.cast("int")).alias("new"),
+            F.when(on_new, F.array_append(state["kept"], F.substring(line, 2, 1 << 30))).otherwise(state["kept"]).alias("kept"),
+        )
+
+    start = F.struct(old.alias("old"), new.alias("new"), kept.alias("kept"))
+    return F.aggregate(lines, start, step, lambda state: state["kept"])
 
 
 def hunks_of(patch):
@@ -55,12 +82,9 @@ def hunks_of(patch):
     def to_hunk(chunk):
         start = F.regexp_extract(chunk, _HUNK_FIELDS, 1).cast("int")
         count = F.coalesce(F.nullif(F.regexp_extract(chunk, _HUNK_FIELDS, 2), F.lit("")).cast("int"), F.lit(1))
+        old = F.coalesce(F.nullif(F.regexp_extract(chunk, _OLD_COUNT, 1), F.lit("")).cast("int"), F.lit(1))
         lines = F.split(chunk, "\n")
-        kept = F.filter(
-            F.slice(lines, 2, F.size(lines)),
-            lambda x: x.startswith(" ") | (x.startswith("+") & ~x.startswith("+++")),
-        )
-        body = F.array_join(F.transform(kept, lambda x: F.substring(x, 2, 1 << 30)), "\n")
+        body = F.array_join(_new_side(F.slice(lines, 2, F.size(lines)), old, count), "\n")
         header = F.regexp_replace(F.regexp_extract(chunk, _HUNK_FIELDS, 3), r"(?U)\A\s+|\s+\z", "")
         return F.struct(
             start.alias("start_line"),

@@ -2,14 +2,19 @@
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from rulelens.plans.joins import semi_by_key
 from rulelens.plans.review import review
+from rulelens.plans.storage import materialize
 from rulelens.schemas import CACHE
 
 
 # Stored entries carry the batch that wrote them as a folder name.
 _STORED_CACHE = StructType([*CACHE.fields, StructField("batch_id", LongType())])
+_STORED_PENDING = StructType(
+    [StructField("path", StringType()), StructField("content", StringType()), StructField("batch_id", LongType())]
+)
 
 
 def read_stream(spark, folder, schema, name_glob=None, **options):
@@ -21,14 +26,21 @@ def read_stream(spark, folder, schema, name_glob=None, **options):
 
 
 def _read_or_empty(spark, folder, schema):
+    """A stored table, empty if its folder is not there yet; any other fault is raised."""
     try:
         return spark.read.schema(schema).parquet(folder)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
 def review_batches(rules, scorer, options_for, out):
-    """A `foreachBatch` function that reviews each micro-batch and keeps findings, cache and usage below `out`.
+    """A `foreachBatch` function that reviews each micro-batch and keeps findings, cache, usage, `deferred` and
+    `rejected` below `out`.
+
+    Rows over budget and rows whose call failed are kept whole in `pending` and offered again with the next batch, before
+    its own rows are: none is lost. Each batch rewrites what is pending after it.
 
     Each batch writes its own `batch_id=` folders and replaces them when it is replayed, so a restart neither
     loses nor repeats rows. The cache only grows by the new entries of a batch; a batch reads the entries of
@@ -41,12 +53,21 @@ def review_batches(rules, scorer, options_for, out):
         if batch.rdd.getNumPartitions() < cores:
             # Fewer splits than cores: what arrived is small, spread it.
             batch = batch.repartition(cores, "path")
+        waiting = _read_or_empty(spark, f"{out}/pending", _STORED_PENDING)
+        last = waiting.filter(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
+        batch = batch.select("path", "content")
+        if last is not None:
+            batch = waiting.filter(F.col("batch_id") == last).select("path", "content").unionByName(batch)
         stored = _read_or_empty(spark, f"{out}/cache", _STORED_CACHE)
         cache = stored.filter(F.col("batch_id") < batch_id).select(CACHE.fieldNames())
         result = review(batch, rules, scorer, options_for(batch_id), cache)
-        for name in ("findings", "new_cache", "usage"):
+        for name in ("findings", "new_cache", "usage", "deferred", "rejected"):
             folder = "cache" if name == "new_cache" else name
             getattr(result, name).write.mode("overwrite").parquet(f"{out}/{folder}/batch_id={batch_id}")
+        failed = result.rejected.filter("reject_reason = 'call_failed'").select("path")
+        left = materialize(result.deferred.select("path").union(failed).distinct(), "left")
+        pending = semi_by_key(batch, left, ["path"], "left_semi").dropDuplicates(["path", "content"])
+        pending.write.mode("overwrite").parquet(f"{out}/pending/batch_id={batch_id}")
 
     return run
 

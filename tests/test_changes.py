@@ -3,7 +3,7 @@ from rulelens.sources.changes import changed_rows, mark_new, parse_hunks
 PATCH = """diff --git a/m.py b/m.py
 --- a/m.py
 +++ b/m.py
-@@ -1,3 +1,4 @@ def f():
+@@ -1,5 +1,5 @@ def f():
  keep
 -gone
 +new
@@ -22,16 +22,16 @@ def test_hunks(spark):
     df = spark.createDataFrame([("m.py", PATCH), ("none", "no hunks"), ("empty", "")], "path string, patch string")
     got = [tuple(r) for r in parse_hunks(df).orderBy("hunk_no").collect()]
     assert got == [
-        ("m.py", 1, 1, 4, "keep\nnew\nkept again", "def f():"),
+        ("m.py", 1, 1, 5, "keep\nnew\n++lost\n\nkept again", "def f():"),
         ("m.py", 2, 11, 11, "one", ""),
         ("m.py", 3, 21, 20, "", "spaced"),
     ]
 
 
 def test_hunk_headers_must_start_a_line(spark):
-    text = "@@ -1 +1 @@\n+a @@ -5 +5 @@ b\n @@ -6 +6 @@"
+    text = "@@ -1 +1,2 @@\n+a @@ -5 +5 @@ b\n @@ -6 +6 @@"
     df = spark.createDataFrame([("p", text)], "path string, patch string")
-    assert [tuple(r) for r in parse_hunks(df).collect()] == [("p", 1, 1, 1, "a @@ -5 +5 @@ b\n@@ -6 +6 @@".replace("\n@@", "\n@@"), "")]
+    assert [tuple(r) for r in parse_hunks(df).collect()] == [("p", 1, 1, 2, "a @@ -5 +5 @@ b\n@@ -6 +6 @@".replace("\n@@", "\n@@"), "")]
 
 
 def test_changes(corpus):

@@ -1,3 +1,5 @@
+import pytest
+
 from rulelens.operators.match import applicable_rules, content_matches, detect_lines, match_rules, path_matches
 from rulelens.packs import CHAT, HOUSE, PACKS
 from rulelens.sources.rules import Rule, compose_rules
@@ -27,9 +29,9 @@ def pairs(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_both_strategies_apply_path_and_content_triggers(corpus):
-    for strategy in ("columns", "python"):
-        assert pairs(applicable_rules(corpus(ROWS), RULES, strategy)) == sorted(WANTED)
+def test_any_chunking_applies_path_and_content_triggers(corpus):
+    for chunk in (250, 2):
+        assert pairs(applicable_rules(corpus(ROWS), RULES, chunk)) == sorted(WANTED)
 
 
 def test_rule_ids_are_sorted_and_empty_without_rules(corpus):
@@ -38,10 +40,30 @@ def test_rule_ids_are_sorted_and_empty_without_rules(corpus):
     assert [r["rule_ids"] for r in match_rules(corpus(ROWS), []).collect()] == [[]] * len(ROWS)
 
 
-def test_many_rules_switch_to_batches(corpus):
-    many = [Rule(f"m/{i}", "n", code_patterns=(f"k{i}k",)) for i in range(501)]
-    plan = match_rules(corpus([("p", "k7k k400k")]), many)
-    assert plan.first()["rule_ids"] == ["m/400", "m/7"]
+def test_many_rules_and_null_rows(corpus):
+    many = [Rule(f"m/{i}", "n", code_patterns=(f"k{i}k",)) for i in range(1200)]
+    found = {r["path"]: r["rule_ids"] for r in match_rules(corpus([("p", "k7k k400k k1100k"), ("q", None), (None, "k8k")]), many).collect()}
+    assert found == {"p": ["m/1100", "m/400", "m/7"], "q": [], None: ["m/8"]}
+
+
+def test_patterns_mean_what_python_means(corpus):
+    import re
+
+    patterns = ["[a&&b]&", "a{,3}b", "[[]", "[[:]y", "foo(?#c)", "[]x]", r"[\]]z", "[^]]"]
+    texts = ["a&", "&&", "aab", "[", ":y", "foo", "]", "x", "]z", "q"]
+    rules = [Rule(f"p/{i}", "n", code_patterns=(p,)) for i, p in enumerate(patterns)]
+    got = {r["content"]: r["rule_ids"] for r in match_rules(corpus([("p", t) for t in texts]), rules).collect()}
+    assert got == {t: [f"p/{i}" for i, p in enumerate(patterns) if re.search(p, t)] for t in texts}
+    for pattern in (r"(?a)\w+", "(unclosed"):
+        with pytest.raises(ValueError, match="rule bad/one"):
+            match_rules(corpus(ROWS), [Rule("bad/one", "n", code_patterns=(pattern,))])
+
+
+def test_lines_are_those_of_the_snippet(corpus):
+    rule = [Rule("w/bad", "n" * 100, code_patterns=("worthless$",))]
+    rows = detect_lines(corpus([("u", "a\u2028bad\nworthless"), ("c", "x\r\nworthless\r\n"), ("r", "x\rworthless")]), rule).collect()
+    assert sorted((r["path"], r["start_line"]) for r in rows) == [("c", 2), ("r", 2), ("u", 3)]
+    assert {r["title"] for r in rows} == {"n" * 100}
 
 
 def test_single_triggers(corpus):

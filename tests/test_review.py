@@ -176,3 +176,18 @@ def test_budget_on_its_own(spark, corpus):
     assert [r["path"] for r in deferred.orderBy("path").collect()] == ["d.txt", "e.py"]
     everything, nothing = apply_budget(corpus(ROWS).select("path"), None)
     assert everything.count() == 5 and nothing.count() == 0
+
+
+def test_repeated_rows_are_scored_once(spark, corpus):
+    rows = [("a.py", "TODO")] * 5 + [("b.py", "TODO"), ("b.py", "TODO x")]
+    result = review(corpus(rows), RULES, SCORER, options())
+    assert result.usage.count() == 3 and meta(result) == (3, 0, 0, 3, 0)
+    assert plain(result.findings) == [("a.py", "py/todo", 1), ("b.py", "py/todo", 1)]
+    again = review(corpus(rows), RULES, SCORER, options(budget=1), result.new_cache)
+    assert meta(again) == (3, 0, 3, 0, 0) and plain(again.findings) == plain(result.findings)
+
+
+def test_long_texts_are_scored_whole(spark, corpus):
+    rows = corpus([("long.py", "x" * 30_000 + " eval(1)")])
+    assert len(plain(review(rows, RULES, SCORER, options()).findings)) == 2
+    assert plain(review(rows, RULES, SCORER, options(max_prompt_chars=1000)).findings) == []

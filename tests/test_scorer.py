@@ -80,10 +80,13 @@ RULES = [Rule("b/two", "Two", "minor", description="d" * 150), Rule("a/one", "On
 def test_prompt(spark):
     df = spark.createDataFrame([("p", "é" * 10_001, ["a/one", "b/two"]), ("q", "x", [])], "path string, content string, rule_ids array<string>")
     prompt = {r["path"]: r["prompt"] for r in with_prompt(df, RULES).collect()}
-    assert "- a/one: One (blocker) - short...\n- b/two: Two (minor) - " + "d" * 100 + "...\n" in prompt["p"]
-    assert "é" * 10_000 in prompt["p"] and "é" * 10_001 not in prompt["p"] and "Path: p\n" in prompt["p"]
+    assert '"rule": "a/one"' in prompt["p"] and "d" * 150 in prompt["p"]
+    assert "é" * 10_001 in prompt["p"] and "Path: p\n" in prompt["p"]
+    short = {r["path"]: r["prompt"] for r in with_prompt(df, RULES, max_chars=10).collect()}
+    assert "é" * 10 in short["p"] and "é" * 11 not in short["p"]
     assert "Spanish" in df.select(build_prompt(F.col("path"), F.col("content"), F.col("rule_ids"), RULES, "Spanish")).first()[0]
-    stats = {r["path"]: r for r in prompt_stats(with_prompt(df, RULES)).collect()}
+    stats = {r["path"]: r for r in prompt_stats(with_prompt(df, RULES), 10).collect()}
+    assert not prompt_stats(with_prompt(df, RULES)).filter("truncated").count()
     assert stats["p"]["truncated"] and not stats["q"]["truncated"] and stats["p"]["rules"] == 2
     assert stats["p"]["prompt_chars"] == len(prompt["p"]) and stats["q"]["prompt_tokens"] == len(prompt["q"]) // 4
 

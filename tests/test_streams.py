@@ -4,6 +4,7 @@ from helpers import finding, findings_df
 from pyspark.sql import functions as F
 from test_review import ALL, ROWS, RULES, SCORER, options, plain
 
+from rulelens.operators.scorer import python_scorer
 from rulelens.plans.storage import run_dir
 from rulelens.schemas import CACHE, FINDINGS
 from rulelens.streaming.streams import (
@@ -45,6 +46,27 @@ def test_replayed_batch_changes_nothing(spark, corpus):
     assert plain(spark.read.schema(FINDINGS).parquet(f"{home}/findings")) == ALL
 
 
+def test_rows_over_budget_or_failed_come_back(spark, corpus):
+    home = run_dir(spark, "budget")
+    run = review_batches(RULES, SCORER, lambda b: options(budget=10), home)
+    rows = [(f"{i:02}.py", f"TODO {i}") for i in range(30)]
+    run(corpus(rows), 0)
+    for batch_id in (1, 2, 2):
+        assert spark.read.parquet(f"{home}/pending/batch_id={batch_id - 1}").count() == 30 - 10 * batch_id
+        run(corpus([]), batch_id)
+    assert len(plain(spark.read.schema(FINDINGS).parquet(f"{home}/findings"))) == 30
+    assert spark.read.parquet(f"{home}/pending/batch_id=2").count() == 0
+
+    def broken(prompts):
+        raise RuntimeError("no answer")
+
+    failing = run_dir(spark, "failing")
+    review_batches(RULES, python_scorer(broken), lambda b: options(), failing)(corpus(rows[:3]), 0)
+    assert {r["reject_reason"] for r in spark.read.parquet(f"{failing}/rejected").collect()} == {"call_failed"}
+    review_batches(RULES, SCORER, lambda b: options(), failing)(corpus(rows[3:4]), 1)
+    assert len(plain(spark.read.schema(FINDINGS).parquet(f"{failing}/findings"))) == 4
+
+
 def test_dedup_within_the_delay(spark):
     home = run_dir(spark, "dedup")
 

@@ -6,7 +6,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from rulelens.plans.joins import semi_by_key
 from rulelens.plans.review import review
-from rulelens.plans.storage import materialize
+from rulelens.plans.storage import materialize, run_scope
 from rulelens.schemas import CACHE
 
 
@@ -60,14 +60,15 @@ def review_batches(rules, scorer, options_for, out):
             batch = waiting.filter(F.col("batch_id") == last).select("path", "content").unionByName(batch)
         stored = _read_or_empty(spark, f"{out}/cache", _STORED_CACHE)
         cache = stored.filter(F.col("batch_id") < batch_id).select(CACHE.fieldNames())
-        result = review(batch, rules, scorer, options_for(batch_id), cache)
-        for name in ("findings", "new_cache", "usage", "deferred", "rejected"):
-            folder = "cache" if name == "new_cache" else name
-            getattr(result, name).write.mode("overwrite").parquet(f"{out}/{folder}/batch_id={batch_id}")
-        failed = result.rejected.filter("reject_reason = 'call_failed'").select("path")
-        left = materialize(result.deferred.select("path").union(failed).distinct(), "left")
-        pending = semi_by_key(batch, left, ["path"], "left_semi").dropDuplicates(["path", "content"])
-        pending.write.mode("overwrite").parquet(f"{out}/pending/batch_id={batch_id}")
+        with run_scope(spark):  # what the review stores on its way goes with the batch
+            result = review(batch, rules, scorer, options_for(batch_id), cache)
+            for name in ("findings", "new_cache", "usage", "deferred", "rejected"):
+                folder = "cache" if name == "new_cache" else name
+                getattr(result, name).write.mode("overwrite").parquet(f"{out}/{folder}/batch_id={batch_id}")
+            failed = result.rejected.filter("reject_reason = 'call_failed'").select("path")
+            left = materialize(result.deferred.select("path").union(failed).distinct(), "left")
+            pending = semi_by_key(batch, left, ["path"], "left_semi").dropDuplicates(["path", "content"])
+            pending.write.mode("overwrite").parquet(f"{out}/pending/batch_id={batch_id}")
 
     return run
 

@@ -1,11 +1,12 @@
 from datetime import datetime, timedelta
+from pathlib import Path
 
 from helpers import finding, findings_df
 from pyspark.sql import functions as F
 from test_review import ALL, ROWS, RULES, SCORER, options, plain
 
 from rulelens.operators.scorer import python_scorer
-from rulelens.plans.storage import run_dir
+from rulelens.plans.storage import run_dir, shared_dir
 from rulelens.schemas import CACHE, FINDINGS
 from rulelens.streaming.streams import (
     read_stream,
@@ -60,6 +61,10 @@ def test_rows_over_budget_or_failed_come_back(spark, corpus):
     def broken(prompts):
         raise RuntimeError("no answer")
 
+    # Nothing that a batch stored on its way is left: only the outputs stand in the shared folder.
+    stored = Path(shared_dir(spark).removeprefix("file:")) / "rulelens"
+    assert not [p for p in stored.iterdir() if p.name.startswith("run-")]
+
     failing = run_dir(spark, "failing")
     review_batches(RULES, python_scorer(broken), lambda b: options(), failing)(corpus(rows[:3]), 0)
     assert {r["reject_reason"] for r in spark.read.parquet(f"{failing}/rejected").collect()} == {"call_failed"}

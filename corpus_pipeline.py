@@ -9,7 +9,7 @@ from rulelens.llm.jaccard import one_per_component
 from rulelens.llm.quality import keep_good
 from rulelens.llm.queries import rank_file
 from rulelens.llm.substrings import cut_duplicates
-from rulelens.plans.storage import materialize
+from rulelens.plans.storage import run_dir, run_scope
 
 
 def quality_stage(spark, docs, sf_dir):
@@ -61,5 +61,9 @@ def run(spark, sf_dir):
     """All stages on the documents; each reads what the one before has written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = run_dir(spark, name.replace(" ", "-"))
+        with run_scope(spark):  # what a stage stores on its way goes with it
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

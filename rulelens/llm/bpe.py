@@ -22,8 +22,8 @@ from rulelens.llm.texts import text_slices
 
 # Long texts are worked off in pieces of about so many characters.
 SEGMENT_CHARS = 1 << 20
-MAX_STATES = 600_000
-MAX_CHUNKS = 180_000
+MAX_STATES = 350_000
+MAX_CHUNKS = 100_000
 # Ids decoded at a time.
 DECODE_IDS = 1 << 16
 NEVER = 1 << 60
@@ -62,6 +62,8 @@ class Transducer:
     def __init__(self, ranks, max_states=MAX_STATES):
         self.ranks = ranks
         self.codes = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
+        # One object a token, however many states hold it.
+        self.tokens = {token: token for token in ranks}
         # Byte strings that some longer token starts with.
         self.openings = {token[:k] for token in ranks for k in range(1, len(token))}
         self.max_states = max_states
@@ -128,7 +130,7 @@ class Transducer:
             if last is False and token in self.codes:
                 left = lasts[start]
                 if left is None or self._stable(left, token):
-                    last = token
+                    last = self.tokens[token]
             if token in openings:
                 live.append(start)
                 paths |= 1 << start
@@ -149,7 +151,7 @@ class Transducer:
         target = self.states.get(key)
         room = len(self.states) + len(self.moves) < self.max_states
         if target is None:
-            target = State(pending, lasts, live, len(self.states) if room else -1)
+            target = State(pending, lasts, tuple(live), len(self.states) if room else -1)
             if room:
                 self.states[key] = target
         move = (target, sure) if sure else target

@@ -72,9 +72,10 @@ def _sparse(index):
 
 
 class Learner:
+    """The state of the regularised leader: sums of gradients and of their squares."""
+
     def __init__(self, z, n):
         self.z, self.n = z.copy(), n.copy()
-        self.l1 = L1
 
     def learn(self, index, label):
         at, x = _sparse(index)
@@ -134,9 +135,10 @@ def fit(docs, labels, id_col="doc_id", text_col="text", train_rows=TRAIN_ROWS):
     z, n = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
     for _ in range(EPOCHS):
         moves = rows.mapInArrow(_train(z, n), "index int, z double, n double")
-        for index, dz, dn in moves.groupBy("index").agg(F.sum("z"), F.sum("n")).collect():
-            z[index] += dz / SHARDS
-            n[index] += dn / SHARDS
+        total = moves.groupBy("index").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()
+        at = total["index"].to_numpy()
+        z[at] += total["z"].to_numpy() / SHARDS
+        n[at] += total["n"].to_numpy() / SHARDS
     return _weights(z, n)
 
 

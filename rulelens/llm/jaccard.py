@@ -19,6 +19,8 @@ from rulelens.llm.texts import Words, arrow_list, mix, signed, slices
 from rulelens.plans.joins import semi_by_key
 from rulelens.plans.storage import materialize
 
+# Neighbouring bands differ by a third at least, so sets that link are in one band or in neighbouring ones from here on.
+LEAST_PERCENT = 75
 # Sets of a family compared at a time on either side of a tile.
 BLOCK = 1024
 MAX_BITS = 1 << 16
@@ -101,8 +103,8 @@ def _sums(row, values, n):
     return total
 
 
-def _profile(size, percent):
-    """Rows `(id, n, d1, d2, parts)`: set size, 128 bits that stand for the set, hashes of its parts."""
+def _profile(size):
+    """Rows `(id, n, d1, d2)`: set size, and 128 bits that stand for the set."""
 
     def convert(batches):
         for batch in batches:
@@ -110,17 +112,29 @@ def _profile(size, percent):
                 words = Words(batch["text"].slice(at, k), lower=True)
                 row, h = _sets(words, k, size)
                 n = np.bincount(row, minlength=k)
-                part_row, parts = _signatures(row, h, n, percent)
-                offsets = np.searchsorted(part_row, np.arange(k + 1))
                 sums = [_sums(row, mix(h + np.uint64(salt)), k) for salt in (1, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"].slice(at, k), pa.array(n), *[pa.array(signed(s)) for s in sums], arrow_list(signed(parts), offsets)],
-                    names=["id", "n", "d1", "d2", "parts"],
+                    [batch["id"].slice(at, k), pa.array(n), *[pa.array(signed(s)) for s in sums]], names=["id", "n", "d1", "d2"]
                 )
 
     return convert
 
 
+def _part_rows(size, percent):
+    """Rows `(part, id)`: hashes of the parts of every set."""
+
+    def convert(batches):
+        for batch in batches:
+            for at, k in slices(batch, "text"):
+                words = Words(batch["text"].slice(at, k), lower=True)
+                row, h = _sets(words, k, size)
+                row, parts = _signatures(row, h, np.bincount(row, minlength=k), percent)
+                ids = batch["id"].slice(at, k).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(parts)), ids], names=["part", "id"])
+
+    return convert
+
+
 def _leaders(batches):
     """From rows sorted by part and id: every id with the smallest one that has the part."""
     last = None
@@ -146,7 +160,8 @@ def _member_sets(size):
                 row, h = _sets(words, k, size)
                 offsets = np.searchsorted(row, np.arange(k + 1))
                 columns = [batch[c].slice(at, k) for c in ("family", "id")]
-                yield pa.RecordBatch.from_arrays([*columns, arrow_list(signed(h), offsets)], names=["family", "id", "set"])
+                columns += [pa.array(signed(_sums(row, mix(h), k))), arrow_list(signed(h), offsets)]
+                yield pa.RecordBatch.from_arrays(columns, names=["family", "id", "key", "set"])
 
     return convert
 
@@ -192,7 +207,8 @@ def _against_leader(percent):
                 for a, b in zip(_list_arrays(part["set"]), _list_arrays(part["leader_set"])):
                     distance.append(_distance(a, b, percent))
             yield pa.RecordBatch.from_arrays(
-                [batch["family"], batch["id"], pa.array(distance, pa.float64())], names=["family", "id", "distance"]
+                [*(batch[c] for c in ("family", "id", "key")), pa.array(distance, pa.float64())],
+                names=["family", "id", "key", "distance"],
             )
 
     return convert
@@ -267,41 +283,46 @@ def jaccard_components(docs, size=3, percent=90, id_col="doc_id", text_col="text
     n-gram. Two ids link when the overlap of their sets is at least `percent` percent of the union. A null or blank text
     has an empty set and links with nothing. An id is one document, whatever its rows; rows map one to one; rows
     with a null id link with nothing and have a null component. Other columns are not looked at. Ids are whole
-    numbers, texts are compared by 64-bit hashes of their n-grams.
+    numbers, texts are compared by 64-bit hashes of their n-grams; `percent` is from 75 to 100.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {LEAST_PERCENT} to 100")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    profiles = texts.mapInArrow(_profile(size, percent), "id bigint, n bigint, d1 bigint, d2 bigint, parts array<bigint>")
-    profiles = materialize(profiles, "profiles")
+    profiles = materialize(texts.mapInArrow(_profile(size), "id bigint, n bigint, d1 bigint, d2 bigint"), "profiles")
     real = profiles.filter("id is not null and n > 0")
-    classes = real.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "parts")).alias("first"))
     # Stored, so that the join with a class of very many ids below can be split.
-    classes = materialize(classes.select("d1", "d2", "n", "first.id", "first.parts"), "classes")
-    parts = classes.select("id", F.explode("parts").alias("part"))
+    classes = materialize(real.groupBy("d1", "d2", "n").agg(F.min("id").alias("id")), "classes")
+    parts = texts.filter("id is not null").mapInArrow(_part_rows(size, percent), "part bigint, id bigint")
     meets = parts.repartition("part").sortWithinPartitions("part", "id").mapInArrow(_leaders, "u bigint, v bigint")
     members = components(meets)
     members = members.select(F.col("component").alias("family"), F.col("u").alias("id"))
-    members = materialize(members.unionByName(members.select("family", F.col("family").alias("id")).distinct()), "members")
+    members = members.unionByName(members.select("family", F.col("family").alias("id")).distinct())
+    # Of a class its smallest id stands for all; it is the smallest that has any of their parts.
+    members = materialize(members.join(classes.select("id").distinct(), "id", "left_semi"), "members")
     listed = members.count() <= 200_000
     own = texts.join(F.broadcast(members) if listed else members, "id").select("family", "id", "text")
-    sets = own.mapInArrow(_member_sets(size), "family bigint, id bigint, set array<bigint>")
+    sets = own.mapInArrow(_member_sets(size), "family bigint, id bigint, key bigint, set array<bigint>")
     sets = materialize(sets, "sets")
+    if sets.count() > members.count():  # ids of several rows: each of their texts once
+        sets = materialize(sets.dropDuplicates(["family", "id", "key"]), "sets")
 
-    leaders = sets.filter("id = family").select("family", F.col("set").alias("leader_set")).distinct()
+    leaders = sets.filter("id = family").select("family", F.col("set").alias("leader_set"))
     others = sets.filter("id != family")
-    compared = others.join(leaders, "family").select("family", "id", "set", "leader_set")
-    compared = compared.mapInArrow(_against_leader(percent), "family bigint, id bigint, distance double")
-    # An id of several texts takes its nearest.
-    compared = materialize(compared.groupBy("family", "id").agg(F.min("distance").alias("distance")), "compared")
+    compared = others.join(leaders, "family").select("family", "id", "key", "set", "leader_set")
+    compared = compared.mapInArrow(_against_leader(percent), "family bigint, id bigint, key bigint, distance double")
+    # Of a leader with several texts the nearest counts.
+    compared = compared.groupBy("family", "id", "key").agg(F.min("distance").alias("distance"))
+    compared = materialize(compared, "compared")
     limit = F.lit((100 - percent) / 100 + 1e-9)
     linked = compared.filter(F.col("distance") <= limit)
     apart = compared.filter(F.col("distance").isNull() | (F.col("distance") > limit))
     # Linked sets matter only where a set that did not link is near enough to link to one of them.
     reach = apart.groupBy("family").agg((F.min("distance") - limit - 1e-9).alias("reach"))
     edge = linked.join(reach, "family").filter("distance >= reach")
-    rest = apart.select("family", "id", F.lit(False).alias("tied")).unionByName(
-        edge.select("family", "id", F.lit(True).alias("tied"))
+    rest = apart.select("family", "id", "key", F.lit(False).alias("tied")).unionByName(
+        edge.select("family", "id", "key", F.lit(True).alias("tied"))
     )
-    tiles = _tiles(others.join(rest, ["family", "id"]), percent)
+    tiles = _tiles(others.join(rest, ["family", "id", "key"]), percent)
     more = tiles.groupBy("family", "band", "i", "j").applyInArrow(_tile(percent), "u bigint, v bigint")
 
     links = linked.select(F.col("id").alias("u"), F.col("family").alias("v")).unionByName(more)

@@ -5,7 +5,7 @@ the encoding of any prefix is the encoding of a shorter prefix plus one token, a
 encoding of its bytes exactly if every neighbouring pair is (`_stable`). So the last token of a position is found
 among the tokens that end there, and a position can start a token later only while the bytes since it open a longer
 token ("live"). What all live positions share of their histories is emitted. A state is the last emitted token and
-the bytes after it; states and transitions are made when first needed and forgotten when too many.
+the bytes after it; states and moves are made when first needed and kept up to a number.
 """
 
 import base64

@@ -19,7 +19,7 @@ BOUND_SDS, THRESHOLD = 1.645, 0.5
 
 def split_url(url):
     """`(host, path)`: both empty for a null or one without `://`."""
-    rest = F.when(F.locate("://", url) > 0, F.expr("substr(_url, locate('://', _url) + 3)")).otherwise("")
+    rest = F.when(F.locate("://", url) > 0, F.substr(url, F.locate("://", url) + F.lit(3))).otherwise("")
     host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, UPPER.lower())
     return host, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 

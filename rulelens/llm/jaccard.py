@@ -160,8 +160,8 @@ def _member_sets(size):
                 row, h = _sets(words, k, size)
                 offsets = np.searchsorted(row, np.arange(k + 1))
                 columns = [batch[c].slice(at, k) for c in ("family", "id")]
-                columns += [pa.array(signed(_sums(row, mix(h), k))), arrow_list(signed(h), offsets)]
-                yield pa.RecordBatch.from_arrays(columns, names=["family", "id", "key", "set"])
+                columns += [pa.array(signed(_sums(row, mix(h), k))), pa.array(np.diff(offsets)), arrow_list(signed(h), offsets)]
+                yield pa.RecordBatch.from_arrays(columns, names=["family", "id", "key", "n", "set"])
 
     return convert
 
@@ -259,8 +259,11 @@ def _tile(percent):
 
 
 def _tiles(rows, percent):
-    """Rows of a family dealt to size-banded tiles, and large tiles to pairs of blocks: each pair meets in a tile."""
-    size = F.size("set")
+    """Rows of a family dealt to size-banded tiles, and large tiles to pairs of blocks: each pair meets in a tile.
+
+    The rows are without their sets, which are large and join them once, when all is dealt.
+    """
+    size = F.col("n")
     edges = F.array(*[F.lit(int(e)) for e in BANDS])
     band = F.size(F.filter(edges, lambda e: e <= size))
     upper = F.get(edges, band)
@@ -272,7 +275,7 @@ def _tiles(rows, percent):
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select(
         "family", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "id", "set", "tied", "block",
+        "id", "key", "tied", "block",
     )
 
 
@@ -301,7 +304,7 @@ def jaccard_components(docs, size=3, percent=90, id_col="doc_id", text_col="text
     members = materialize(members.join(classes.select("id").distinct(), "id", "left_semi"), "members")
     listed = members.count() <= 200_000
     own = texts.join(F.broadcast(members) if listed else members, "id").select("family", "id", "text")
-    sets = own.mapInArrow(_member_sets(size), "family bigint, id bigint, key bigint, set array<bigint>")
+    sets = own.mapInArrow(_member_sets(size), "family bigint, id bigint, key bigint, n bigint, set array<bigint>")
     sets = materialize(sets, "sets")
     if sets.count() > members.count():  # ids of several rows: each of their texts once
         sets = materialize(sets.dropDuplicates(["family", "id", "key"]), "sets")
@@ -322,7 +325,8 @@ def jaccard_components(docs, size=3, percent=90, id_col="doc_id", text_col="text
     rest = apart.select("family", "id", "key", F.lit(False).alias("tied")).unionByName(
         edge.select("family", "id", "key", F.lit(True).alias("tied"))
     )
-    tiles = _tiles(others.join(rest, ["family", "id", "key"]), percent)
+    slim = others.select("family", "id", "key", "n").join(rest, ["family", "id", "key"])
+    tiles = _tiles(slim, percent).join(others.select("family", "id", "key", "set"), ["family", "id", "key"])
     more = tiles.groupBy("family", "band", "i", "j").applyInArrow(_tile(percent), "u bigint, v bigint")
 
     links = linked.select(F.col("id").alias("u"), F.col("family").alias("v")).unionByName(more)

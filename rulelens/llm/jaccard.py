@@ -81,7 +81,8 @@ def _signatures(row, h, n, percent):
         base = np.concatenate([[0], np.cumsum(parts)])
         mine = here[row]
         r, x = row[mine], h[mine]
-        at = base[r] + (mix(x + np.uint64(up + 1)) % parts[r].astype(np.uint64)).astype(np.int64)
+        # By the tile, not by `up`: sets of both bands that meet in a tile are cut alike.
+        at = base[r] + (mix(x + tile[r].astype(np.uint64)) % parts[r].astype(np.uint64)).astype(np.int64)
         total = np.zeros(base[-1], np.uint64)
         np.add.at(total, at, mix(x ^ np.uint64(0x5BD1E995)))
         filled = np.bincount(at, minlength=base[-1]) > 0

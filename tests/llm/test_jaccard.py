@@ -46,3 +46,22 @@ def test_one_row_of_each_component_stays(spark):
     assert kept.columns == docs.columns
     assert sorted(r["u"] for r in kept.collect()) == [2, 4, 5]
     assert jaccard.one_per_component(docs.limit(0)).count() == 0
+
+
+def test_links_across_band_edges(spark):
+    def text(name, shared, own):  # shared + own - 4 shingles of five words
+        return " ".join([f"{name}s{i}" for i in range(shared)] + [f"{name}{own}{i}" for i in range(own)])
+
+    data, pairs = [], []
+    for e in jaccard.BANDS[(jaccard.BANDS >= 6) & (jaccard.BANDS <= 711)].tolist():
+        least = -(-80 * e // 100)  # e shingles over the edge, as few below it as link, and one less than the edge
+        for n in {least, e - 1}:
+            pairs.append((f"e{e}n{n}", (n + 4, 0), (n + 4, e - n)))
+    pairs.append(("p582", (84, 14), (84, 5)))  # 94 and 85 shingles, 80 of them in both: documents 582 and 875 of sf0.01
+    for k, (name, a, b) in enumerate(pairs):
+        data += [(2 * k, text(name, *a)), (2 * k + 1, text(name, *b))]
+    want = by_definition(data, 5, 80)
+    assert all(want[2 * k + 1] == 2 * k for k in range(len(pairs)))
+    docs = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs, 5, 80).collect()}
+    assert got == want

@@ -1,15 +1,23 @@
 """Cross-entropy difference: how much better a target model foretells a text than a background model of all texts.
 
-Both are bigram models interpolated with unigrams over one vocabulary: words hashed to a fixed number of cells, and pairs
-of words likewise. Counts cover every word of every text, added up in each task before they are shuffled; the number
-of cells bounds the model, whatever the size of the corpus.
+Both are bigram models interpolated with unigrams over one vocabulary. `count_tables` keeps the counts of every word, context
+and pair as stored tables by full 64-bit hashes, so the model grows with the corpus and stays off the driver; `score_tables`
+deals texts to chunks of bounded size and joins each chunk's distinct pairs with them. Counts cover every word of every
+text, added up in each task before they are shuffled.
+
+`fit` and `score` are the same with words and pairs hashed to a fixed number of cells, for corpora that are small for them.
 """
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulelens.llm.texts import PRIME, Words, mix, slices
+from rulelens.llm.texts import PRIME, Words, mix, signed, slices
+from rulelens.plans.joins import lookup_join
 from rulelens.plans.storage import materialize
 
 WORD_CELLS = 1 << 18
@@ -18,14 +26,21 @@ PAIR_CELLS = 1 << 20
 PAIR_WEIGHT, UNSEEN = 0.6, 0.1
 BEGIN = np.uint64(0x2545F4914F6CDD1D)
 MAX_BROADCAST_ROWS = 200_000
+# Texts that are scored together, in bytes; one longer text is a chunk alone.
+CHUNK_BYTES = 8 << 20
 
 
-def _cells(words):
-    """Cells of every word, of the word before it (a text's first follows a mark), and of the pair."""
+def _keys(words):
+    """Hashes of every word, of the word before it (a text's first follows a mark), and of the pair."""
     before = np.empty_like(words.hash)
     before[1:] = words.hash[:-1]
     before[words.first[:-1][words.counts > 0]] = BEGIN
-    pair = mix(before * PRIME + words.hash)
+    return words.hash, before, mix(before * PRIME + words.hash)
+
+
+def _cells(words):
+    """Cells of every word, of the word before it, and of the pair."""
+    _, before, pair = _keys(words)
     cell = lambda h, n: (h % np.uint64(n)).astype(np.int64)
     return cell(mix(words.hash), WORD_CELLS), cell(mix(before), WORD_CELLS), cell(pair, PAIR_CELLS)
 
@@ -49,17 +64,22 @@ def _count(batches):
         )
 
 
+def _marked(docs, target_ids, id_col, text_col):
+    """`(text, target)`: whether the text is one of the target's."""
+    ids = materialize(target_ids.select(F.col(id_col).alias("_id")).distinct().withColumn("target", F.lit(True)), "targets")
+    short = ids.count() <= MAX_BROADCAST_ROWS
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    rows = rows.join(F.broadcast(ids) if short else ids, "_id", "left")
+    return rows.select("text", F.coalesce("target", F.lit(False)).alias("target"))
+
+
 def fit(docs, target_ids, id_col="doc_id", text_col="text"):
     """Counts of both models, `[words, contexts, pairs]` each of shape (2, cells): target first.
 
     `target_ids` has the ids of the target texts; every text counts as background. The model is read as Arrow columns; its
     size is bounded by the cells.
     """
-    ids = materialize(target_ids.select(F.col(id_col).alias("_id")).distinct().withColumn("target", F.lit(True)), "targets")
-    short = ids.count() <= MAX_BROADCAST_ROWS
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(ids) if short else ids, "_id", "left")
-    rows = rows.select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    rows = _marked(docs, target_ids, id_col, text_col)
     counted = rows.mapInArrow(_count, "kind int, cell int, target bigint, background bigint")
     table = counted.groupBy("kind", "cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
     kind, cell = table["kind"].to_numpy(), table["cell"].to_numpy()
@@ -108,3 +128,128 @@ def score(docs, model, id_col="doc_id", text_col="text"):
     kind = rows.dtypes[0][1]
     schema = f"id {kind}, n_tokens bigint, target_loss double, background_loss double, score double"
     return rows.mapInArrow(convert, schema).withColumnRenamed("id", id_col)
+
+
+# ---- the same with counts as tables ----
+
+
+class Counts(NamedTuple):
+    """Stored counts in the target and the background, and their sums; `vocabulary` has one word more for all unseen ones."""
+
+    pairs: DataFrame
+    words: DataFrame
+    contexts: DataFrame
+    total: tuple
+    vocabulary: int
+
+
+def _pair_counts(batches):
+    for batch in batches:
+        for at, n in slices(batch, "text", CHUNK_BYTES):
+            words = Words(batch["text"].slice(at, n), lower=True)
+            target = batch["target"].slice(at, n).to_numpy(zero_copy_only=False).astype(bool)[words.row]
+            word, before, pair = _keys(words)
+            _, first, which = np.unique(pair, return_index=True, return_inverse=True)
+            counts = [np.bincount(w, minlength=len(first)) for w in (which[target], which)]
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(signed(h[first])) for h in (pair, before, word)], *[pa.array(c) for c in counts]],
+                names=["pair", "before", "word", "target", "background"],
+            )
+
+
+def count_tables(docs, target_ids, id_col="doc_id", text_col="text"):
+    """Counts of both models; `target_ids` has the ids of the target texts, every text counts as background."""
+    sums = [F.sum(c).alias(c) for c in ("target", "background")]
+    counted = _marked(docs, target_ids, id_col, text_col).mapInArrow(
+        _pair_counts, "pair bigint, before bigint, word bigint, target bigint, background bigint"
+    )
+    pairs = materialize(counted.groupBy("pair", "before", "word").agg(*sums), "pairs")
+    words, contexts = (materialize(pairs.groupBy(c).agg(*sums), f"{c}s") for c in ("word", "before"))
+    target, background, types = words.agg(*sums, F.count(F.lit(1))).first()
+    return Counts(pairs, words, contexts, (target or 0, background or 0), types + 1)
+
+
+def _pair_losses(pairs, counts):
+    """`pairs` (pair, before, word, target, background, the last two null or 0 if it never occurred) with its losses."""
+    named = lambda df, name: df.withColumnsRenamed({"target": f"{name}_target", "background": f"{name}_background"})
+    # A hot word or context has pairs up to the vocabulary.
+    one = materialize(lookup_join(pairs, named(counts.words, "one"), ["word"], spread=("pair",)).drop("word"), "ones")
+    found = lookup_join(one, named(counts.contexts, "seen"), ["before"], spread=("pair",))
+
+    def loss(side, total):
+        number = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("double")
+        single = (number(f"one_{side}") + UNSEEN) / F.lit(total + UNSEEN * counts.vocabulary)
+        seen = number(f"seen_{side}")
+        share = F.when(seen > 0, number(side) / seen).otherwise(single)
+        return (-F.log(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * single)).alias(f"{side}_loss")
+
+    return found.select("pair", *(loss(s, t) for s, t in zip(("target", "background"), counts.total)))
+
+
+def _chunked(batches):
+    """The rows with the number of their chunk: texts of one task, up to `CHUNK_BYTES`."""
+    chunk = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for at, n in slices(batch, "text", CHUNK_BYTES):
+            rows = batch.slice(at, n)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(n, chunk))], names=["id", "text", "chunk"])
+            chunk += 1
+
+
+def _chunk_pairs(batches):
+    """Distinct pairs of a chunk's texts. A chunk that is read in parts gives a pair for each part."""
+    for batch in batches:
+        chunk = batch["chunk"].to_numpy()
+        cuts = np.flatnonzero(np.diff(chunk)) + 1
+        for begin, end in zip([0, *cuts], [*cuts, len(chunk)]):
+            part = batch.slice(begin, end - begin)
+            for at, n in slices(part, "text", CHUNK_BYTES):
+                keys = _keys(Words(part["text"].slice(at, n), lower=True))
+                _, first = np.unique(keys[2], return_index=True)
+                word, before, pair = (pa.array(signed(h[first])) for h in keys)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), chunk[begin])), pair, before, word], names=["chunk", "pair", "before", "word"]
+                )
+
+
+def _score_chunk(texts, losses):
+    key = losses["pair"].to_numpy()
+    order = np.argsort(key)
+    key, values = key[order], [losses[c].to_numpy()[order] for c in ("target_loss", "background_loss")]
+    out = []
+    for batch in texts.combine_chunks().to_batches():
+        for at, n in slices(batch, "text"):
+            words = Words(batch["text"].slice(at, n), lower=True)
+            many = words.counts
+            place = np.searchsorted(key, signed(_keys(words)[2]))
+            mean = [np.bincount(words.row, v[place], minlength=n) / np.maximum(many, 1) for v in values]
+            columns = [pa.array(v, mask=many == 0) for v in (*mean, mean[1] - mean[0])]
+            out.append(pa.RecordBatch.from_arrays(
+                [batch["id"].slice(at, n), pa.array(many), *columns],
+                names=["id", "n_tokens", "target_loss", "background_loss", "score"],
+            ))
+    return pa.Table.from_batches(out)
+
+
+def score_tables(docs, counts, id_col="doc_id", text_col="text"):
+    """As `score`, by the counts of `count_tables`; the texts need not be those that were counted."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.dtypes[0][1]
+    texts = materialize(rows.mapInArrow(_chunked, f"id {kind}, text string, chunk bigint"), "chunks")
+    wanted = texts.select("chunk", "text").mapInArrow(_chunk_pairs, "chunk bigint, pair bigint, before bigint, word bigint")
+    known = materialize(_pair_losses(counts.pairs, counts), "losses")
+    # A pair has one row per chunk it is in, however often it occurs.
+    met = wanted.join(known, "pair", "left")
+    new = F.col("target_loss").isNull()
+    met = met.withColumns({c: F.when(new, F.col(c)) for c in ("before", "word")})
+    met = materialize(met, "met")
+    losses = met.filter(~new).select("chunk", "pair", "target_loss", "background_loss")
+    unmet = met.filter(new).select("chunk", "pair", "before", "word")
+    if not unmet.isEmpty():
+        zero = F.lit(0).cast("bigint")
+        fresh = unmet.select("pair", "before", "word").distinct().withColumns({"target": zero, "background": zero})
+        fresh = _pair_losses(materialize(fresh, "fresh"), counts)
+        losses = losses.unionByName(unmet.select("chunk", "pair").join(fresh, "pair").select(losses.columns))
+    schema = f"id {kind}, n_tokens bigint, target_loss double, background_loss double, score double"
+    scored = texts.groupBy("chunk").cogroup(losses.groupBy("chunk")).applyInArrow(_score_chunk, schema)
+    return scored.withColumnRenamed("id", id_col)

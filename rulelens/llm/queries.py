@@ -152,4 +152,4 @@ def op5_lm_scoring(spark, sf):
     """The target is what the labels call good and not toxic."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     good = table(spark, sf, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
-    return lm.score(docs, lm.fit(docs, good))
+    return lm.score_tables(docs, lm.count_tables(docs, good))

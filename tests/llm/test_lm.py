@@ -1,5 +1,10 @@
+import math
+import random
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from rulelens.llm import lm
 from rulelens.llm.texts import Words
@@ -30,3 +35,61 @@ def test_scores_prefer_the_target(spark):
     assert np.isclose(loss[0, 1], -np.log(2 * share + (1 - lm.PAIR_WEIGHT) * one))
     assert lm.score(docs.limit(0), model).count() == 0
     assert lm.fit(docs.limit(0), docs.select("doc_id"))[0].sum() == 0
+
+
+def by_definition(rows, target, scored):
+    """Losses of each text by counts in dictionaries."""
+    models = []
+    for side in (lambda i: i in target, lambda i: True):
+        one, seen, two = Counter(), Counter(), Counter()
+        for i, text in rows:
+            ws = (text or "").lower().split()
+            one.update(ws * side(i))
+            two.update(list(zip([None, *ws], ws)) * side(i))
+            seen.update([None, *ws][:-1] * side(i) if ws else [])
+        models.append((one, seen, two))
+    types = len(models[1][0]) + 1
+    out = []
+    for i, text in scored:
+        ws, losses = (text or "").lower().split(), []
+        for one, seen, two in models:
+            single = lambda w: (one[w] + lm.UNSEEN) / (one.total() + lm.UNSEEN * types)  # noqa: B023, E731
+            share = lambda b, w: two[b, w] / seen[b] if seen[b] else single(w)  # noqa: B023, E731
+            p = [lm.PAIR_WEIGHT * share(b, w) + (1 - lm.PAIR_WEIGHT) * single(w) for b, w in zip([None, *ws], ws)]
+            losses.append(-sum(map(math.log, p)) / len(ws) if ws else None)
+        out.append((str(i), len(ws), *losses))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("chunk, words", [(8 << 20, 3), (200, 5000)])
+def test_tables_equal_the_definition(spark, monkeypatch, chunk, words):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", chunk)
+    rnd = random.Random(words)
+    rows = [(i, t) for i, t, _ in ROWS]
+    rows += [(i, " ".join(f"w{rnd.randint(0, words * 100)}" for _ in range(200))) for i in range(100, 100 + words // 50)]
+    schema = "doc_id bigint, text string"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    counts = lm.count_tables(docs, spark.createDataFrame([(1,), (1,), (3,), (101,)], "doc_id bigint"))
+    other = [*rows, (7, "b never a"), (8, "a zz"), (9, None)]  # pairs and words that were not counted
+    got = lm.score_tables(spark.createDataFrame(other, schema).repartition(2), counts).collect()
+    got = sorted(((str(r["doc_id"]), r["n_tokens"], r["target_loss"], r["background_loss"]) for r in got), key=str)
+    want = by_definition(rows, {1, 3, 101}, other)
+    key = lambda r: (r[0], r[1], r[3] or 0)
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None)
+        assert a[2] is None or np.allclose(a[2:], b[2:])
+    assert lm.score_tables(docs.limit(0), lm.count_tables(docs.limit(0), docs.select("doc_id"))).count() == 0
+
+
+def test_query_shares_no_cells(spark, tmp_path):
+    """More words than the dense arrays have cells: each of them occurs once, so none may look more frequent."""
+    from rulelens.llm.queries import QUERIES
+
+    n = lm.WORD_CELLS // 1000 + 40
+    spark.range(n).selectExpr("id as doc_id", "array_join(transform(sequence(0, 999), i -> concat('w', id * 1000 + i)), ' ') as text").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = [r for r in QUERIES["op5_lm_scoring"](spark, str(tmp_path)).collect() if r["doc_id"]]
+    assert len(got) == n - 1 and np.ptp([r["background_loss"] for r in got]) < 1e-9

@@ -25,7 +25,8 @@ def _small(df):
 def _words(column):
     """Words of a text as an array; null and wordless texts have an empty one."""
     text = F.translate(F.coalesce(column, F.lit("")), UPPER, UPPER.lower())
-    bare = F.regexp_replace(text, f"^{BREAK}|{BREAK}$", "")
+    # Not `$`, which also stands before a final U+0085, U+2028 or U+2029: these are words.
+    bare = F.regexp_replace(text, f"^{BREAK}|{BREAK}\\z", "")
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BREAK, -1))
 
 

@@ -42,3 +42,15 @@ def test_proximity_allows_shifts(spark):
     bench = spark.createDataFrame([(7, "red fox jumps")], "item_id bigint, text string")
     near = lambda slop: sorted(r["doc_id"] for r in decontaminate.proximity_matches(docs, bench, slop).collect())
     assert near(0) == [1] and near(1) == [1, 2] and near(4) == [1, 2, 3]
+
+
+def test_a_line_separator_at_the_end_is_a_word(spark):
+    ends = ["\u2028", "\u2029", "\u0085", "\n", "\r\n", "."]
+    data = [(i, "red fox bar." + e) for i, e in enumerate(ends)]
+    items = [(7, "red fox bar")]
+    found = decontaminate.phrase_matches(spark.createDataFrame(data, "doc_id bigint, text string"),
+                                         spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["hit_items"]) for r in found.collect()}
+    want = {i: phrase_hits(t, items) for i, t in data}
+    assert got == {i: (n, len(hit), names) for i, (n, hit, names) in want.items()}
+    assert got[0] == (4, 3, ["7"])

@@ -145,6 +145,29 @@ def review_new_cache(spark, sf):
     return entries.select("file_hash", "rules_hash", F.size("findings").cast("bigint").alias("findings"))
 
 
+_META_SQL = """SELECT CAST(count(*) AS BIGINT) AS files_analyzed, CAST(count(*) FILTER (rules = 0) AS BIGINT) AS skipped,
+  CAST((SELECT count(*) FROM hit) AS BIGINT) AS cache_hits, CAST((SELECT count(*) FROM missed) AS BIGINT) AS llm_calls,
+  CAST(0 AS BIGINT) AS deferred FROM keyed"""
+
+
+@query("review_run_meta_whole", f"{_WHOLE} {_META_SQL}")
+def review_run_meta_whole(spark, sf):
+    return review_with_cache(spark, sf, budgeted=False, snippets=False).run_meta.drop("cost_usd")
+
+
+@query(
+    "review_new_cache_whole",
+    f"""{_WHOLE}, kept AS (SELECT k.file_hash, k.rules_hash, k.path, (SELECT count(*) FROM issues i WHERE i.asked = p.asked)
+    + CASE WHEN p.asked = 'tone/insult' THEN 1 ELSE 0 END AS n
+  FROM missed c JOIN keyed k ON k.path = c.path JOIN picked p ON p.path = c.path
+  WHERE p.asked IS NULL OR p.asked <> 'quality/symbol-junk')
+SELECT file_hash, rules_hash, CAST(max(n) AS BIGINT) AS findings FROM kept GROUP BY 1, 2""",
+)
+def review_new_cache_whole(spark, sf):
+    entries = review_with_cache(spark, sf, budgeted=False, snippets=False).new_cache
+    return entries.select("file_hash", "rules_hash", F.size("findings").cast("bigint").alias("findings"))
+
+
 @query(
     "review_pages",
     f"""WITH {PAGES}, {applicable_sql('web')}, {_answers_sql('web')},

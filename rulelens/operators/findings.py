@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rulelens.functions.findings import level_rank
 from rulelens.functions.patterns import any_of
-from rulelens.functions.text import snippet, split_lines
+from rulelens.functions.text import content_hash, snippet, split_lines
 from rulelens.plans.joins import keep_listed, lookup_join
 from rulelens.schemas import MAX_FINDINGS_PER_PATH
 
@@ -110,15 +110,16 @@ def attach_snippet(findings, corpus):
     """Fill `snippet` with the numbered lines around each finding.
 
     If few paths have findings, all other texts are dropped at the scan and never shuffled; a path with very
-    many findings is split over tasks. `findings` is read several times, so pass a stored table.
+    many findings is split over tasks. `findings` is read several times, so pass a stored table. With a `file_hash`
+    column the text is the one of that hash, else a path is taken to have one text.
     """
-    texts = corpus.select("path", split_lines(F.col("content")).alias("_lines"))
-    reviewed = keep_listed(texts, findings.select("path"), ["path"])
-    # A path with several texts is shown in the smallest of them, so that no finding is multiplied.
-    reviewed = reviewed.groupBy("path").agg(F.min("_lines").alias("_lines"))
-    joined = lookup_join(
-        findings.drop("snippet"), reviewed, ["path"], "left", spread=("issue_id",), rows_per_task=100_000
-    )
+    on = ["path", "file_hash"] if "file_hash" in findings.columns else ["path"]
+    hashed = corpus.withColumn("file_hash", content_hash(F.col("content")))
+    texts = hashed.select(*on, split_lines(F.col("content")).alias("_lines"))
+    reviewed = keep_listed(texts, findings.select(*on), on)
+    # Of several texts the smallest is shown, so that no finding is multiplied.
+    reviewed = reviewed.groupBy(*on).agg(F.min("_lines").alias("_lines"))
+    joined = lookup_join(findings.drop("snippet"), reviewed, on, "left", spread=("issue_id",), rows_per_task=100_000)
     text = snippet(F.col("_lines"), F.col("start_line"), F.col("end_line"))
     return joined.withColumn("snippet", text).drop("_lines").select(findings.columns)
 

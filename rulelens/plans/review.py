@@ -124,15 +124,15 @@ def _score_rows(rows, rules, scorer, opts):
 
 
 def _cached_findings(keyed, cache, opts):
-    """Findings of fresh cache entries, bound to the path that asks for them now."""
+    """Findings of fresh cache entries, bound to the path and, by `file_hash`, to the text that ask for them now."""
     hits = cache_lookup(keyed, cache, opts.as_of, opts.ttl_hours)
-    flat = hits.select("path", F.explode("findings").alias("_f"))
+    flat = hits.select("path", "file_hash", F.explode("findings").alias("_f"))
     given = {name: F.col(f"_f.{name}") for name in ("rule_id", "level", "title", "why", "do", "pack", "source")}
     given |= {name: F.col(f"_f.{name}") for name in ("confidence", "tags")}
     given |= {name: F.col(f"_f.location.{name}") for name in ("start_line", "end_line", "start_col", "end_col")}
     given |= {name: F.lit(None).cast("string") for name in ("snippet", "context")}
-    flat = flat.select("path", *[col.alias(name) for name, col in given.items()])
-    return with_issue_id(flat).select(FINDINGS.fieldNames())
+    flat = flat.select("path", "file_hash", *[col.alias(name) for name, col in given.items()])
+    return with_issue_id(flat).select(*FINDINGS.fieldNames(), "file_hash")
 
 
 def _final_findings(candidates, corpus, rules, opts):
@@ -176,7 +176,8 @@ def review(corpus, rules, scorer, opts, cache=None):
     rows = _once(_rows_to_score(matched, chosen, opts, readable is not None), repeated)
     scored = _score_rows(rows, rules, scorer, opts)
 
-    fresh = explode_findings(scored)
+    # Fresh findings carry their snippet; only cached ones look for their text.
+    fresh = explode_findings(scored).withColumn("file_hash", F.lit(None).cast("string"))
     stored = fresh.limit(0) if readable is None else _cached_findings(keyed, readable, opts)
     findings = _final_findings(all_findings(stored, fresh), corpus, rules, opts)
 

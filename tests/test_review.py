@@ -191,3 +191,16 @@ def test_long_texts_are_scored_whole(spark, corpus):
     rows = corpus([("long.py", "x" * 30_000 + " eval(1)")])
     assert len(plain(review(rows, RULES, SCORER, options()).findings)) == 2
     assert plain(review(rows, RULES, SCORER, options(max_prompt_chars=1000)).findings) == []
+
+
+def test_cached_findings_show_the_text_they_were_found_in(spark, corpus):
+    rows = [("a.py", "eval(1)\n# TODO"), ("a.py", "# TODO")]
+    cache = review(corpus(rows), RULES, SCORER, options()).new_cache
+    found = review(corpus(rows), RULES, SCORER, options(), cache)
+    assert meta(found)[2:4] == (2, 0)
+    got = {(r["rule_id"], r["start_line"]): r["snippet"] for r in found.findings.collect()}
+    assert got == {
+        ("py/eval", 1): ">    1 | eval(1)\n     2 | # TODO",
+        ("py/todo", 2): "     1 | eval(1)\n>    2 | # TODO",
+        ("py/todo", 1): ">    1 | # TODO",
+    }

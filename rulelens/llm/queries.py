@@ -4,13 +4,16 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from rulelens.llm import classifier, lm
+from rulelens.llm.audit import audit_sql, filter_audit
 from rulelens.llm.bpe import encode_decode
 from rulelens.llm.chat import preference_format, preference_sql
+from rulelens.llm.collocations import collocations, collocations_sql
 from rulelens.llm.decontaminate import contaminated, phrase_matches, phrase_sql
 from rulelens.llm.hosts import url_filter, url_filter_sql
 from rulelens.llm.jaccard import jaccard_components, jaccard_sql
 from rulelens.llm.langid import fit, predict, read_pieces
 from rulelens.llm.quality import METRICS, metrics_sql, quality_rules
+from rulelens.llm.sharding import shard
 from rulelens.llm.substrings import substring_dedup, substring_sql
 
 QUERIES, ORACLES = {}, {}
@@ -153,3 +156,18 @@ def op5_lm_scoring(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     good = table(spark, sf, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
     return lm.score_tables(docs, lm.count_tables(docs, good))
+
+
+@query("op11_phrase_collocations", f"WITH {collocations_sql('documents')} SELECT * FROM ranked")
+def op11_phrase_collocations(spark, sf):
+    return collocations(table(spark, sf, "documents"))
+
+
+@query("op12_filter_interaction_audit", f"WITH {audit_sql('documents', 'labels')} SELECT * FROM audited")
+def op12_filter_interaction_audit(spark, sf):
+    return filter_audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op13_sharding")
+def op13_sharding(spark, sf):
+    return shard(table(spark, sf, "documents"))

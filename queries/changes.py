@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from queries.base import DOCS, documents, query, table
+from queries.base import DOCS, documents, hash_sql, query, table
 from rulelens.sources.changes import changed_rows, mark_new, parse_hunks
-from rulelens.sources.corpus import spread_small
+from rulelens.sources.corpus import corpus_from_table, spread_small
+from rulelens.sources.diffs import diff_hunks, renamed_rows
 
 # The later snapshot: every 11th document is gone, every 7th edited, every 5th only gets trailing blanks, and
 # every 13th has a new neighbour.
@@ -105,3 +106,89 @@ def hunks(spark, sf):
         F.sha2("content", 256).alias("body_sha"),
         "header",
     )
+
+
+# Another later snapshot, made line by line: every 11th document is gone, every third has one line edited and if its number is
+# even a line more, every 13th has a new neighbour.
+EDITED = f"""{DOCS}, split AS (
+  SELECT path, doc_id, string_split(regexp_replace(content, '\\n$', ''), chr(10)) AS ls FROM docs),
+edited AS (
+  SELECT path, doc_id, doc_id % 3 = 0 AS touched, false AS is_new, CASE WHEN doc_id % 3 = 0 THEN list_concat(list_transform(ls,
+    lambda x, i: CASE WHEN i = 1 + doc_id % len(ls) THEN x || ' edited ' || doc_id ELSE x END),
+    CASE WHEN doc_id % 2 = 0 THEN ['added ' || doc_id] ELSE [] END) ELSE ls END AS ls, len(ls) AS n
+  FROM split WHERE doc_id % 11 <> 0
+  UNION ALL SELECT replace(path, '/' || doc_id || '.txt', '/new-' || doc_id || '.txt'), doc_id, true, true, ls, 0 FROM split WHERE doc_id % 13 = 0),
+changed_lines AS (
+  SELECT path, is_new, ls, unnest(CASE WHEN is_new THEN range(1, len(ls) + 1) WHEN len(ls) > n THEN list_distinct([1 + doc_id % n, len(ls)])
+    ELSE [1 + doc_id % n] END) AS line FROM edited WHERE touched)"""
+
+
+def edited(spark, sf):
+    """The later snapshot that EDITED describes."""
+    docs = documents(spark, sf)
+    doc_id = F.regexp_extract("path", r"/([0-9]+)\.txt$", 1).cast("bigint")
+    lines = F.split(F.regexp_replace("content", r"\n\z", ""), "\n")
+    at = doc_id % F.size(lines)
+    changed = F.transform(lines, lambda x, i: F.when(i == at, F.concat(x, F.lit(" edited "), doc_id.cast("string"))).otherwise(x))
+    more = F.when(doc_id % 2 == 0, F.array(F.concat(F.lit("added "), doc_id.cast("string")))).otherwise(F.array().cast("array<string>"))
+    text = F.when(doc_id % 3 == 0, F.array_join(F.concat(changed, more), "\n")).otherwise(F.col("content"))
+    kept = corpus_from_table(docs.filter(doc_id % 11 != 0), F.col("path"), text)
+    neighbour = F.regexp_replace("path", r"/([0-9]+)\.txt$", "/new-$1.txt")
+    return kept.unionByName(corpus_from_table(docs.filter(doc_id % 13 == 0), neighbour, F.col("content")))
+
+
+@query(
+    "diff_hunks",
+    f"""WITH {EDITED}, wide AS (
+  SELECT *, greatest(1, line - 3) AS a, least(len(ls), line + 3) AS b FROM changed_lines),
+begun AS (
+  SELECT *, CASE WHEN a <= 1 + max(b) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    THEN 0 ELSE 1 END AS begins FROM wide),
+numbered AS (SELECT *, sum(begins) OVER (PARTITION BY path ORDER BY line) AS hunk FROM begun)
+SELECT path, is_new, CAST(hunk AS BIGINT) AS hunk_no, min(a) AS start_line, max(b) AS end_line, CAST(count(*) AS BIGINT) AS changed,
+  sha256(array_to_string(any_value(ls)[min(a):max(b)], chr(10))) AS body_sha FROM numbered GROUP BY path, is_new, hunk""",
+)
+def diffs(spark, sf):
+    found = diff_hunks(documents(spark, sf), edited(spark, sf))
+    rows = found.select("path", "is_new", "changed", F.posexplode("hunks").alias("at", "hunk"))
+    lines = F.flatten(F.transform("changed", lambda s: F.sequence(s["first_line"], s["last_line"])))
+    inside = F.filter(lines, lambda n: (n >= F.col("hunk.start_line")) & (n <= F.col("hunk.end_line")))
+    return rows.select(
+        "path", "is_new", (F.col("at") + 1).cast("bigint").alias("hunk_no"),
+        F.col("hunk.start_line").cast("bigint").alias("start_line"), F.col("hunk.end_line").cast("bigint").alias("end_line"),
+        F.size(inside).cast("bigint").alias("changed"), F.sha2("hunk.content", 256).alias("body_sha"),
+    )
+
+
+# Every fifth document moves to another folder, with a line more if its number is even.
+@query(
+    "renamed_rows",
+    f"""WITH {DOCS}, gone AS (SELECT path AS old_path, doc_id, content FROM docs WHERE doc_id % 5 = 0),
+come AS (SELECT 'moved/' || doc_id || '.txt' AS path, content || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'moved ' || doc_id ELSE '' END
+  AS content FROM gone),
+left_rows AS (SELECT *, {hash_sql('content')} AS hash, row_number() OVER (PARTITION BY {hash_sql('content')} ORDER BY old_path) AS place FROM gone),
+right_rows AS (SELECT *, {hash_sql('content')} AS hash, row_number() OVER (PARTITION BY {hash_sql('content')} ORDER BY path) AS place FROM come),
+same AS (SELECT old_path, path FROM left_rows JOIN right_rows USING (hash, place)),
+l1 AS (SELECT old_path, unnest(list_distinct(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> ''))) AS line
+  FROM gone WHERE old_path NOT IN (SELECT old_path FROM same)),
+l2 AS (SELECT path, unnest(list_distinct(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> ''))) AS line
+  FROM come WHERE path NOT IN (SELECT path FROM same)),
+n1 AS (SELECT old_path, count(*) AS n FROM l1 GROUP BY 1), n2 AS (SELECT path, count(*) AS n FROM l2 GROUP BY 1),
+o1 AS (SELECT line, min(old_path) AS old_path FROM l1 GROUP BY 1 HAVING count(*) = 1),
+o2 AS (SELECT line, min(path) AS path FROM l2 GROUP BY 1 HAVING count(*) = 1),
+pairs AS (SELECT old_path, path, count(*) AS lines FROM o1 JOIN o2 USING (line) GROUP BY 1, 2),
+best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY old_path ORDER BY lines DESC, path) = 1
+  AND row_number() OVER (PARTITION BY path ORDER BY lines DESC, old_path) = 1),
+percent AS (SELECT old_path, path, 100 * lines // least(n1.n, n2.n) AS shared FROM best JOIN n1 USING (old_path) JOIN n2 USING (path))
+SELECT old_path, path, CAST(100 AS BIGINT) AS shared FROM same
+UNION ALL SELECT old_path, path, CAST(shared AS BIGINT) FROM percent WHERE shared >= 50""",
+)
+def renamed(spark, sf):
+    docs = documents(spark, sf)
+    doc_id = F.regexp_extract("path", r"/([0-9]+)\.txt$", 1).cast("bigint")
+    more = F.when(doc_id % 2 == 0, F.concat(F.lit("\nmoved "), doc_id.cast("string"))).otherwise(F.lit(""))
+    moved = corpus_from_table(
+        docs.filter(doc_id % 5 == 0), F.concat(F.lit("moved/"), doc_id.cast("string"), F.lit(".txt")), F.concat("content", more)
+    )
+    found = renamed_rows(docs, docs.filter(doc_id % 5 != 0).unionByName(moved))
+    return found.withColumn("shared", F.col("shared").cast("bigint"))

@@ -95,6 +95,17 @@ def enriched(spark, sf):
     )
 
 
+@query(
+    "enrich_unknown_rules",
+    f"""{FINDINGS}, {rules_sql(RULES[::2])} SELECT f.path, f.start_line, f.rule_id, f.issue_id, r.name AS rule_name, r.category
+FROM findings f LEFT JOIN rules r ON r.rule_id = f.rule_id""",
+)
+def enriched_in_part(spark, sf):
+    """Findings of rules that are not in the table stay, without a name."""
+    joined = enrich_findings(document_findings(spark, sf), rules_df(spark, RULES[::2]))
+    return joined.select("path", F.col("start_line").cast("bigint"), "rule_id", "issue_id", "rule_name", "category")
+
+
 # A second, overlapping delivery of the privacy findings with its own confidence.
 _AGAIN = """again AS (
   SELECT *, true AS cached, 1.0 AS confidence FROM findings WHERE rule_id LIKE 'privacy/%'

@@ -2,12 +2,29 @@
 
 from pyspark.sql import functions as F
 
-from queries.base import AS_OF, CHATS, DOCS, PACK_NAME, PAGES, RULES, applicable_sql, chats, documents, pages, query
+from queries.base import (
+    AS_OF,
+    CHATS,
+    DOCS,
+    PACK_NAME,
+    PAGES,
+    RULES,
+    applicable_sql,
+    chats,
+    documents,
+    hash_sql,
+    pages,
+    query,
+)
 from queries.cache import CACHE_SQL, document_cache, keyed_documents
-from queries.changes import _LATER, later
+from queries.changes import _LATER, EDITED, edited, later
 from queries.usage import PRICES
+from rulelens.functions.text import estimate_tokens
+from rulelens.operators.cache import with_cache_key
+from rulelens.operators.match import match_rules
 from rulelens.operators.scorer import canned_scorer
-from rulelens.plans.review import Options, review, review_changed
+from rulelens.plans.joins import semi_by_key
+from rulelens.plans.review import Options, apply_budget, review, review_changed
 from rulelens.plans.storage import materialize
 
 # (rule asked for, [(rule reported, level, start line, title)]): the first rule listed in the prompt answers.
@@ -129,7 +146,7 @@ def review_run_meta(spark, sf):
     f"{_BUDGETED} SELECT path FROM missed WHERE path NOT IN (SELECT path FROM chosen)",
 )
 def review_deferred(spark, sf):
-    return review_with_cache(spark, sf, snippets=False).deferred
+    return review_with_cache(spark, sf, snippets=False).deferred.select("path")
 
 
 @query(
@@ -205,3 +222,81 @@ SELECT {_OUT} FROM fresh_findings""",
 def review_of_changes(spark, sf):
     result = review_changed(documents(spark, sf), later(spark, sf), RULES, SCORER, options())
     return _plain(result.findings)
+
+
+@query(
+    "review_changed_lines",
+    f"""WITH {EDITED}, changed AS (SELECT DISTINCT path, array_to_string(ls, chr(10)) AS content, is_new FROM changed_lines),
+{applicable_sql('changed')}, {_answers_sql('changed')}
+SELECT f.path, is_new, rule_id, CAST(start_line AS BIGINT) AS start_line, title FROM fresh_findings f JOIN changed c ON c.path = f.path
+WHERE EXISTS (SELECT 1 FROM changed_lines x WHERE x.path = f.path AND x.line = f.start_line)""",
+)
+def review_of_changed_lines(spark, sf):
+    """The canned answers point at lines 1 and 2; only those on lines that were edited or are new stay."""
+    result = review_changed(documents(spark, sf), edited(spark, sf), RULES, SCORER, options(), changed_lines_only=True)
+    found = result.findings.join(result.changes.select("path", "is_new"), "path")
+    return found.select("path", "is_new", "rule_id", F.col("start_line").cast("bigint").alias("start_line"), "title")
+
+
+# Many texts under one path, and texts without a path: a row is its path and its text.
+_REPEATED = f"""WITH {DOCS}, dup AS (
+  SELECT CASE WHEN doc_id % 17 <> 0 THEN source || '/' || lang || '.txt' END AS path, content, doc_id FROM docs),
+{applicable_sql('dup').replace('SELECT path,', 'SELECT doc_id,')},
+keyed AS (SELECT DISTINCT path, CASE WHEN n > 0 THEN {hash_sql('content')} END AS file_hash, coalesce(n, 0) > 0 AS due
+  FROM dup LEFT JOIN (SELECT doc_id, count(*) AS n FROM applicable GROUP BY 1) USING (doc_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY due ORDER BY path NULLS FIRST, file_hash) AS n FROM keyed),
+judged AS (SELECT path, file_hash, CASE WHEN NOT due THEN 'skip' WHEN n <= (SELECT count(*) // 3 FROM keyed) THEN 'scored' ELSE 'deferred' END
+  AS outcome FROM placed)"""
+
+
+def _review_repeated(spark, sf):
+    docs = documents(spark, sf)
+    doc_id = F.regexp_extract("path", r"/([0-9]+)\.txt$", 1).cast("bigint")
+    path = F.when(doc_id % 17 != 0, F.regexp_replace("path", r"/[0-9]+\.txt$", ".txt"))
+    corpus = materialize(docs.select(path.alias("path"), "content"), "repeated")
+    keyed = with_cache_key(match_rules(corpus, RULES)).select("path", "file_hash").distinct()
+    return review(corpus, RULES, SCORER, options(budget=keyed.count() // 3, snippets=False))
+
+
+@query("review_repeated_paths", f"{_REPEATED} SELECT path, file_hash, outcome FROM judged")
+def review_repeated_paths(spark, sf):
+    """Every row has one outcome: skipped, scored or deferred."""
+    result = _review_repeated(spark, sf)
+    late = F.lit("deferred").alias("outcome")
+    deferred = materialize(result.deferred, "deferred")
+    rest = semi_by_key(result.statuses, deferred, ["path", "file_hash"], "left_anti")
+    rest = rest.select("path", "file_hash", F.when(F.col("status") == "skip", "skip").otherwise("scored").alias("outcome"))
+    return rest.unionByName(deferred.select("path", "file_hash", late))
+
+
+@query(
+    "review_repeated_meta",
+    f"""{_REPEATED} SELECT CAST(count(*) AS BIGINT) AS files_analyzed, CAST(count(*) FILTER (outcome = 'skip') AS BIGINT) AS skipped,
+  CAST(0 AS BIGINT) AS cache_hits, CAST(count(*) FILTER (outcome = 'scored') AS BIGINT) AS llm_calls,
+  CAST(count(*) FILTER (outcome = 'deferred') AS BIGINT) AS deferred, CAST(count(*) FILTER (outcome = 'scored') AS BIGINT) AS usage_ids
+FROM judged""",
+)
+def review_repeated_meta(spark, sf):
+    """The run's counters, and how many different ids its calls have in the usage log."""
+    result = _review_repeated(spark, sf)
+    ids = result.usage.agg(F.countDistinct("id").alias("usage_ids"))
+    return result.run_meta.drop("cost_usd").join(F.broadcast(ids))
+
+
+# The dearest sources first, as far as the summed tokens of their texts go.
+@query(
+    "review_token_budget",
+    f"""WITH {DOCS}, {applicable_sql('docs')},
+due AS (SELECT path, doc_id % 4 AS priority, length(content) // 4 AS tokens FROM docs WHERE path IN (SELECT path FROM applicable)),
+summed AS (SELECT path, tokens, sum(tokens) OVER (ORDER BY priority, path) AS upto, sum(tokens) OVER () AS whole FROM due)
+SELECT path, CAST(tokens AS BIGINT) AS tokens FROM summed WHERE upto <= whole // 3""",
+)
+def review_token_budget(spark, sf):
+    """Which rows a third of all tokens pays for, by priority and path."""
+    docs = documents(spark, sf)
+    doc_id = F.regexp_extract("path", r"/([0-9]+)\.txt$", 1).cast("bigint")
+    matched = match_rules(docs.withColumn("priority", doc_id % 4), RULES).filter(F.size("rule_ids") > 0)
+    due = materialize(matched.select("path", "priority", estimate_tokens(F.col("content")).alias("tokens")), "due")
+    whole = due.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    chosen, _ = apply_budget(due, order=("priority", "path"), tokens=whole // 3)
+    return chosen.select("path", "tokens")

@@ -7,6 +7,7 @@ from rulelens.functions.findings import level_rank
 from rulelens.functions.patterns import any_of
 from rulelens.functions.text import content_hash, snippet, split_lines
 from rulelens.plans.joins import keep_listed, lookup_join
+from rulelens.plans.ranks import numbered
 from rulelens.schemas import MAX_FINDINGS_PER_PATH
 
 # Findings of one path that are put into one row.
@@ -89,10 +90,13 @@ def limit_per_path(findings, n=MAX_FINDINGS_PER_PATH):
 
 
 def in_parts(findings, part_rows=PART_ROWS):
-    """Number the parts (`part`, from 0) of each path's findings, most severe first: no group exceeds a part."""
-    order = [level_rank(F.col("level")), F.col("start_line"), F.col("rule_id"), F.col("issue_id")]
-    place = F.row_number().over(Window.partitionBy("path").orderBy(*order)) - 1
-    return findings.withColumn("part", F.floor(place / part_rows).cast("int"))
+    """Number the parts (`part`, from 0) of each path's findings, most severe first: no group exceeds a part.
+
+    Findings are ranked in ranges, so that the findings of one path, however many, are spread over tasks.
+    """
+    ranked = findings.withColumn("_level", level_rank(F.col("level")))
+    placed = numbered(ranked, "path", ["_level", "start_line", "rule_id", "issue_id"], "_place")
+    return placed.withColumn("part", F.floor(F.col("_place") / part_rows).cast("int")).drop("_level", "_place")
 
 
 def findings_by_path(findings, part_rows=PART_ROWS):
@@ -125,8 +129,8 @@ def attach_snippet(findings, corpus):
 
 
 def enrich_findings(findings, rules):
-    """Findings with their rule's name, category, fix and checklist."""
+    """Findings with their rule's name, category, fix and checklist, which are null for a rule that is not in the table."""
     extra = rules.select(
         "rule_id", F.col("name").alias("rule_name"), "category", "fix", F.col("checklist").alias("rule_checklist")
     )
-    return findings.join(extra, "rule_id")
+    return findings.join(extra, "rule_id", "left")

@@ -158,9 +158,10 @@ _PARSED_FIELDS = ["rule_id", "level", "start_line", "end_line", "title", "why",
 
 
 def _explode_issues(parsed):
-    rows = parsed.select("path", F.posexplode("_parsed.issues").alias("ordinal", "_i"))
+    key = [c for c in ("path", "file_hash") if c in parsed.columns]
+    rows = parsed.select(*key, F.posexplode("_parsed.issues").alias("ordinal", "_i"))
     fields = _issue_fields(F.col("_i"))
-    return rows.select("path", "ordinal", *[fields[name].alias(name) for name in _PARSED_FIELDS])
+    return rows.select(*key, "ordinal", *[fields[name].alias(name) for name in _PARSED_FIELDS])
 
 
 def parse_responses(rows, json_col="response_json"):
@@ -234,10 +235,11 @@ def validate_findings(rows, json_col="response_json", error_col=None):
     checked = check_answers(rows, json_col, error_col)
     found = _explode_issues(checked.filter("fault is null"))
     known = F.col("level").isin(LEVELS)
+    key = [c for c in ("path", "file_hash") if c in rows.columns]
     whole = checked.filter("fault is not null").select(
-        "path", F.lit(None).cast("int").alias("ordinal"), F.col("fault").alias("reject_reason")
+        *key, F.lit(None).cast("int").alias("ordinal"), F.col("fault").alias("reject_reason")
     )
-    single = found.filter(~known).select("path", "ordinal", F.lit("unknown_level").alias("reject_reason"))
+    single = found.filter(~known).select(*key, "ordinal", F.lit("unknown_level").alias("reject_reason"))
     return found.filter(known), whole.unionByName(single)
 
 

@@ -32,14 +32,16 @@ def usage_rows(calls, run_id, timestamp, model, pack, prices=None):
     """Log rows for scored rows (`path`, token counts, `duration_ms`, `issues_found`), all of one model.
 
     `prices` is `{model: (prompt price, completion price)}`; a given `cost_usd` wins, an unknown model costs
-    nothing. The id is a hash of run and path, so writing a run again gives the same ids.
+    nothing. The id is a hash of run, path and, where there is one, the text's hash, so writing a run again gives the same ids
+    and two texts of one path have two.
     """
+    named = [F.coalesce(F.col(c), F.lit("")) for c in ("path", "file_hash") if c in calls.columns]
     prompt_price, completion_price = (prices or {}).get(model, (0.0, 0.0))
     prompt, completion = F.col("prompt_tokens").cast("bigint"), F.col("completion_tokens").cast("bigint")
     given = F.col("cost_usd") if "cost_usd" in calls.columns else F.lit(None).cast("double")
     estimated = prompt * F.lit(float(prompt_price)) + completion * F.lit(float(completion_price))
     return calls.select(
-        short_sha(F.concat_ws("|", F.lit(run_id), F.col("path")), HASH_CHARS).alias("id"),
+        short_sha(F.concat_ws("|", F.lit(run_id), *named), HASH_CHARS).alias("id"),
         F.lit(timestamp).cast("timestamp").alias("timestamp"),
         F.lit(model).alias("model"),
         F.lit(pack).alias("pack"),

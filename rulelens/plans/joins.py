@@ -1,5 +1,8 @@
 """Joins that stay balanced when one key holds a large share of the rows, and size-checked broadcasts."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from rulelens.plans.storage import materialize
@@ -37,11 +40,15 @@ def lookup_join(left, right, on, how="left", spread=("path",), rows_per_task=ROW
 def semi_by_key(big, keys, on, how="left_semi", max_rows=MAX_BROADCAST_ROWS, known_rows=None):
     """Keep (or with `left_anti` drop) rows whose key is listed; the list is broadcast only if it is short.
 
-    `known_rows` is an upper bound the caller can prove (such as a limit); without it the list is counted, so
-    it should be a stored table.
+    A null in a key meets a null in the list, so kept and dropped rows together are always all rows. `known_rows` is an
+    upper bound the caller can prove (such as a limit); without it the list is counted, so it should be a stored table.
     """
     rows = keys.limit(max_rows + 1).count() if known_rows is None else known_rows
-    return big.join(F.broadcast(keys) if rows <= max_rows else keys, on, how)
+    if how not in ("left_semi", "left_anti"):
+        return big.join(F.broadcast(keys) if rows <= max_rows else keys, on, how)
+    named = keys.select(*[F.col(name).alias(f"_key{i}") for i, name in enumerate(on)])
+    same = reduce(and_, [F.col(name).eqNullSafe(F.col(f"_key{i}")) for i, name in enumerate(on)])
+    return big.join(F.broadcast(named) if rows <= max_rows else named, same, how)
 
 
 def keep_listed(big, keys, on, max_rows=MAX_BROADCAST_ROWS):

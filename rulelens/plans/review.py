@@ -4,13 +4,13 @@ Texts are read where they lie and never shuffled unless more rows must be scored
 hold. Everything between the stages is a slim table of keys, stored once in the shared folder.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulelens.functions.findings import cached_form, with_issue_id
-from rulelens.functions.text import snippet, split_lines
+from rulelens.functions.text import estimate_tokens, snippet, split_lines
 from rulelens.operators.cache import cache_lookup, latest_entries, triage, with_cache_key
 from rulelens.operators.findings import (
     all_findings,
@@ -34,9 +34,10 @@ from rulelens.operators.spans import enclosing_span
 from rulelens.operators.usage import usage_rows
 from rulelens.plans.joins import MAX_BROADCAST_ROWS, semi_by_key
 from rulelens.plans.storage import materialize
-from rulelens.plans.topn import first_n
+from rulelens.plans.topn import first_n, first_within
 from rulelens.schemas import CACHE, DEFAULT_TTL_HOURS, FINDINGS, MAX_FINDINGS_PER_PATH
 from rulelens.sources.changes import changed_rows
+from rulelens.sources.diffs import diff_hunks, on_changed_lines
 from rulelens.sources.rules import prune_rules
 
 
@@ -49,6 +50,8 @@ class Options:
     language: str = "en"
     prices: dict | None = None
     budget: int | None = None
+    token_budget: int | None = None
+    budget_order: tuple = ("path",)
     ttl_hours: int = DEFAULT_TTL_HOURS
     rule_filter: tuple = ()
     disabled_rules: tuple = ()
@@ -60,6 +63,7 @@ class Options:
     cache_salt: str | None = None
     snippets: bool = True
     spans: DataFrame | None = None
+    diffs: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -72,14 +76,29 @@ class ReviewResult:
     rejected: DataFrame
     new_cache: DataFrame
     usage: DataFrame
+    changes: DataFrame | None = None
 
 
-def apply_budget(misses, n, order=("path",)):
-    """`(chosen, deferred)`: the first n misses in scan order, and the rest. No budget chooses all."""
-    if n is None:
+def _key_of(rows):
+    """What tells rows apart: the path, and the text's hash where there is one."""
+    return [c for c in ("path", "file_hash") if c in rows.columns]
+
+
+def apply_budget(misses, n=None, order=("path",), tokens=None):
+    """`(chosen, deferred)`: the first misses by `order` (then path and hash), and the rest; together all misses.
+
+    `n` bounds their number, `tokens` the sum of their `tokens` column: rows are taken up to the first that would pass
+    it. No bound chooses all.
+    """
+    if n is None and tokens is None:
         return misses, misses.limit(0)
-    chosen = materialize(first_n(misses, n, list(order)), "chosen")
-    return chosen, semi_by_key(misses, chosen.select("path"), ["path"], "left_anti", known_rows=n)
+    key = _key_of(misses)
+    order = [*order, *(c for c in key if c not in order)]
+    chosen = misses if n is None else first_n(misses, n, order)
+    if tokens is not None:
+        chosen = first_within(chosen, tokens, F.col("tokens"), order)
+    chosen = materialize(chosen, "chosen")
+    return chosen, semi_by_key(misses, chosen.select(*key), key, "left_anti", known_rows=n)
 
 
 def _once(rows, repeated):
@@ -93,15 +112,11 @@ def _once(rows, repeated):
 
 def _rows_to_score(matched, chosen, opts, cached):
     """Text and rule ids of the chosen rows: by a bounded broadcast, or, if all rows are due, in place."""
-    if opts.budget is None and not cached:
+    if opts.budget is None and opts.token_budget is None and not cached:
         return matched.filter(F.size("rule_ids") > 0)
-    if opts.budget is None:
+    if opts.budget is None and opts.token_budget is None:
         chosen = materialize(chosen, "chosen")
-        bounded = chosen.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    else:
-        bounded = opts.budget <= MAX_BROADCAST_ROWS
-    keys = chosen.select("path", "file_hash")
-    return matched.join(F.broadcast(keys) if bounded else keys, ["path", "file_hash"], "left_semi")
+    return semi_by_key(matched, chosen, ["path", "file_hash"], known_rows=opts.budget)
 
 
 def _with_snippets(findings, lines):
@@ -138,6 +153,8 @@ def _cached_findings(keyed, cache, opts):
 def _final_findings(candidates, corpus, rules, opts):
     """Filter, dedup and cap; then fill in the snippets that cached findings do not carry."""
     kept = drop_disabled(filter_rules(candidates, opts.rule_filter), opts.disabled_rules)
+    if opts.diffs is not None:
+        kept = on_changed_lines(kept, opts.diffs)
     if opts.min_confidence is not None:
         kept = kept.filter(F.col("confidence") >= opts.min_confidence)
     if opts.known_rules_only:
@@ -157,14 +174,20 @@ def review(corpus, rules, scorer, opts, cache=None):
 
     Order: rule filter, match, cache, budget, scorer, rule filter again, disabled rules, dedup, cap, score.
     `no_cache` skips reading the cache, its new entries are still returned. A bad answer is quarantined in
-    `rejected` and never cached; it does not end the run.
+    `rejected` and never cached; it does not end the run. A row is its path and its text's hash: several texts of one path, a null
+    one too, are scored, deferred and logged each for itself. A budget takes rows by `budget_order`, path and hash;
+    a column `priority` of the corpus may be part of that order.
     """
     rules = prune_rules(rules, opts.rule_filter)
-    matched = with_cache_key(match_rules(corpus.select("path", "content"), rules), opts.cache_salt)
+    ranks = [c for c in corpus.columns if c == "priority"]
+    matched = with_cache_key(match_rules(corpus.select("path", "content", *ranks), rules), opts.cache_salt)
     # A text that arrives several times under one path is one row from here on.
+    cost = [] if opts.token_budget is None else [F.max(estimate_tokens(F.col("content"))).alias("tokens")]
     keyed = matched.groupBy("path", "file_hash").agg(
-        F.first("rule_ids").alias("rule_ids"), F.first("rules_hash").alias("rules_hash"), F.count(F.lit(1)).alias("copies")
-    )
+        F.first("rule_ids").alias("rule_ids"), F.first("rules_hash").alias("rules_hash"), F.count(F.lit(1)).alias("copies"),
+        *[F.min(c).alias(c) for c in ranks], *cost,
+    )
+    matched = matched.drop(*ranks)
     keyed = materialize(keyed, "keyed")
     repeated = keyed.filter("copies > 1").select("path", "file_hash")
     keyed = keyed.drop("copies")
@@ -172,7 +195,7 @@ def review(corpus, rules, scorer, opts, cache=None):
     statuses = triage(keyed, readable, opts.as_of, opts.ttl_hours)
     if readable is not None:
         statuses = materialize(statuses, "statuses")
-    chosen, deferred = apply_budget(statuses.filter("status = 'analyze'"), opts.budget)
+    chosen, deferred = apply_budget(statuses.filter("status = 'analyze'"), opts.budget, opts.budget_order, opts.token_budget)
     rows = _once(_rows_to_score(matched, chosen, opts, readable is not None), repeated)
     scored = _score_rows(rows, rules, scorer, opts)
 
@@ -197,20 +220,33 @@ def review(corpus, rules, scorer, opts, cache=None):
         summary=summary(findings),
         run_meta=run_meta(statuses, usage),
         statuses=statuses,
-        deferred=deferred.select("path"),
+        deferred=deferred.select("path", "file_hash"),
         rejected=rejected,
         new_cache=new_cache,
         usage=usage,
     )
 
 
-def changed_corpus(old, new, globs=None, exclude=None):
+def _changed(old, new, globs, exclude):
+    return materialize(changed_rows(old, new, globs, exclude).select("path", "is_new"), "changed")
+
+
+def changed_corpus(old, new, globs=None, exclude=None, changed=None):
     """The rows of `new` that were added or modified since `old`, with `is_new`."""
-    changed = materialize(changed_rows(old, new, globs, exclude).select("path", "is_new"), "changed")
+    changed = _changed(old, new, globs, exclude) if changed is None else changed
     short = changed.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     return new.drop("is_new").join(F.broadcast(changed) if short else changed, "path")
 
 
-def review_changed(old, new, rules, scorer, opts, cache=None, globs=None, exclude=None):
-    """A review of only the rows that changed between two snapshots."""
-    return review(changed_corpus(old, new, globs, exclude), rules, scorer, opts, cache)
+def review_changed(old, new, rules, scorer, opts, cache=None, globs=None, exclude=None, changed_lines_only=False):
+    """A review of only the rows that changed between two snapshots; `changes` has `is_new` and hunks of each.
+
+    `changed_lines_only` keeps the findings on lines that were added or changed, before any are capped.
+    """
+    paths = _changed(old, new, globs, exclude)
+    changes = diff_hunks(old, new, changed=paths)
+    if changed_lines_only:
+        changes = materialize(changes, "changes")
+        opts = replace(opts, diffs=changes)
+    result = review(changed_corpus(old, new, changed=paths), rules, scorer, opts, cache)
+    return replace(result, changes=changes)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rulelens.functions.findings import level_rank, level_weight
 from rulelens.operators.findings import PART_ROWS, in_parts
+from rulelens.plans.storage import materialize
 from rulelens.schemas import FINDING_COLUMNS, MAX_SCORE
 
 _LOCATION = ["path", "start_line", "end_line", "start_col", "end_col"]
@@ -21,9 +22,10 @@ def issue_struct():
 
 
 def findings_document(findings, meta=None, part_rows=PART_ROWS):
-    """`(path, part, document)`: all findings of a path as JSON with their score and counts, and the run's meta values.
+    """`(path, part, document)`: all findings of a path as JSON with the path's score and counts, and the run's meta values.
 
-    A path with more than `part_rows` findings has several documents; each sums up its own part.
+    A path with more than `part_rows` findings has several documents; each has its own issues and the whole path's summary, which is
+    added up from the parts' sums.
     """
     kept = in_parts(findings, part_rows)
     order = F.struct(level_rank(F.col("level")).alias("rank"), "start_line", "rule_id", "issue_id")
@@ -31,18 +33,18 @@ def findings_document(findings, meta=None, part_rows=PART_ROWS):
         F.array_sort(F.collect_list(F.struct(order.alias("_order"), issue_struct().alias("issue")))).alias("_issues"),
         F.sum(level_weight(F.col("level"))).alias("_penalty"),
     )
-    issues = F.transform("_issues", lambda x: x["issue"])
     levels = F.transform("_issues", lambda x: x["issue"]["level"])
-    counts = F.map_from_entries(
-        F.transform(
-            F.array_sort(F.array_distinct(levels)),
-            lambda l: F.struct(l, F.size(F.filter(levels, lambda x: x == l))),
-        )
-    )
-    score = F.greatest(F.lit(0), F.lit(MAX_SCORE) - F.col("_penalty"))
+    grouped = materialize(grouped.withColumn("_levels", levels), "documents")
+    by_level = grouped.select("path", F.explode("_levels").alias("level")).groupBy("path", "level").agg(F.count(F.lit(1)).alias("n"))
+    counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", F.col("n").cast("int")))))
+    totals = by_level.groupBy(F.col("path").alias("_path")).agg(counts.alias("_counts"), F.sum("n").cast("int").alias("_total"))
+    penalties = grouped.groupBy(F.col("path").alias("_of")).agg(F.sum("_penalty").alias("_whole"))
+    grouped = grouped.join(totals, F.col("path").eqNullSafe(F.col("_path"))).join(penalties, F.col("path").eqNullSafe(F.col("_of")))
+    issues = F.transform("_issues", lambda x: x["issue"])
+    score = F.greatest(F.lit(0), F.lit(MAX_SCORE) - F.col("_whole"))
     report = F.struct(
         issues.alias("issues"),
-        F.struct(score.alias("score"), F.size("_issues").alias("total_issues"), counts.alias("counts")).alias("summary"),
+        F.struct(score.alias("score"), F.col("_total").alias("total_issues"), F.col("_counts").alias("counts")).alias("summary"),
         F.create_map(*[F.lit(str(x)) for kv in (meta or {}).items() for x in kv]).cast("map<string,string>").alias("meta"),
     )
     return grouped.select("path", "part", F.to_json(report, {"ignoreNullFields": "false"}).alias("document"))

@@ -4,10 +4,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from rulelens.functions.text import content_hash
 from rulelens.plans.joins import semi_by_key
 from rulelens.plans.review import review
 from rulelens.plans.storage import materialize, run_scope
 from rulelens.schemas import CACHE
+from rulelens.sources.corpus import spread_small
 
 
 # Stored entries carry the batch that wrote them as a folder name.
@@ -49,10 +51,7 @@ def review_batches(rules, scorer, options_for, out):
 
     def run(batch, batch_id):
         spark = batch.sparkSession
-        cores = spark.sparkContext.defaultParallelism
-        if batch.rdd.getNumPartitions() < cores:
-            # Fewer splits than cores: what arrived is small, spread it.
-            batch = batch.repartition(cores, "path")
+        batch = spread_small(batch, "path")
         waiting = _read_or_empty(spark, f"{out}/pending", _STORED_PENDING)
         last = waiting.filter(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
         batch = batch.select("path", "content")
@@ -65,9 +64,11 @@ def review_batches(rules, scorer, options_for, out):
             for name in ("findings", "new_cache", "usage", "deferred", "rejected"):
                 folder = "cache" if name == "new_cache" else name
                 getattr(result, name).write.mode("overwrite").parquet(f"{out}/{folder}/batch_id={batch_id}")
-            failed = result.rejected.filter("reject_reason = 'call_failed'").select("path")
-            left = materialize(result.deferred.select("path").union(failed).distinct(), "left")
-            pending = semi_by_key(batch, left, ["path"], "left_semi").dropDuplicates(["path", "content"])
+            key = ["path", "file_hash"]
+            failed = result.rejected.filter("reject_reason = 'call_failed'").select(*key)
+            left = materialize(result.deferred.select(*key).union(failed).distinct(), "left")
+            hashed = batch.withColumn("file_hash", content_hash(F.col("content")))
+            pending = semi_by_key(hashed, left, key).dropDuplicates(key).select("path", "content")
             pending.write.mode("overwrite").parquet(f"{out}/pending/batch_id={batch_id}")
 
     return run

@@ -83,3 +83,10 @@ def arrow_list(values, offsets):
 def signed(h):
     """Unsigned hashes as Spark's long."""
     return h.view(np.int64)
+
+
+def whole_ids(docs, id_col):
+    """Refuse ids that are no whole numbers, since casting them would lose or merge some."""
+    kind = dict(docs.dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be a whole number, not {kind}")

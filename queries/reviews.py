@@ -47,9 +47,8 @@ def _issue(rule_id, level, line, title):
     )
 
 
-SCORER = canned_scorer(
-    {f'"rule": "{asked}"': '{"issues":[' + ",".join(_issue(*i) for i in issues) + "]}" for asked, issues in ANSWERS}
-)
+RESPONSES = {f'"rule": "{asked}"': '{"issues":[' + ",".join(_issue(*i) for i in issues) + "]}" for asked, issues in ANSWERS}
+SCORER = canned_scorer(RESPONSES)
 
 
 def _answers_sql(source):

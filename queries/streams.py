@@ -2,13 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from queries.base import DOCS, FINDINGS, RULES, applicable_sql, query, table
-from queries.reviews import _OUT, SCORER, _answers_sql, _plain, options
+from queries.base import DOCS, FINDINGS, PACK_NAME, RULES, applicable_sql, query, table
+from queries.reviews import _OUT, RESPONSES, SCORER, _answers_sql, _plain, options
 from queries.usage import LOG, event_calls
 from rulelens.operators.match import detect_lines
 from rulelens.plans.storage import run_dir
+from rulelens.schemas import EMPTY_ANSWER
 from rulelens.schemas import FINDINGS as FINDINGS_SCHEMA
 from rulelens.sources.corpus import documents_corpus
+from rulelens.streaming.state import OUTCOME, findings_of_outcomes, keyed_state, review_outcomes
 from rulelens.streaming.streams import (
     read_stream,
     stream_dedup,
@@ -33,6 +35,34 @@ def reviewed_stream(spark, sf):
     return _plain(spark.read.schema(FINDINGS_SCHEMA).parquet(f"{home}/out/findings"))
 
 
+def _first_response(responses, empty):
+    """The canned answers as a function of prompts; defined here so that it travels to tasks as code."""
+
+    def answer(prompts):
+        return [next((text for key, text in responses.items() if key in prompt), empty) for prompt in prompts]
+
+    return answer
+
+
+@query(
+    "stream_review_state",
+    f"""WITH {DOCS}, {applicable_sql('docs')}, {_answers_sql('docs')}
+SELECT DISTINCT path, rule_id, level, CAST(start_line AS BIGINT) AS start_line, title FROM fresh_findings""",
+)
+def reviewed_by_state(spark, sf):
+    """Documents arrive in three batches; texts that were answered in one are not asked for in the next."""
+    home = run_dir(spark, "stream-state")
+    docs = documents_corpus(table(spark, sf, "documents")).select("path", "content")
+    part = F.pmod(F.xxhash64("path"), F.lit(3))
+    docs.repartitionByRange(3, part).write.parquet(f"{home}/in")
+    stream = read_stream(spark, f"{home}/in", "path string, content string", maxFilesPerTrigger=1)
+    with keyed_state(spark):
+        outcomes = review_outcomes(stream, RULES, _first_response(RESPONSES, EMPTY_ANSWER))
+        write_available(outcomes, f"{home}/out", f"{home}/ck")
+    found = findings_of_outcomes(spark.read.schema(OUTCOME).parquet(f"{home}/out"), PACK_NAME)
+    return found.select("path", "rule_id", "level", F.col("start_line").cast("bigint"), "title").distinct()
+
+
 @query("stream_dedup", FINDINGS + " SELECT path, start_line, rule_id, issue_id FROM findings")
 def deduped_stream(spark, sf):
     home = run_dir(spark, "stream-dedup")

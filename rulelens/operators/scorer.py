@@ -35,11 +35,11 @@ def build_prompt(path, content, rule_ids, rules, language="en", max_chars=None):
     ask = "" if language == "en" else f"Write titles, reasons and actions in {language}.\n"
     return F.concat(
         F.lit(f"{ask}Review the text below against the listed rules. Answer with JSON.\n\nPath: "),
-        path,
+        F.coalesce(path, F.lit("")),
         F.lit("\n\nRules:\n"),
         listing,
         F.lit("\n\nText:\n"),
-        content if max_chars is None else F.substring(content, 1, max_chars),
+        F.coalesce(content if max_chars is None else F.substring(content, 1, max_chars), F.lit("")),
         F.lit("\n"),
     )
 

@@ -1,14 +1,18 @@
 """Language ID by unigrams of public pieces, summed over all segmentations.
 
-A language is a distribution over the pieces of a fixed public vocabulary. A word's probability is the sum over all ways to
-write it as pieces (forward algorithm); the distributions are fitted by expectation-maximisation with the same sums.
+A language is a distribution over the pieces of a fixed public vocabulary. A word (a run of letters, whole, however long)
+has the sum of the probabilities of all ways to write it as pieces (forward algorithm); the distributions are
+fitted by expectation-maximisation with the same sums.
 """
 
 import re
-from array import array
+from itertools import chain
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import functions as F
 
 from rulelens.llm.texts import slices
@@ -18,13 +22,19 @@ from rulelens.plans.storage import materialize
 TRAIN_DOCS = 1_000
 ROUNDS = 2
 SMOOTHING = 0.05
-# Longer runs of letters are scored in blocks of so many characters.
-BLOCK_CHARS = 24
+# Up to so many characters sums stay within the range of a double; longer words are summed as logarithms.
+PLAIN_CHARS = 28
+# Characters of words summed together.
+GROUP_CHARS = 1 << 16
 MAX_LANGUAGES = 1_000
-MAX_WORDS = 150_000
+# Words remembered by a worker, and bytes of text worked on at a time.
+MAX_WORDS = 300_000
+SLICE_BYTES = 12 << 20
 START = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = "\\p{L}+"
 UNDETERMINED = "und"
+_RUNS = regex.compile(LETTERS)
+_WORDS = re.compile(r"[^\W\d_]+").findall
 
 
 def read_pieces(path):
@@ -36,104 +46,138 @@ def read_pieces(path):
     return [model.id_to_piece(i) for i in plain]
 
 
-def _blocks(word):
-    """A word as marked blocks the forward algorithm takes one at a time."""
-    marked = START + word
-    return [marked[at : at + BLOCK_CHARS] for at in range(0, len(marked), BLOCK_CHARS)]
-
-
 class Lattice:
-    """All places where pieces lie in strings. A character that is no piece counts as the unknown piece."""
+    """All places where pieces lie in strings, found by walking a trie of the pieces from every place at once.
+
+    A character that is no piece counts as the unknown piece.
+    """
 
     def __init__(self, pieces):
         self.ids = {piece: i for i, piece in enumerate(pieces)}
-        self.unknown = len(self.ids)
-        self.longest = max(map(len, pieces))
+        self.unknown, self.longest = len(self.ids), max(map(len, pieces))
+        nodes, ends = {"": 0}, [-1]
+        for piece in pieces:
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in nodes:
+                    nodes[piece[:k]] = len(nodes)
+                    ends.append(-1)
+            ends[nodes[piece]] = self.ids[piece]
+        steps = sorted((nodes[p[:-1]] << 21 | ord(p[-1]), node) for p, node in nodes.items() if p)
+        self.steps, self.next = (np.array(x, np.int64) for x in zip(*steps)) if steps else (np.zeros(0, np.int64),) * 2
+        self.ends = np.array(ends)
+        self.first = np.full(0x110000, -1, np.int64)
+        roots = self.steps < 1 << 21
+        self.first[self.steps[roots]] = self.next[roots]
 
     def arcs(self, texts):
-        """Arrays (text, start, end, piece), sorted by end, then text."""
-        get, longest, unknown = self.ids.get, self.longest, self.unknown
-        owner, starts, ends, pieces = array("i"), array("i"), array("i"), array("i")
-        for t, text in enumerate(texts):
-            for end in range(1, len(text) + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = get(text[start:end])
-                    if piece is None:
-                        if start < end - 1:
-                            continue
-                        piece = unknown
-                    owner.append(t), starts.append(start), ends.append(end), pieces.append(piece)
-        owner, starts, ends, pieces = (np.frombuffer(a, np.int32) if len(a) else np.zeros(0, np.int32) for a in (owner, starts, ends, pieces))
-        order = np.lexsort((owner, ends))
-        return owner[order], starts[order], ends[order], pieces[order]
-
-
-def _sum_by(groups, values):
+        """Arrays (start, end, piece) over all texts set end to end, one place more than characters for each; sorted by end."""
+        sizes = np.array([len(text) for text in texts])
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        last = (begins + sizes)[owner]
+        at = np.arange(len(codes))
+        node, depth = self.first[codes], 1
+        single = np.where(node >= 0, self.ends[node], -1)
+        found = [(at, at + 1, np.where(single >= 0, single, self.unknown))]
+        alive = node >= 0
+        at, node = at[alive], node[alive]
+        while True:
+            inside = at + depth < last[at]
+            at, node = at[inside], node[inside]
+            if not len(at) or not len(self.steps):
+                break
+            key = node << 21 | codes[at + depth]
+            place = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            alive = self.steps[place] == key
+            at, node = at[alive], self.next[place[alive]]
+            depth += 1
+            whole = self.ends[node] >= 0
+            found.append((at[whole], at[whole] + depth, self.ends[node[whole]]))
+        start, end, piece = (np.concatenate(x) for x in zip(*found))
+        own = owner[start]
+        start, end = start + own, end + own  # every text has a place more
+        order = np.argsort(end, kind="stable")
+        return start[order], end[order], piece[order]
+
+
+def _places(sizes):
+    """First and last place of each text, and the depth of every place in its text."""
+    many = sizes + 1
+    first = np.cumsum(many) - many
+    return first, first + sizes, np.arange(many.sum()) - np.repeat(first, many)
+
+
+def _sum_by(groups, values, logs):
     """`(group, summed rows)` of rows whose groups stand together."""
     first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-    return groups[first], np.add.reduceat(values, first)
-
-
-def _forward(arcs, sizes, prob):
-    """Forward sums alpha[text, place] for each column of `prob`."""
-    owner, start, end, piece = arcs
-    alpha = np.zeros((len(sizes), max(sizes) + 1, prob.shape[1]))
-    alpha[:, 0] = 1
-    cuts = np.searchsorted(end, np.arange(1, max(sizes) + 2))
-    for place, (a, b) in enumerate(zip(cuts, cuts[1:]), 1):
-        if a < b:
-            rows, sums = _sum_by(owner[a:b], alpha[owner[a:b], start[a:b]] * prob[piece[a:b]])
-            alpha[rows, place] = sums
-    return alpha
-
-
-def _backward(arcs, sizes, prob):
-    owner, start, end, piece = arcs
-    beta = np.zeros((len(sizes), max(sizes) + 1, prob.shape[1]))
-    beta[np.arange(len(sizes)), sizes] = 1
-    order = np.lexsort((owner, start))
-    owner, start, end, piece = owner[order], start[order], end[order], piece[order]
-    cuts = np.searchsorted(start, np.arange(max(sizes) + 1))
-    for place in range(max(sizes) - 1, -1, -1):
-        a, b = cuts[place], cuts[place + 1]
-        if a < b:
-            rows, sums = _sum_by(owner[a:b], beta[owner[a:b], end[a:b]] * prob[piece[a:b]])
-            beta[rows, place] = sums
-    return beta
+    if not logs:
+        return groups[first], np.add.reduceat(values, first)
+    most = np.maximum.reduceat(values, first)
+    share = np.exp(values - np.repeat(most, np.diff(np.append(first, len(groups))), axis=0))
+    return groups[first], most + np.log(np.add.reduceat(share, first))
+
+
+def _sums(arcs, sizes, prob, logs, backward=False):
+    """Forward sums (or backward ones) at every place of all texts, for each column of `prob` (both logarithms if `logs`)."""
+    start, end, piece = arcs
+    first, last, depth = _places(sizes)
+    out = np.full((len(depth), prob.shape[1]), -np.inf if logs else 0.0)
+    out[last if backward else first] = 0.0 if logs else 1.0
+    source, target = (end, start) if backward else (start, end)
+    order = np.lexsort((target, depth[target]))
+    source, target, piece = source[order], target[order], piece[order]
+    cuts = np.flatnonzero(np.diff(depth[target])) + 1
+    rounds = list(zip([0, *cuts], [*cuts, len(target)])) if len(target) else []
+    for a, b in reversed(rounds) if backward else rounds:
+        step = out[source[a:b]] + prob[piece[a:b]] if logs else out[source[a:b]] * prob[piece[a:b]]
+        places, total = _sum_by(target[a:b], step, logs)
+        out[places] = total
+    return out
+
+
+def _groups(words):
+    """Places of words in groups of bounded size, short and long ones apart: `(places, logs)`."""
+    sizes = np.array([len(w) + 1 for w in words])
+    for logs, mine in ((False, np.flatnonzero(sizes <= PLAIN_CHARS)), (True, np.flatnonzero(sizes > PLAIN_CHARS))):
+        mine = mine[np.argsort(sizes[mine], kind="stable")]
+        group = np.cumsum(sizes[mine]) // GROUP_CHARS
+        for part in np.split(mine, np.flatnonzero(np.diff(group)) + 1):
+            if len(part):
+                yield part, logs
 
 
 def _log_probs(lattice, words, prob):
     """Log probability of each word in each language."""
-    blocks = [_blocks(w) for w in words]
-    flat = [b for own in blocks for b in own]
-    sizes = np.array([len(b) for b in flat])
-    alpha = _forward(lattice.arcs(flat), sizes, prob)
-    logs = np.log(alpha[np.arange(len(flat)), sizes])
-    return np.add.reduceat(logs, np.concatenate([[0], np.cumsum([len(b) for b in blocks])[:-1]]))
+    out, log_prob = np.empty((len(words), prob.shape[1])), np.log(prob)
+    for part, logs in _groups(words):
+        texts = [START + words[i] for i in part]
+        sizes = np.array([len(t) for t in texts])
+        sums = _sums(lattice.arcs(texts), sizes, log_prob if logs else prob, logs)[_places(sizes)[1]]
+        out[part] = sums if logs else np.log(sums)
+    return out
 
 
 def _expected(pieces, prob):
     """Expected piece counts of `(lang, word, n)` rows: `(lang, piece, n)`; `prob` has a column per language."""
 
     def convert(batches):
-        lattice = Lattice(pieces)
+        lattice, log_prob = Lattice(pieces), np.log(prob)
         total = np.zeros(prob.shape)
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.slice(at, 2000)
-                lang, n = part["lang"].to_numpy(), part["n"].to_numpy()
-                blocks = [_blocks(w) for w in part["word"].to_pylist()]
-                flat = [b for own in blocks for b in own]
-                word = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
-                sizes = np.array([len(b) for b in flat])
-                arcs = lattice.arcs(flat)
-                owner, start, end, piece = arcs
-                for k in np.unique(lang):
-                    column = prob[:, k : k + 1]
-                    alpha, beta = _forward(arcs, sizes, column), _backward(arcs, sizes, column)
-                    through = alpha[owner, start, 0] * column[piece, 0] * beta[owner, end, 0]
-                    through *= (n * (lang == k))[word[owner]] / alpha[owner, sizes[owner], 0]
-                    np.add.at(total[:, k], piece, through)
+            langs, words, counts = batch["lang"].to_numpy(), batch["word"].to_pylist(), batch["n"].to_numpy()
+            for k in np.unique(langs):
+                mine = np.flatnonzero(langs == k)
+                own = [words[i] for i in mine]
+                for part, _ in _groups(own):
+                    texts = [START + own[i] for i in part]
+                    sizes = np.array([len(t) for t in texts])
+                    start, end, piece = arcs = lattice.arcs(texts)
+                    column = log_prob[:, k : k + 1]
+                    forward, backward = (_sums(arcs, sizes, column, True, back)[:, 0] for back in (False, True))
+                    word = np.repeat(np.arange(len(texts)), sizes + 1)[start]
+                    through = np.exp(forward[start] + column[piece, 0] + backward[end] - forward[_places(sizes)[1]][word])
+                    np.add.at(total[:, k], piece, through * counts[mine[part]][word])
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[piece, lang])],
@@ -146,7 +190,8 @@ def _expected(pieces, prob):
 def fit(docs, pieces, id_col="doc_id", text_col="text", lang_col="lang", train_docs=TRAIN_DOCS):
     """`(languages, prob)` fitted on about `train_docs` documents of each language.
 
-    Rows without text or language are passed over. Only counts by language and piece reach the driver.
+    Rows without text or language are passed over, as are texts without letters; repeated rows count again; other columns are
+    not looked at. Without any language `prob` has no column. Only counts by language and piece reach the driver.
     """
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("name"))
@@ -159,7 +204,7 @@ def fit(docs, pieces, id_col="doc_id", text_col="text", lang_col="lang", train_d
     many = {r["name"]: r["count"] for r in counts}
     table = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.struct(F.lit(i).alias("lang"), F.lit(many[n]).alias("many")))])
     rows = rows.withColumn("_of", table[F.col("name")])
-    low = F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), 0)
+    low = F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), 0)
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("double") * F.col("_of.many") < float(train_docs) * (1 << 30)
     words = rows.filter(share).select(F.col("_of.lang").alias("lang"), F.explode(low).alias("word"))
     words = materialize(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
@@ -167,8 +212,8 @@ def fit(docs, pieces, id_col="doc_id", text_col="text", lang_col="lang", train_d
     for _ in range(ROUNDS):
         found = words.mapInArrow(_expected(pieces, prob), "lang int, piece int, n double")
         total = np.full(prob.shape, SMOOTHING)
-        for lang, piece, n in found.groupBy("lang", "piece").agg(F.sum("n")).collect():
-            total[piece, lang] += n
+        found = found.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+        total[found["piece"].to_numpy(), found["lang"].to_numpy()] += found["n"].to_numpy()
         prob = total / total.sum(axis=0)
     return names, prob
 
@@ -182,31 +227,58 @@ class Scorer:
 
     def _rows(self, words):
         """Log probabilities of distinct words."""
-        at = [self.known.get(w, -1) for w in words]
+        at = np.fromiter(map(self.known.get, words, [-1] * len(words)), np.int64, len(words))
         out = self.logs[at]
-        new = [i for i, place in enumerate(at) if place < 0]
-        for begin in range(0, len(new), 5000):
-            part = new[begin : begin + 5000]
-            logs = _log_probs(self.lattice, [words[i] for i in part], self.prob)
-            out[part] = logs
-            if self.used + len(part) > MAX_WORDS:
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [words[i] for i in new]
+            out[new] = logs = _log_probs(self.lattice, fresh, self.prob)
+            if self.used + len(new) > MAX_WORDS:
                 self.known, self.used = {}, 0
-            self.logs[self.used : self.used + len(part)] = logs
-            self.known.update((words[i], self.used + k) for k, i in enumerate(part))
-            self.used += len(part)
+            kept = min(len(new), MAX_WORDS)
+            self.logs[self.used : self.used + kept] = logs[:kept]
+            self.known.update(zip(fresh[:kept], range(self.used, self.used + kept)))
+            self.used += kept
         return out
 
     def score(self, texts):
         """Sums of log probabilities by text and language, and how many words each text has."""
-        found = [LETTERS.findall(text.lower()) if text else [] for text in texts]
+        low = pc.utf8_lower(pc.fill_null(texts, ""))
+        # Runs of word characters; of those that are not all letters, the runs of letters.
+        found = [_WORDS(text) for text in low.to_pylist()]
         counts = np.array([len(f) for f in found])
-        total = np.zeros((len(texts), self.prob.shape[1]))
+        total, letters = np.zeros((len(texts), self.prob.shape[1])), np.zeros(len(texts), np.int64)
         if counts.sum():
-            coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
-            rows = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            coded = pa.array(chain.from_iterable(found), pa.string(), size=int(counts.sum())).dictionary_encode()
+            del found
+            distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            mixed = [i for i, word in enumerate(distinct) if not word.isalpha()]
+            runs = [_RUNS.findall(distinct[i]) for i in mixed]
+            for i in mixed:
+                distinct[i] = None
+            plain = [i for i, word in enumerate(distinct) if word is not None]
+            rows, many = np.zeros((len(distinct), total.shape[1])), np.ones(len(distinct), np.int64)
+            rows[plain] = self._rows([distinct[i] for i in plain])
+            many[mixed] = [len(own) for own in runs]
+            flat = list(dict.fromkeys(chain.from_iterable(runs)))
+            logs = dict(zip(flat, self._rows(flat))) if flat else {}
+            for i, own in zip(mixed, runs):
+                rows[i] = sum((logs[run] for run in own), np.zeros(total.shape[1]))
             some = np.flatnonzero(counts)
-            total[some] = np.add.reduceat(rows, np.concatenate([[0], np.cumsum(counts[some])[:-1]]))
-        return total, counts
+            first = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
+            total[some], letters[some] = np.add.reduceat(rows[code], first), np.add.reduceat(many[code], first)
+        return total, letters
+
+
+_SCORERS = {}
+
+
+def _scorer(key, pieces, prob):
+    """The scorer of a worker process, kept from task to task of one model."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(pieces, prob)
+    return _SCORERS[key]
 
 
 def predict(docs, pieces, languages, prob, id_col="doc_id", text_col="text"):
@@ -217,18 +289,17 @@ def predict(docs, pieces, languages, prob, id_col="doc_id", text_col="text"):
     looked at. The model is bounded by the vocabulary times the languages.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast((pieces, languages, prob))
+    model = docs.sparkSession.sparkContext.broadcast((uuid4().hex, pieces, languages, prob))
 
     def convert(batches):
-        own_pieces, names, own_prob = model.value
-        scorer = Scorer(own_pieces, own_prob) if names else None
+        key, own_pieces, names, own_prob = model.value
+        scorer = _scorer(key, own_pieces, own_prob) if names else None
         named = np.array([*names, UNDETERMINED], object)
         for batch in batches:
-            for at, n in slices(batch, "text"):
-                texts = batch["text"].slice(at, n).to_pylist()
+            for at, n in slices(batch, "text", SLICE_BYTES):
                 best, share = np.full(n, len(names)), np.zeros(n)
                 if scorer:
-                    total, counts = scorer.score(texts)
+                    total, counts = scorer.score(batch["text"].slice(at, n))
                     likely = np.exp(total - total.max(axis=1, keepdims=True))
                     best = np.where(counts > 0, total.argmax(axis=1), len(names))
                     share = np.where(counts > 0, likely.max(axis=1) / likely.sum(axis=1), 0.0)

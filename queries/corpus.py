@@ -21,7 +21,9 @@ from rulelens.functions.findings import level_norm, level_rank, level_weight
 from rulelens.functions.text import cache_key, content_hash, line_count, normalize_text, rules_hash
 from rulelens.operators.cache import exact_duplicates
 from rulelens.operators.match import applicable_rules, content_matches, match_rules, path_matches
+from rulelens.plans.storage import run_dir
 from rulelens.sources.corpus import drop_ignored, exclude_paths, include_paths
+from rulelens.sources.files import read_text_files, write_text_files
 
 
 def _everything(spark, sf):
@@ -203,3 +205,25 @@ def levels(spark, sf):
         level_rank(F.col("level")).cast("bigint").alias("rank"),
         level_weight(F.col("level")).cast("bigint").alias("weight"),
     )
+
+
+# Every document as a file; of ten one each lies in a hidden folder, in an ignored folder, is named with an underscore, has
+# another suffix, is hidden itself, or is no UTF-8.
+@query(
+    "corpus_tree",
+    """WITH named AS (SELECT doc_id, text, 'src/' || source || '/' || CASE doc_id % 10 WHEN 0 THEN '.hidden/' WHEN 1 THEN 'node_modules/'
+  WHEN 2 THEN '_' WHEN 4 THEN '.' ELSE '' END || doc_id || CASE doc_id % 10 WHEN 3 THEN '.md' ELSE '.py' END AS path FROM documents)
+SELECT path, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS content_sha FROM named
+WHERE doc_id % 10 NOT IN (0, 1, 3, 4, 5)""",
+)
+def corpus_tree(spark, sf):
+    doc_id = F.col("doc_id")
+    kind = doc_id % 10
+    folder = F.when(kind == 0, ".hidden/").when(kind == 1, "node_modules/").when(kind == 2, "_").when(kind == 4, ".").otherwise("")
+    path = F.concat(F.lit("src/"), "source", F.lit("/"), folder, doc_id.cast("string"), F.when(kind == 3, ".md").otherwise(".py"))
+    text = F.col("text").cast("binary")
+    content = F.when(kind == 5, F.concat(text, F.lit(b"\xff"))).otherwise(text)
+    root = run_dir(spark, "tree")
+    write_text_files(table(spark, sf, "documents").select(path.alias("path"), content.alias("content")), root)
+    found = read_text_files(spark, root)
+    return found.select("path", F.sha2("content", 256).alias("content_sha"))

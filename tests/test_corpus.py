@@ -5,7 +5,7 @@ from pathlib import PurePosixPath
 import pytest
 
 from rulelens.sources.corpus import corpus_scan, drop_ignored, exclude_paths, include_paths
-from rulelens.sources.files import with_corpus_defaults
+from rulelens.sources.files import list_tree, read_text_files, with_corpus_defaults, write_text_files
 
 
 @pytest.fixture
@@ -85,3 +85,27 @@ def test_includes(corpus):
     df = corpus([("src/a", ""), ("src2/a", ""), ("lib", ""), ("lib/b/c", "")])
     assert sorted(rows(include_paths(df, ["src/", "./lib"]))) == ["lib", "lib/b/c", "src/a"]
     assert include_paths(df, None).count() == include_paths(df, ["."]).count() == 4
+
+
+def test_a_flat_folder_of_many_files_and_a_deep_one(spark, tmp_path):
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i in range(5000):
+        (flat / f"{i}.py").touch()
+    deep = flat.joinpath(*"abcdef")
+    deep.mkdir(parents=True)
+    (deep / "last.py").write_text("end")
+    (tmp_path / "flat/a/.git").mkdir()
+    (tmp_path / "flat/a/.git/x.py").write_text("no")
+    levels = list_tree(spark, f"file://{flat}", str(flat))
+    assert [level.count() for level in levels] == [5001, 1, 1, 1, 1, 1, 1]
+    read = read_text_files(spark, str(flat))
+    assert read.count() == 5001 and read.filter("path = 'a/b/c/d/e/f/last.py'").first()["content"] == "end"
+
+
+def test_written_files_are_read_back(spark, tmp_path):
+    data = [("a/b.py", "x\r\ny"), ("_u.py", ""), ("c.py", "one"), ("c.py", "two"), (None, "n"), ("d.py", None), ("e.txt", "t")]
+    frame = spark.createDataFrame(data, "path string, content string")
+    assert write_text_files(frame, str(tmp_path / "out")) == 4
+    assert rows(read_text_files(spark, str(tmp_path / "out"))) == {"a/b.py": "x\ny", "_u.py": "", "c.py": "two"}
+    assert write_text_files(frame.limit(0), str(tmp_path / "none")) == 0

@@ -10,6 +10,7 @@ from queries.base import (
     document_findings,
     documents,
     query,
+    quoted,
     rules_sql,
 )
 from rulelens.functions.findings import cached_form, findings_from_json, findings_to_json, issue_id, location_str
@@ -31,7 +32,7 @@ from rulelens.operators.findings import (
 from rulelens.operators.spans import enclosing_span
 from rulelens.packs import HOUSE, PACKS
 from rulelens.plans.storage import materialize
-from rulelens.sources.rules import rules_df
+from rulelens.sources.rules import overlay_rules, rules_df
 
 _COLUMNS = "path, start_line, rule_id, level, issue_id"
 
@@ -106,6 +107,31 @@ def enriched_in_part(spark, sf):
     return joined.select("path", F.col("start_line").cast("bigint"), "rule_id", "issue_id", "rule_name", "category")
 
 
+# All packs as layers of one rule table, the overlay last: which rule of each id counts, and what it found.
+_LAYERED = [(layer, place, rule) for layer, pack in enumerate([*PACKS, HOUSE]) for place, rule in enumerate(pack.rules)]
+_LAYERS_SQL = "layered(layer, place, rule_id, pack, level) AS (VALUES " + ", ".join(
+    f"({layer}, {place}, {quoted(r.rule_id)}, {quoted(r.pack)}, {quoted(r.level)})" for layer, place, r in _LAYERED
+) + ")"
+
+
+@query(
+    "overlay_rules",
+    f"""{FINDINGS}, {_LAYERS_SQL}, composed AS (
+  SELECT rule_id, min(layer * 1000 + place) AS place, arg_max(pack, layer * 1000 + place) AS pack,
+    arg_max(level, layer * 1000 + place) AS level FROM layered GROUP BY 1)
+SELECT c.rule_id, CAST(c.place AS BIGINT) AS place, c.pack, c.level, CAST(count(f.path) AS BIGINT) AS findings
+FROM composed c LEFT JOIN findings f ON f.rule_id = c.rule_id AND f.level = c.level GROUP BY ALL""",
+)
+def overlaid(spark, sf):
+    rules = rules_df(spark, [rule for _, _, rule in _LAYERED]).drop("triggers", "examples", "checklist", "tags")
+    places = spark.createDataFrame([(layer, place, r.rule_id, r.pack) for layer, place, r in _LAYERED], "layer int, place int, rule_id string, pack string")
+    composed = overlay_rules(rules.join(places, ["rule_id", "pack"]))
+    found = document_findings(spark, sf).groupBy("rule_id", "level").agg(F.count(F.lit(1)).alias("findings"))
+    counted = composed.join(found, ["rule_id", "level"], "left")
+    place = (F.col("layer") * 1000 + F.col("place")).cast("bigint").alias("place")
+    return counted.select("rule_id", place, "pack", "level", F.coalesce("findings", F.lit(0)).cast("bigint").alias("findings"))
+
+
 # A second, overlapping delivery of the privacy findings with its own confidence.
 _AGAIN = """again AS (
   SELECT *, true AS cached, 1.0 AS confidence FROM findings WHERE rule_id LIKE 'privacy/%'

@@ -15,7 +15,8 @@ from rulelens.operators.cache import (
     with_cache_key,
 )
 from rulelens.operators.match import match_rules
-from rulelens.plans.storage import materialize
+from rulelens.plans.generations import CacheStore
+from rulelens.plans.storage import materialize, run_dir
 from rulelens.schemas import CACHE, CACHED_FINDING
 from rulelens.sources.corpus import spread_small
 
@@ -157,6 +158,25 @@ def upserted(spark, sf):
     return _entry(cache_put(document_cache(keyed), log_of_entries(keyed, _NEWER, 2)))
 
 
+@query(
+    "cache_generations",
+    f"""{CACHE_SQL}, {entries_sql('newer', _NEWER, 2)}, both_sides AS (
+  SELECT *, 0 AS is_new FROM cache UNION ALL SELECT *, 1 FROM newer),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY file_hash, rules_hash
+  ORDER BY is_new DESC, created_at DESC, entry_path DESC) AS rn FROM both_sides)
+SELECT file_hash, rules_hash, title, {_SEEN} FROM ranked WHERE rn = 1 AND created_at > TIMESTAMP '{AS_OF}' - INTERVAL 240 HOUR""",
+)
+def stored_in_generations(spark, sf):
+    """Two puts into a stored cache, then its old entries expire."""
+    keyed = keyed_documents(spark, sf)
+    store = CacheStore(spark, run_dir(spark, "cache-store"))
+    store.put(document_cache(keyed))
+    store.put(log_of_entries(keyed, _NEWER, 2))
+    store.expire(AS_OF, 240)
+    store.vacuum()
+    return _entry(store.read())
+
+
 @query(
     "cache_retained",
     CACHE_SQL

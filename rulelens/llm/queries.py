@@ -150,12 +150,18 @@ def op3_chat_formatting(spark, sf):
     )
 
 
-@query("op5_lm_scoring")
+@query(
+    "op5_lm_scoring",
+    f"""WITH good AS (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
+{lm.difference_sql('documents', 'good')}
+SELECT doc_id, n_tokens, {', '.join(f'round({c}, 5) AS {c}' for c in ('target_loss', 'background_loss', 'score'))} FROM scored""",
+)
 def op5_lm_scoring(spark, sf):
     """The target is what the labels call good and not toxic."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     good = table(spark, sf, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
-    return lm.score_tables(docs, lm.count_tables(docs, good))
+    scored = lm.cross_entropy_difference(docs, good)
+    return scored.select("doc_id", "n_tokens", *[F.round(c, 5).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 @query("op11_phrase_collocations", f"WITH {collocations_sql('documents')} SELECT * FROM ranked")

@@ -2,94 +2,90 @@ import math
 import random
 from collections import Counter
 
-import numpy as np
-import pyarrow as pa
 import pytest
 
 from rulelens.llm import lm
-from rulelens.llm.texts import Words
 
-ROWS = [(1, "a b a b", 0), (2, "A c", 0), (3, None, 0), (4, " ", 0), (None, "a b", 0), (5, "zz yy", 0), (5, "zz yy", 0)]
+ROWS = [(1, "a b a b", 0), (2, "A c", 0), (3, None, 0), (4, " ", 0), (None, "a b", 0), (5, "zz yy", 0), (5, "zz yy", 0), (6, "b", 0)]
 
 
-def test_counts_cover_every_word(spark):
-    docs = spark.createDataFrame(ROWS, "doc_id bigint, text string, score int").repartition(3)
-    ids = spark.createDataFrame([(1,), (1,), (3,), (77,)], "doc_id bigint")
-    words, contexts, pairs = lm.fit(docs, ids)
-    assert words.sum(axis=1).tolist() == contexts.sum(axis=1).tolist() == pairs.sum(axis=1).tolist() == [4, 12]
-    a, _, ab = lm._cells(Words(pa.array(["a b"])))
-    assert words[:, a[0]].tolist() == [2, 4] and pairs[:, ab[1]].tolist() == [2, 3]
+def by_definition(rows, target):
+    """Losses of each row by counts in dictionaries, its own left out."""
+    split = [["", *(text or "").translate(str.maketrans("ABC", "abc")).split()] for _, text in rows]
+    sides = [i is not None and i in target for i, _ in rows]
+    sums = {}
+    for side in (True, False):
+        one, two = Counter(), Counter()
+        for ws, mine in zip(split, sides):
+            if mine == side and len(ws) > 1:
+                one.update(ws)
+                two.update(zip(ws, ws[1:]))
+        sums[side] = one, two, sum(one.values()) - one[""]
+    known = 1 + len(set(sums[True][0]) | set(sums[False][0]))
+    scale = sums[False][2] / sums[True][2] if sums[True][2] and sums[False][2] else 1
+    out = []
+    for (i, _), ws, mine in zip(rows, split, sides):
+        losses = []
+        for side, unseen in ((True, lm.UNSEEN), (False, lm.UNSEEN * scale)):
+            one, two, n = sums[side]
+            if side == mine:
+                one, two, n = one - Counter(ws), two - Counter(zip(ws, ws[1:])), n - len(ws) + 1
+            loss = 0
+            for b, w in zip(ws, ws[1:]):
+                single = (one[w] + unseen) / (n + unseen * known)
+                share = two[b, w] / one[b] if one[b] else single
+                loss -= math.log(lm.PAIR_WEIGHT * share + (1 - lm.PAIR_WEIGHT) * single)
+            losses.append(loss / (len(ws) - 1) if len(ws) > 1 else None)
+        out.append((str(i), len(ws) - 1, *losses))
+    return sorted(out, key=str)
 
 
-def test_scores_prefer_the_target(spark):
-    docs = spark.createDataFrame(ROWS, "doc_id bigint, text string, score int")
-    model = lm.fit(docs, spark.createDataFrame([(1,)], "doc_id bigint"))
-    got = {}
-    for r in lm.score(docs, model).collect():
-        got.setdefault(r["doc_id"], []).append(r)
-    assert got[1][0]["score"] > 0 > got[5][0]["score"] and len(got[5]) == 2
-    assert got[3][0]["score"] is None and got[4][0]["target_loss"] is None and got[4][0]["n_tokens"] == 0
-    share = 2 / 4 * lm.PAIR_WEIGHT  # of "b" after "a" in the target: both times
-    one = (2 + lm.UNSEEN) / (4 + lm.UNSEEN * lm.WORD_CELLS)
-    loss = lm._losses(Words(pa.array(["a b"])), model)
-    assert np.isclose(loss[0, 1], -np.log(2 * share + (1 - lm.PAIR_WEIGHT) * one))
-    assert lm.score(docs.limit(0), model).count() == 0
-    assert lm.fit(docs.limit(0), docs.select("doc_id"))[0].sum() == 0
+def texts(seed, many):
+    rnd = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(60)] + ["A", "ü", "\U0001f600"]
+    out = []
+    for i in range(many):
+        ws = rnd.choices(vocabulary, [1 / (k + 1) for k in range(63)], k=rnd.randint(0, 70))
+        out.append((rnd.choice([i, i, None]), rnd.choice([" ", "\n "]).join(ws) or None))
+    return out
 
 
-def by_definition(rows, target, scored):
-    """Losses of each text by counts in dictionaries."""
-    models = []
-    for side in (lambda i: i in target, lambda i: True):
-        one, seen, two = Counter(), Counter(), Counter()
-        for i, text in rows:
-            ws = (text or "").lower().split()
-            one.update(ws * side(i))
-            two.update(list(zip([None, *ws], ws)) * side(i))
-            seen.update([None, *ws][:-1] * side(i) if ws else [])
-        models.append((one, seen, two))
-    types = len(models[1][0]) + 1
-    out = []
-    for i, text in scored:
-        ws, losses = (text or "").lower().split(), []
-        for one, seen, two in models:
-            single = lambda w: (one[w] + lm.UNSEEN) / (one.total() + lm.UNSEEN * types)  # noqa: B023, E731
-            share = lambda b, w: two[b, w] / seen[b] if seen[b] else single(w)  # noqa: B023, E731
-            p = [lm.PAIR_WEIGHT * share(b, w) + (1 - lm.PAIR_WEIGHT) * single(w) for b, w in zip([None, *ws], ws)]
-            losses.append(-sum(map(math.log, p)) / len(ws) if ws else None)
-        out.append((str(i), len(ws), *losses))
-    return sorted(out, key=str)
+@pytest.mark.parametrize("rows, target, parts", [
+    ([r[:2] for r in ROWS], {1, 3, 77}, 3),
+    ([r[:2] for r in ROWS], set(), 1),
+    ([r[:2] for r in ROWS if r[0]], {1, 2, 3, 4, 5, 6}, 2),
+    (texts(1, 300), set(range(0, 300, 3)), 7),
+    ([*texts(2, 20), (7, "w1 w2 A " * 30_000)], {7, 8, 9}, 2),
+])
+def test_equals_the_definition(spark, rows, target, parts):
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, score int, target string").repartition(parts)
+    ids = spark.createDataFrame([(i,) for i in [*target, None, *target]], "doc_id bigint")
+    got = lm.cross_entropy_difference(docs, ids)
+    assert got.columns == ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
+    got, want = got.collect(), by_definition(rows, target)
+    flat = sorted(((str(r[0]), r[1], r[2], r[3]) for r in got), key=lambda r: (r[0], r[1], str(r[2])))
+    want = sorted(want, key=lambda r: (r[0], r[1], str(r[2])))
+    assert [r[:2] for r in flat] == [r[:2] for r in want]
+    for a, b in zip(flat, want):
+        assert a[2:] == (None, None) == b[2:] or a[2:] == pytest.approx(b[2:])
+    assert all(r["score"] is None if r["n_tokens"] == 0 else math.isclose(r["score"], r[3] - r[2], abs_tol=1e-12) for r in got)
 
 
-@pytest.mark.parametrize("chunk, words", [(8 << 20, 3), (200, 5000)])
-def test_tables_equal_the_definition(spark, monkeypatch, chunk, words):
-    monkeypatch.setattr(lm, "CHUNK_BYTES", chunk)
-    rnd = random.Random(words)
-    rows = [(i, t) for i, t, _ in ROWS]
-    rows += [(i, " ".join(f"w{rnd.randint(0, words * 100)}" for _ in range(200))) for i in range(100, 100 + words // 50)]
-    schema = "doc_id bigint, text string"
-    docs = spark.createDataFrame(rows, schema).repartition(3)
-    counts = lm.count_tables(docs, spark.createDataFrame([(1,), (1,), (3,), (101,)], "doc_id bigint"))
-    other = [*rows, (7, "b never a"), (8, "a zz"), (9, None)]  # pairs and words that were not counted
-    got = lm.score_tables(spark.createDataFrame(other, schema).repartition(2), counts).collect()
-    got = sorted(((str(r["doc_id"]), r["n_tokens"], r["target_loss"], r["background_loss"]) for r in got), key=str)
-    want = by_definition(rows, {1, 3, 101}, other)
-    key = lambda r: (r[0], r[1], r[3] or 0)
-    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
-        assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None)
-        assert a[2] is None or np.allclose(a[2:], b[2:])
-    assert lm.score_tables(docs.limit(0), lm.count_tables(docs.limit(0), docs.select("doc_id"))).count() == 0
+def test_ranges_and_chunks_of_any_size_give_the_same(spark):
+    import pyarrow as pa
 
+    rows = [r for r in texts(3, 200) if r[1]]
+    grams = lm.Grams(pa.array([t for _, t in rows]))
+    for bits in (0, 1, 5):
+        ends = lm._range_ends(grams.keys, bits)
+        assert ends[-1] == len(grams.keys) and len(ends) == 1 << bits and (ends[1:] >= ends[:-1]).all()
+    assert grams.added().sum() == 2 * grams.counts.sum() + len(rows)
 
-def test_query_shares_no_cells(spark, tmp_path):
-    """More words than the dense arrays have cells: each of them occurs once, so none may look more frequent."""
-    from rulelens.llm.queries import QUERIES
 
-    n = lm.WORD_CELLS // 1000 + 40
-    spark.range(n).selectExpr("id as doc_id", "array_join(transform(sequence(0, 999), i -> concat('w', id * 1000 + i)), ' ') as text").write.parquet(
-        f"{tmp_path}/documents.parquet"
-    )
-    labels = spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int")
-    labels.write.parquet(f"{tmp_path}/labels.parquet")
-    got = [r for r in QUERIES["op5_lm_scoring"](spark, str(tmp_path)).collect() if r["doc_id"]]
-    assert len(got) == n - 1 and np.ptp([r["background_loss"] for r in got]) < 1e-9
+def test_empty_table_and_a_clear_preference(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id bigint, text string, score int")
+    assert lm.cross_entropy_difference(docs.limit(0), docs.select("doc_id")).count() == 0
+    rows = [(i, "good words here " * 5, 0) for i in range(10)] + [(i, "bad things there " * 5, 0) for i in range(10, 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score int")
+    got = lm.cross_entropy_difference(docs, docs.filter("doc_id < 5").select("doc_id")).collect()
+    assert all((r["score"] > 0) == (r["doc_id"] < 5) for r in got if r["doc_id"] < 5 or r["doc_id"] >= 10)

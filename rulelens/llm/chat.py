@@ -63,6 +63,39 @@ def preference_format(turns, pairs):
     )
 
 
+def swapped_answers(turns, pairs, role=TRAINED_ROLE):
+    """`(turns, pairs)` of conversations that differ in their last answer: the chosen one as it is, and the rejected one, which is the
+    same up to its last turn of `role` and then has the other conversation's last such turn.
+
+    `pairs` has (pair_id, chosen, other) by conv_id; a pair of which one has no such turn gives none. Of several rows
+    of the last turn the greatest counts. The conversations come out as numbers 2 * pair_id and 2 * pair_id + 1, so `pair_id` is a whole number.
+    """
+    last = turns.filter((F.col("role") == role) & F.col("turn").isNotNull())
+    last = last.groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    ends = pairs.join(last.withColumnRenamed("conv_id", "chosen"), "chosen").withColumnRenamed("last", "own")
+    ends = ends.join(last.withColumnRenamed("conv_id", "other"), "other").withColumnRenamed("last", "others")
+    good, bad = 2 * F.col("pair_id"), 2 * F.col("pair_id") + 1
+    said = turns.select(F.col("conv_id").alias("chosen"), "turn", "role", "text").join(ends.select("pair_id", "chosen", "own"), "chosen")
+    same = said.select(good.alias("conv_id"), "turn", "role", "text")
+    begun = said.filter(F.col("turn") < F.col("own.turn")).select(bad.alias("conv_id"), "turn", "role", "text")
+    ended = ends.select(bad.alias("conv_id"), F.col("own.turn").alias("turn"), F.lit(role).alias("role"), F.col("others.text").alias("text"))
+    return same.unionByName(begun).unionByName(ended), ends.select("pair_id", good.alias("chosen"), bad.alias("rejected"))
+
+
+def swapped_sql(turns, pairs, role=TRAINED_ROLE):
+    """CTEs `swapped_turns` and `swapped_pairs` of the same."""
+    return f"""lasts AS (
+  SELECT conv_id, turn, text FROM {turns} WHERE role = '{role}' AND turn IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC NULLS LAST) = 1),
+ends AS (
+  SELECT pair_id, chosen, a.turn AS turn, b.text AS text FROM {pairs} JOIN lasts a ON a.conv_id = chosen JOIN lasts b ON b.conv_id = other),
+swapped_turns AS (
+  SELECT 2 * pair_id AS conv_id, t.turn, role, t.text FROM {turns} t JOIN ends ON conv_id = chosen
+  UNION ALL SELECT 2 * pair_id + 1, t.turn, role, t.text FROM {turns} t JOIN ends e ON conv_id = chosen WHERE t.turn < e.turn
+  UNION ALL SELECT 2 * pair_id + 1, turn, '{role}', text FROM ends),
+swapped_pairs AS (SELECT pair_id, 2 * pair_id AS chosen, 2 * pair_id + 1 AS rejected FROM ends)"""
+
+
 def preference_sql(turns, pairs):
     """CTEs ending in `formatted`; spans as text `start+length`, comma-joined."""
     head = f"'{ROLE_OPEN}' || coalesce(role, '') || '|>' || chr(10)"

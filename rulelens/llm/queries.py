@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rulelens.llm import classifier, lm
 from rulelens.llm.audit import audit_sql, filter_audit
 from rulelens.llm.bpe import encode_decode
-from rulelens.llm.chat import preference_format, preference_sql
+from rulelens.llm.chat import preference_format, preference_sql, swapped_answers, swapped_sql
 from rulelens.llm.collocations import collocations, collocations_sql
 from rulelens.llm.decontaminate import contaminated, phrase_matches, phrase_sql
 from rulelens.llm.hosts import url_filter, url_filter_sql
@@ -129,17 +129,18 @@ def op7_quality_classifier(spark, sf):
 @query(
     "op3_chat_formatting",
     f"""WITH pairs AS (
-  SELECT conv_id // 2 AS pair_id, min(conv_id) AS chosen, max(conv_id) AS rejected FROM conversations
+  SELECT conv_id // 2 AS pair_id, min(conv_id) AS chosen, max(conv_id) AS other FROM conversations
   WHERE conv_id IS NOT NULL GROUP BY 1 HAVING min(conv_id) < max(conv_id)),
-{preference_sql('conversations', 'pairs')}
+{swapped_sql('conversations', 'pairs')},
+{preference_sql('swapped_turns', 'swapped_pairs')}
 SELECT * FROM formatted""",
 )
 def op3_chat_formatting(spark, sf):
-    """Each conversation of an even id is preferred to the next one, where both are there."""
+    """Each conversation of an even id is preferred to itself with the last answer of the next one."""
     turns = table(spark, sf, "conversations")
     pair = F.floor(F.col("conv_id") / 2).cast("bigint").alias("pair_id")
-    pairs = turns.groupBy(pair).agg(F.min("conv_id").alias("chosen"), F.max("conv_id").alias("rejected")).filter("chosen < rejected")
-    out = preference_format(turns, pairs)
+    pairs = turns.groupBy(pair).agg(F.min("conv_id").alias("chosen"), F.max("conv_id").alias("other")).filter("chosen < other")
+    out = preference_format(*swapped_answers(turns, pairs))
 
     def mask(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))), ",")

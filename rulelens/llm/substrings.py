@@ -2,9 +2,12 @@
 
 The reference is cut into blocks: runs of windows of 13 words that share an anchor, the smallest hash of any five words in
 the window. Equal windows have equal anchors, so a document's factors can only come from blocks under its own
-anchors, and an anchor that one document alone has indexes nothing. Each block's windows are looked up in the blocks under
-the same anchor; consecutive windows that are found join to the longest factors, and a factor boundary is checked
-like every other place, as the windows across it are looked up too.
+anchors, and an anchor that one document alone has indexes nothing. The windows of the blocks under an anchor are an index
+to places of the reference; each window of a document is looked up there and gets the first place of the smallest id.
+
+A document is then parsed from its first word on: a factor starts where a window was found and goes on word by word as long as
+the reference does, then the next one takes over. Factors name their place in the reference. Windows across a factor boundary
+are looked up like all others, so a boundary ends no duplicate span that goes on in another reference.
 """
 
 import re
@@ -14,12 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from rulelens.llm.texts import Words, arrow_list, mix, signed, slices
+from rulelens.llm.texts import Words, arrow_list, mix, signed, slices, whole_ids
 
 WINDOW = 13
 ANCHOR = 5
 RUN = 32
 BLANKS = " \t\n\x0b\x0c\r"
+FACTOR = "start:int,length:int,ref_id:bigint,ref_start:int"
 WORD = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 
 
@@ -153,59 +157,64 @@ def _digest(values, offsets):
 
 
 def _found(batches):
-    """From windows sorted by anchor, hash and id: those that a smaller id has too, with that id."""
+    """From windows sorted by anchor, hash, id and place: those that a smaller id has too, with its first place there."""
     last = None
     for batch in batches:
-        anchor, window, ids = (batch[c].to_numpy() for c in ("anchor", "window", "id"))
+        anchor, window, ids, place = (batch[c].to_numpy() for c in ("anchor", "window", "id", "place"))
         if not len(ids):
             continue
         begins = np.ones(len(ids), bool)
         begins[1:] = (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1])
         if last is not None and (anchor[0], window[0]) == last[:2]:
             begins[0] = False
-        owner = np.concatenate([[last[2] if last else 0], ids[begins]])[np.cumsum(begins)]
-        last = (anchor[-1], window[-1], owner[-1])
+        group = np.cumsum(begins)
+        owner = np.concatenate([[last[2] if last else 0], ids[begins]])[group]
+        ref = np.concatenate([[last[3] if last else 0], place[begins]])[group].astype(np.int32)
+        last = (anchor[-1], window[-1], owner[-1], ref[-1])
         later = pa.array(owner < ids)
-        out = batch.filter(later)
-        yield pa.RecordBatch.from_arrays(
-            [out[c] for c in ("id", "start", "run", "k")] + [pa.array(owner).filter(later)],
-            names=["id", "start", "run", "k", "owner"],
-        )
+        columns = [batch[c] for c in ("id", "place", "run", "k")] + [pa.array(owner), pa.array(ref)]
+        yield pa.RecordBatch.from_arrays([c.filter(later) for c in columns], names=["id", "place", "run", "k", "ref_id", "ref_start"])
 
 
 def _matched(words, found, window):
-    """Whether each word is in a window that was found; runs are checked against the text, as an id may have several."""
+    """Places of the windows that were found, in order, with their reference; runs are checked against the text, as an id
+    may have several."""
     places, full, anchors = _anchored(words, window)
     flat = found.flatten()
-    covered = np.zeros(len(words.hash) + 1, np.int64)
-    if len(flat) and len(places):
-        row = np.repeat(np.arange(len(found)), pc.fill_null(found.value_lengths(), 0).to_numpy(zero_copy_only=False))
-        start, run, mask = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-        starts = _runs(words, places, anchors)
-        digests = signed(_digest(full, np.append(starts, len(places))))
-        place = words.first[row] + start
-        at = np.minimum(np.searchsorted(places[starts], place), len(starts) - 1)
-        good = (places[starts[at]] == place) & (digests[at] == run) & (place < words.first[row + 1])
-        place, mask = place[good], mask[good]
-        for k in range(RUN):
-            hit = place[(mask >> k) & 1 == 1] + k
-            np.add.at(covered, hit, 1)
-            np.add.at(covered, hit + window, -1)
-    return np.cumsum(covered)[:-1] > 0
-
-
-def _factors(words, gone):
-    """Factors of each text as a list column of (start, length)."""
-    edge = np.ones(len(gone), bool)
-    edge[1:] = (gone[1:] != gone[:-1]) | (words.row[1:] != words.row[:-1])
-    at = np.flatnonzero(edge)
-    length = np.diff(np.append(at, len(gone)))
-    at, length = at[gone[at]], length[gone[at]]
+    if not len(flat) or not len(places):
+        return (np.zeros(0, np.int64),) * 3
+    row = np.repeat(np.arange(len(found)), pc.fill_null(found.value_lengths(), 0).to_numpy(zero_copy_only=False))
+    place, run, k, ref_id, ref_start = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+    starts = _runs(words, places, anchors)
+    digests = signed(_digest(full, np.append(starts, len(places))))
+    begin = words.first[row] + place - k
+    at = np.minimum(np.searchsorted(places[starts], begin), len(starts) - 1)
+    good = (places[starts[at]] == begin) & (digests[at] == run) & (begin < words.first[row + 1])
+    at, first = np.unique((begin + k)[good], return_index=True)
+    return at, ref_id[good][first], ref_start[good][first].astype(np.int64)
+
+
+def _factors(words, found, window):
+    """The parse: `(gone, factors)`; whether each word is in a factor, and each text's (start, length, ref_id, ref_start)."""
+    at, ref_id, ref = found
+    covered = np.zeros(len(words.hash) + window + 1, np.int64)
+    np.add.at(covered, at, 1)
+    np.add.at(covered, at + window, -1)
+    gone = np.cumsum(covered)[: len(words.hash)] > 0
     row = words.row[at]
+    new = np.ones(len(at), bool)  # a reference that does not go on
+    new[1:] = (at[1:] != at[:-1] + 1) | (ref_id[1:] != ref_id[:-1]) | (ref[1:] != ref[:-1] + 1) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    row, start, ref_id, ref = row[first], at[first], ref_id[first], ref[first]
+    end = at[np.append(first[1:], len(at)) - 1] + window if len(first) else start
+    # A factor goes to its end; the next one starts there at the earliest.
+    late = start.copy()
+    late[1:] = np.maximum(start[1:], np.where(row[1:] == row[:-1], end[:-1], 0))
+    length, ref = end - late, ref + late - start
     offsets = np.searchsorted(row, np.arange(len(words.first)))
-    start = at - words.first[row]
-    spans = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))], ["start", "length"])
-    return arrow_list(spans, offsets)
+    columns = [(late - words.first[row]).astype(np.int32), length.astype(np.int32), ref_id, ref.astype(np.int32)]
+    names = ["start", "length", "ref_id", "ref_start"]
+    return gone, arrow_list(pa.StructArray.from_arrays([pa.array(c) for c in columns], names), offsets)
 
 
 def _parsed(window, cut):
@@ -216,7 +225,7 @@ def _parsed(window, cut):
             for at, n in slices(batch, "text"):
                 part = batch.slice(at, n)
                 words = Words(part["text"])
-                gone = _matched(words, part["found"], window)
+                gone, factors = _factors(words, _matched(words, part["found"], window), window)
                 removed = np.bincount(words.row[gone], minlength=n)
                 if cut:
                     text = part["text"].to_pylist()
@@ -228,7 +237,7 @@ def _parsed(window, cut):
                     kept = np.concatenate([[0], np.cumsum(~gone)])[words.first]
                     text = pc.binary_join(arrow_list(words.flat.filter(pa.array(~gone)), kept), " ")
                 yield pa.RecordBatch.from_arrays(
-                    [part["id"], part["rest"], pa.array(words.counts), pa.array(removed), _factors(words, gone), text],
+                    [part["id"], part["rest"], pa.array(words.counts), pa.array(removed), factors, text],
                     names=["id", "rest", "n_words", "n_removed", "factors", "text"],
                 )
 
@@ -236,6 +245,7 @@ def _parsed(window, cut):
 
 
 def _parse(docs, rest, window, cut, id_col, text_col):
+    whole_ids(docs, id_col)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), rest.alias("rest"), F.col(text_col).alias("text"))
     slim = texts.filter("id is not null").select("id", "text")
     anchors = slim.mapInArrow(_anchor_rows(window), "id bigint, anchor bigint")
@@ -247,26 +257,26 @@ def _parse(docs, rest, window, cut, id_col, text_col):
     own = placed.join(wanted, "id", "left").select("id", "text", "anchors")
     blocks = own.mapInArrow(_blocks(window), "anchor bigint, id bigint, start int, run bigint, windows array<bigint>")
     windows = blocks.repartition("anchor").select("anchor", "id", "start", "run", F.posexplode("windows").alias("k", "window"))
-    found = windows.sortWithinPartitions("anchor", "window", "id").mapInArrow(
-        _found, "id bigint, start int, run bigint, k int, owner bigint"
+    windows = windows.withColumn("place", F.col("start") + F.col("k")).drop("start")
+    found = windows.sortWithinPartitions("anchor", "window", "id", "place").mapInArrow(
+        _found, "id bigint, place int, run bigint, k int, ref_id bigint, ref_start int"
     )
-    bit = F.expr("shiftleft(1L, k)")
-    runs = found.groupBy("id", "start", "run").agg(F.bit_or(bit).alias("mask"), F.min("owner").alias("owner"))
-    listed = runs.groupBy("id").agg(F.collect_list(F.struct("start", "run", "mask")).alias("found"))
+    # At most one entry for each word of the document.
+    listed = found.groupBy("id").agg(F.collect_list(F.struct("place", "run", "k", "ref_id", "ref_start")).alias("found"))
     joined = placed.join(listed, "id", "left")
     kind = dict(joined.dtypes)["rest"]
-    schema = f"id bigint, rest {kind}, n_words bigint, n_removed bigint, factors array<struct<start:int,length:int>>, text string"
+    schema = f"id bigint, rest {kind}, n_words bigint, n_removed bigint, factors array<struct<{FACTOR}>>, text string"
     return joined.select("id", "rest", "text", "found").mapInArrow(_parsed(window, cut), schema)
 
 
 def substring_dedup(docs, window=WINDOW, id_col="doc_id", text_col="text"):
     """Factors of every text that repeat text of a smaller id: `(id, n_words, n_removed, factors, kept)`.
 
-    Words are runs of anything but ASCII white space. `factors` are maximal spans of words (start, length) in which every
-    word is in a window of `window` words that also starts in a text of a smaller id; windows are judged on the input.
-    `kept` has the other words, joined by a space. A null text has no words; rows with a null id are kept whole
+    Words are runs of anything but ASCII white space. `factors` (start, length, ref_id, ref_start) are spans of words, equal to as many
+    words of a smaller id from `ref_start` on; together they are all words in a window of `window` words that also starts
+    in a text of a smaller id; windows are judged on the input. `kept` has the other words, joined by a space. A null text has no words; rows with a null id are kept whole
     and are no reference; rows of one id are one document; repeated rows map one to one. Other columns are not looked at.
-    Ids are whole numbers.
+    Ids are whole numbers; others are an error.
     """
     parsed = _parse(docs, F.lit(None).cast("boolean"), window, False, id_col, text_col)
     return parsed.select(F.col("id").alias(id_col), "n_words", "n_removed", "factors", F.col("text").alias("kept"))

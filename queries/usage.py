@@ -4,15 +4,18 @@ from pyspark.sql import functions as F
 
 from queries.base import AS_OF, DOCS, documents, query, table
 from rulelens.operators.usage import (
+    append_totals,
     conform_log,
     cost_by_model,
     cost_summary,
+    cost_summary_kept,
     find_call,
     price_calls,
     price_table,
     recent_calls,
     usage_rows,
 )
+from rulelens.plans.storage import run_dir
 from rulelens.schemas import USAGE
 
 PRICES = {"acme/fast": (0.000001, 0.000002), "acme/deep": (0.00001, 0.00003), "Zeta/large": (0.000005, 0.000015)}
@@ -69,6 +72,25 @@ def summed(spark, sf):
     return one.withColumns(rounded)
 
 
+@query(
+    "cost_summary_kept",
+    LOG
+    + f""" SELECT CAST(count(*) AS BIGINT) AS total_calls, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens,
+  round(coalesce(sum(cost_usd), 0), 6) AS total_cost, CAST(coalesce(sum(issues_found), 0) AS BIGINT) AS total_issues
+FROM log WHERE timestamp > TIMESTAMP '{AS_OF}' - INTERVAL 9 DAY - INTERVAL 7 HOUR""",
+)
+def summed_from_kept(spark, sf):
+    """The log arrives in three runs, the second of them twice and at first in part; a period that begins within a day."""
+    log, home = usage_log(spark, sf), run_dir(spark, "totals")
+    run = F.pmod(F.xxhash64("id"), F.lit(3))
+    append_totals(log.filter(run == 1).filter("total_tokens % 2 = 0"), home, 1)
+    for number in range(3):
+        append_totals(log.filter(run == number), home, number)
+    as_of = F.expr(f"timestamp'{AS_OF}' - interval 7 hours")
+    one = cost_summary_kept(spark.read.parquet(home), log, as_of, 9)
+    return one.select("total_calls", "total_tokens", F.round("total_cost", 6).alias("total_cost"), "total_issues")
+
+
 @query(
     "cost_by_model",
     LOG

@@ -1,5 +1,6 @@
 """The usage log: one row per scorer call, and the summaries over it."""
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rulelens.functions.models import model_name, model_provider
@@ -83,6 +84,42 @@ def cost_summary(log, as_of, days=DEFAULT_SUMMARY_DAYS):
     )
 
 
+def usage_totals(log):
+    """Mergeable sums of a log by day and model: `(day, model, calls, total_tokens, total_cost, total_issues)`."""
+    return log.groupBy(F.to_date("timestamp").alias("day"), "model").agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.coalesce(F.sum("total_tokens"), F.lit(0)).cast("bigint").alias("total_tokens"),
+        F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("total_cost"),
+        F.coalesce(F.sum("issues_found"), F.lit(0)).cast("bigint").alias("total_issues"),
+    )
+
+
+def append_totals(rows, path, run_id):
+    """Add a run's sums to those kept below `path`: one folder per run, replaced if the run is repeated or gets late rows.
+
+    `rows` are all rows of the run, or of a part of it that has an id of its own.
+    """
+    usage_totals(rows).coalesce(1).write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
+
+
+def cost_summary_kept(totals, log, as_of, days=DEFAULT_SUMMARY_DAYS):
+    """As `cost_summary`, from kept sums: whole days are added up from them; of the log only the day the period begins in is read."""
+    as_of = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    since = as_of.cast("timestamp") - F.expr(f"interval {int(days)} days")
+    edge = F.to_date(since)
+    first = log.filter((F.col("timestamp") > since) & (F.col("timestamp") < F.date_add(edge, 1).cast("timestamp")))
+    sums = ["calls", "total_tokens", "total_cost", "total_issues"]
+    rows = totals.filter(F.col("day") > edge).select(*sums).unionByName(usage_totals(first).select(*sums))
+    total = {name: F.coalesce(F.sum(name), F.lit(0)) for name in sums}
+    return rows.agg(
+        total["calls"].cast("bigint").alias("total_calls"),
+        total["total_tokens"].cast("bigint").alias("total_tokens"),
+        total["total_cost"].cast("double").alias("total_cost"),
+        total["total_issues"].cast("bigint").alias("total_issues"),
+        (total["total_cost"] / F.greatest(total["calls"], F.lit(1))).alias("avg_cost_per_call"),
+    )
+
+
 def cost_by_model(log):
     """Calls, tokens and cost for every combination of provider, model and day, with subtotals."""
     fine = log.groupBy(

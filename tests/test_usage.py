@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from rulelens.functions.models import model_name, model_provider
 from rulelens.operators.usage import (
+    append_totals,
     append_usage,
     conform_log,
     cost_by_model,
     cost_summary,
+    cost_summary_kept,
     find_call,
     price_calls,
     price_table,
@@ -83,3 +85,16 @@ def test_old_logs_conform_and_repeated_appends_change_nothing(spark):
         append_usage(df, folder, run_id)
     back = spark.read.parquet(folder)
     assert back.count() == 4 and conform_log(back).columns == USAGE.fieldNames()
+
+
+def test_kept_sums_equal_a_whole_recount(spark):
+    home = run_dir(spark, "totals")
+    rows = [(str(i), i / 5, f"m{i % 2}", i, 1, 0.5 * i, i % 3) for i in range(60)]
+    parts = [log(spark, rows[:20]), log(spark, rows[20:45]), log(spark, rows[45:])]
+    append_totals(log(spark, rows[:7]), home, 0)  # the rest of the run comes late
+    for i in (0, 1, 2, 1):
+        append_totals(parts[i], home, i)
+    kept, whole = spark.read.parquet(home), log(spark, rows)
+    for as_of in (NOW, NOW - timedelta(hours=7), NOW + timedelta(days=40)):
+        for days in (0, 1, 3, 30):
+            assert cost_summary_kept(kept, whole, as_of, days).first() == cost_summary(whole, as_of, days).first()

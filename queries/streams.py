@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from queries.base import DOCS, FINDINGS, PACK_NAME, RULES, applicable_sql, query, table
+from queries.base import DOCS, FINDINGS, PACK_NAME, RULES, applicable_sql, document_findings, query, table
 from queries.reviews import _OUT, RESPONSES, SCORER, _answers_sql, _plain, options
 from queries.usage import LOG, event_calls
 from rulelens.operators.match import detect_lines
-from rulelens.plans.storage import run_dir
+from rulelens.plans.storage import materialize, run_dir
 from rulelens.schemas import EMPTY_ANSWER
 from rulelens.schemas import FINDINGS as FINDINGS_SCHEMA
 from rulelens.sources.corpus import documents_corpus
@@ -96,3 +96,64 @@ def usage_stream(spark, sf):
         "total_tokens",
         F.round("total_cost", 6).alias("total_cost"),
     )
+
+
+def _arrive_in_order(rows, home, batches):
+    """Write rows as one file a batch, one after the other, so that a stream takes them in this order."""
+    stored = materialize(rows, "arrivals")
+    for number in range(batches):
+        stored.filter(F.col("_batch") == number).drop("_batch").coalesce(1).write.mode("append").parquet(f"{home}/in")
+    return stored.drop("_batch").schema
+
+
+# Calls arrive by day in three batches; every ninth call of the first two thirds only comes with the last one, and is counted
+# if its day had not been closed by the batch before (a batch closes days by the times of the batches before it).
+@query(
+    "stream_usage_late",
+    LOG
+    + """, spread AS (SELECT min(epoch_us(timestamp)) AS a, max(epoch_us(timestamp)) AS b FROM log),
+dealt AS (SELECT log.*, CASE WHEN epoch_us(timestamp) - a < (b - a) / 3 THEN 0 WHEN epoch_us(timestamp) - a < 2 * ((b - a) / 3) THEN 1
+  ELSE 2 END AS third FROM log, spread),
+placed AS (SELECT *, CASE WHEN third < 2 AND total_tokens % 9 = 0 THEN 2 ELSE third END AS batch FROM dealt),
+marks AS (SELECT b AS batch, (SELECT max(timestamp) FROM placed WHERE batch < b) - INTERVAL 10 MINUTE AS mark FROM range(0, 4) r(b))
+SELECT strftime(date_trunc('day', timestamp), '%Y-%m-%d') AS day, model, CAST(count(*) AS BIGINT) AS calls,
+  CAST(sum(total_tokens) AS BIGINT) AS total_tokens
+FROM placed p JOIN marks m ON m.batch = greatest(p.batch - 1, 0)
+WHERE (mark IS NULL OR date_trunc('day', timestamp) + INTERVAL 1 DAY > mark)
+  AND date_trunc('day', timestamp) + INTERVAL 1 DAY <= (SELECT mark FROM marks WHERE batch = 3) GROUP BY 1, 2""",
+)
+def late_usage(spark, sf):
+    home = run_dir(spark, "stream-late")
+    log = materialize(event_calls(table(spark, sf, "events")), "calls")
+    first, last = log.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
+    at, third = F.unix_micros("timestamp") - first, (last - first) / 3
+    batch = F.when(at < third, 0).when(at < 2 * third, 1).otherwise(2)
+    batch = F.when((batch < 2) & (F.col("total_tokens") % 9 == 0), 2).otherwise(batch)
+    schema = _arrive_in_order(log.withColumn("_batch", batch), home, 3)
+    stream = read_stream(spark, f"{home}/in", schema, maxFilesPerTrigger=1)
+    write_available(stream_usage(stream), f"{home}/out", f"{home}/ck")
+    closed = spark.read.parquet(f"{home}/out")
+    return closed.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "model", "calls", "total_tokens")
+
+
+# Findings arrive in the order of their documents; each comes again with the next batch, and every seventh document's only ten
+# batches late, when its time is past.
+@query(
+    "stream_dedup_late",
+    FINDINGS
+    + """, numbered AS (SELECT *, CAST(split_part(split_part(path, '/', 3), '.', 1) AS BIGINT) AS number FROM findings),
+top AS (SELECT max(number) AS n FROM numbered WHERE number % 7 <> 0)
+SELECT path, start_line, rule_id, issue_id FROM numbered, top WHERE number % 7 <> 0 OR number >= n - 60""",
+)
+def late_findings(spark, sf):
+    home = run_dir(spark, "stream-dedup-late")
+    number = F.split_part(F.split_part("path", F.lit("/"), F.lit(3)), F.lit("."), F.lit(1)).cast("bigint")
+    found = materialize(document_findings(spark, sf).withColumn("_number", number), "findings")
+    found = found.withColumn("detected_at", F.timestamp_seconds(1704067200 + F.col("_number") * 60))
+    last = (F.col("_number") % 7 == 0).cast("int")
+    twice = found.withColumn("_batch", F.explode(F.when(last == 1, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    # A repeat comes a minute after the first, within the delay.
+    schema = _arrive_in_order(twice.drop("_number"), home, 3)
+    stream = read_stream(spark, f"{home}/in", schema, maxFilesPerTrigger=1)
+    write_available(stream_dedup(stream), f"{home}/out", f"{home}/ck")
+    return spark.read.parquet(f"{home}/out").select("path", F.col("start_line").cast("bigint"), "rule_id", "issue_id")

@@ -2,28 +2,38 @@
 
 The transducer reads bytes and emits tokens as soon as no continuation can change them. Two facts make it finite:
 the encoding of any prefix is the encoding of a shorter prefix plus one token, and a sequence of tokens is the
-encoding of its bytes exactly if every neighbouring pair is (`_stable`). So the last token of a position is found
+encoding of its bytes exactly if every neighbouring pair is (`_merged_apart`). So the last token of a position is found
 among the tokens that end there, and a position can start a token later only while the bytes since it open a longer
 token ("live"). What all live positions share of their histories is emitted. A state is the last emitted token and
 the bytes after it; states and moves are made when first needed and kept up to a number.
 """
 
 import base64
+import gc
 import hashlib
 import sys
 from array import array
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_128_digest
 
-from rulelens.llm.texts import text_slices
+from rulelens.llm.texts import slices
 
 # Long texts are worked off in pieces of about so many characters.
 SEGMENT_CHARS = 1 << 20
-MAX_STATES = 350_000
-MAX_CHUNKS = 100_000
+MAX_STATES = 100_000
+# Chunks that are remembered; pre-tokens and pairs of tokens, in each of two generations.
+MAX_CHUNKS = 1_500_000
+MAX_WORDS = 60_000
+MAX_PAIRS = 120_000
+BYTES = [bytes((byte,)) for byte in range(256)]
+# Texts encoded together, in bytes: chunks they share are looked up once.
+TOGETHER_BYTES = 8 << 20
 # Ids decoded at a time.
 DECODE_IDS = 1 << 16
 NEVER = 1 << 60
@@ -44,7 +54,7 @@ class State:
 
     `pending`: the bytes after the last emitted token; `lasts[p]`: last token of the encoding up to pending position
     p (None at the start of a pre-token, False where the last emitted token is no part of it); `live`: positions
-    at which a later token can start; `number`: place in the table of moves, negative if not kept there.
+    at which a later token can start; `number`: place in the table of moves.
     """
 
     __slots__ = ("pending", "lasts", "live", "number", "tail")
@@ -56,7 +66,8 @@ class State:
 class Transducer:
     """Lazily determinised BPE transducer over one pre-token at a time.
 
-    States and moves are kept up to `max_states`; those met later are worked out each time.
+    States and moves are kept up to `max_states`. A pre-token that leaves them after that is finished by the same rules without
+    making states.
     """
 
     def __init__(self, ranks, max_states=MAX_STATES):
@@ -67,7 +78,8 @@ class Transducer:
         # Byte strings that some longer token starts with.
         self.openings = {token[:k] for token in ranks for k in range(1, len(token))}
         self.max_states = max_states
-        self.edges = {}
+        self.edges, self.prefixes = {}, {}
+        self.neighbours = Recent(lambda pair: self._merged_apart(*pair), MAX_PAIRS)
         self.start = State(b"", (None,), (0,), 0)
         self.states, self.moves = {(None, b""): self.start}, {}
 
@@ -101,7 +113,7 @@ class Transducer:
             known = self.edges[token] = tuple([*steps, (part, NEVER)] for part, steps in sides)
         return known
 
-    def _stable(self, left, right):
+    def _merged_apart(self, left, right):
         """Whether two neighbouring tokens stay as they are when their bytes are encoded together.
 
         They do unless the parts that meet at the boundary are merged before either is taken up on its own side;
@@ -123,13 +135,13 @@ class Transducer:
 
     def _step(self, state, byte):
         """Read one byte: the next state, with the tokens that are now certain if there are any."""
-        pending, lasts, openings = state.pending + bytes((byte,)), state.lasts, self.openings
+        pending, lasts, openings, stable = state.pending + BYTES[byte], state.lasts, self.openings, self.neighbours
         size, last, live, paths = len(pending), False, [], 0
         for start in state.live:
             token = pending[start:]
             if last is False and token in self.codes:
                 left = lasts[start]
-                if left is None or self._stable(left, token):
+                if left is None or stable((left, token)):
                     last = self.tokens[token]
             if token in openings:
                 live.append(start)
@@ -149,14 +161,9 @@ class Transducer:
             pending, lasts, live = pending[meet:], lasts[meet:], [p - meet for p in live]
         key = (lasts[0], pending)
         target = self.states.get(key)
-        room = len(self.states) + len(self.moves) < self.max_states
         if target is None:
-            target = State(pending, lasts, tuple(live), len(self.states) if room else -1)
-            if room:
-                self.states[key] = target
-        move = (target, sure) if sure else target
-        if room and state.number >= 0:
-            self.moves[state.number << 8 | byte] = move
+            target = self.states[key] = State(pending, lasts, tuple(live), len(self.states))
+        move = self.moves[state.number << 8 | byte] = (target, sure) if sure else target
         return move
 
     def _history(self, lasts, at):
@@ -167,14 +174,63 @@ class Transducer:
             at -= len(lasts[at])
         return out
 
+    def _shorter(self, token):
+        """The longest token that a token starts with, itself left out; None for single bytes."""
+        known = self.prefixes.get(token, False)
+        if known is False:
+            known = next((token[:k] for k in range(len(token) - 1, 0, -1) if token[:k] in self.codes), None)
+            self.prefixes[token] = known
+        return known
+
+    def _finish(self, state, rest):
+        """Packed tokens of a state's pending bytes and the rest of the pre-token, without making states on the way.
+
+        Takes the longest token that may stand after the one before, and goes back a token where none may. A prefix has one
+        encoding only, so a place that led nowhere is not tried again.
+        """
+        codes, openings, stable, shorter = self.codes, self.openings, self.neighbours, self._shorter
+        data, at, size = state.pending + rest, 0, len(state.pending) + len(rest)
+        tokens, dead, token = [state.lasts[0]], set(), None
+        while at < size:
+            if token is None:  # the longest token from here
+                end = at + 1
+                token = part = data[at:end]
+                while part in openings and end < size:
+                    end += 1
+                    part = data[at:end]
+                    if part in codes:
+                        token = part
+            left = tokens[-1]
+            while token is not None and (at + len(token) in dead or not (left is None or stable((left, token)))):
+                token = shorter(token)
+            if token is None:
+                token = tokens.pop()
+                dead.add(at)
+                at -= len(token)
+                token = shorter(token)
+                while token is None:  # nothing else from there either
+                    token = tokens.pop()
+                    dead.add(at)
+                    at -= len(token)
+                    token = shorter(token)
+            else:
+                tokens.append(token)
+                at += len(token)
+                token = None
+        return b"".join([codes[token] for token in tokens[1:]])
+
     def run(self, data):
         """Ids of one pre-token, packed as little-endian unsigned 32-bit integers."""
         whole = self.codes.get(data)
         if whole is not None:
             return whole
-        out, state, moves = b"", self.start, self.moves
-        for byte in data:
-            move = moves.get(state.number << 8 | byte) or self._step(state, byte)
+        out, state, get = b"", self.start, self.moves.get
+        for at, byte in enumerate(data):
+            move = get(state.number << 8 | byte)
+            if move is None:
+                if len(self.states) + len(self.moves) >= self.max_states:
+                    return out + self._finish(state, data[at:])
+                move = self._step(state, byte)
             if move.__class__ is State:
                 state = move
             else:
@@ -204,19 +260,57 @@ class Recent:
         return value
 
 
+class Chunks:
+    """Packed ids of chunks seen lately, as arrays sorted by 128 bits of hash: far smaller than a dictionary of as many."""
+
+    def __init__(self, size):
+        self.size = size
+        self.clear()
+
+    def clear(self):
+        self.keys = np.zeros((0, 2), np.uint64)
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    @staticmethod
+    def hashes(chunks):
+        return np.frombuffer(b"".join([xxh3_128_digest(chunk) for chunk in chunks]), ">u8").astype(np.uint64).reshape(-1, 2)
+
+    def find(self, keys):
+        """Place of each key, -1 where it is not there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys[:, 0], keys[:, 0]), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys).all(axis=1), at, -1)
+
+    def add(self, keys, packed):
+        """Put in new keys; if there are too many, what was there is dropped."""
+        if len(self.keys) + len(keys) > self.size:
+            self.clear()
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(packed), "<u4")])
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys[:, 0], kind="stable")
+        self.keys = keys[order]
+        self.starts, self.sizes = (np.concatenate(pair)[order] for pair in ((self.starts, starts), (self.sizes, sizes)))
+
+
 class Encoder:
     """Encodes whole texts: pre-tokens by the pattern, each through the transducer.
 
-    A space between two characters that are no white space always starts a pre-token, so texts are cut there and
-    what stands between two such spaces is looked up among the chunks seen lately.
+    `cut_at_spaces` says that with this pattern a space between two characters that are no white space always starts a
+    pre-token. Texts are then cut there, and what stands between two such spaces (a chunk) is encoded once for all texts of a
+    slice and looked up among the chunks seen lately.
     """
 
-    def __init__(self, ranks, pattern, max_chunks=MAX_CHUNKS):
+    def __init__(self, ranks, pattern, max_chunks=MAX_CHUNKS, cut_at_spaces=True):
         self.machine = Transducer(ranks)
-        self.find = regex.compile(pattern).findall
-        self.word = Recent(lambda word: self.machine.run(word.encode()), max_chunks // 2)
-        # Of a chunk after a space, where both its ends are no white space.
-        self.chunk = Recent(lambda chunk: self._pack(" " + chunk), max_chunks)
+        self.regex, self.cut = regex.compile(pattern), cut_at_spaces
+        self.find = self.regex.findall
+        self.word = Recent(lambda word: self.machine.run(word.encode()), min(max_chunks, MAX_WORDS))
+        # Of a chunk after a space, where both its ends are no white space: for single texts, and for many together.
+        self.chunk = Recent(lambda chunk: self._pack(" " + chunk), min(max_chunks, MAX_WORDS))
+        self.chunks = Chunks(max_chunks)
 
     def _pack(self, piece):
         return b"".join(map(self.word, self.find(piece)))
@@ -263,7 +357,54 @@ class Encoder:
 
     def encode(self, text):
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(self.pieces(text)) if text else b""
+        if not text:
+            return b""
+        if not self.cut:
+            return b"".join(self.word(match.group()) for match in self.regex.finditer(text))
+        return b"".join(self.pieces(text))
+
+    def encode_all(self, texts):
+        """As `encode`, of an Arrow column of texts without nulls."""
+        if not self.cut or len(texts) == 1:
+            return pa.array([self.encode(text) for text in texts.to_pylist()], pa.binary())
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        known, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        starts = np.concatenate([[0], ends[:-1]])
+        # A text in which some space is no safe cut is encoded by itself.
+        loose = np.array([not chunk or chunk[0].isspace() or chunk[-1].isspace() for chunk in known], bool)
+        alone = np.add.reduceat(loose[code], starts) > 0
+        first = np.zeros(len(code), bool)
+        first[starts] = True
+        text_of = np.repeat(np.arange(len(starts)), ends - starts)
+        needed = np.zeros(len(known), bool)
+        needed[code[~first & ~alone[text_of]]] = True
+        wanted = np.flatnonzero(needed)
+        keys = Chunks.hashes([known[i] for i in wanted])
+        at = self.chunks.find(keys)
+        if (at < 0).any():
+            fresh = wanted[at < 0] if len(self.chunks.keys) + (at < 0).sum() <= self.chunks.size else wanted
+            self.chunks.add(keys[np.searchsorted(wanted, fresh)], [self._pack(" " + known[i]) for i in fresh])
+            at = self.chunks.find(keys)
+        # A text's first chunk has no space before it; it stands at its own place behind all others.
+        own = []
+        for i, text in enumerate(texts.to_pylist() if alone.any() else [None] * len(starts)):
+            own.append(self.encode(text) if alone[i] else self._pack(known[code[starts[i]]]))
+        sizes, places = np.zeros(len(known) + len(own), np.int64), np.zeros(len(known) + len(own), np.int64)
+        sizes[wanted], places[wanted] = self.chunks.sizes[at], self.chunks.starts[at]
+        sizes[len(known) :] = np.fromiter(map(len, own), np.int64, len(own)) >> 2
+        places[len(known) :] = len(self.chunks.ids) + np.cumsum(sizes[len(known) :]) - sizes[len(known) :]
+        flat = np.concatenate([self.chunks.ids, np.frombuffer(b"".join(own), "<u4")])
+        code = code.astype(np.int64)
+        code[starts] = len(known) + np.arange(len(starts))
+        code, text_of = code[first | ~alone[text_of]], text_of[first | ~alone[text_of]]
+        many = sizes[code]
+        at = np.repeat(places[code] - (np.cumsum(many) - many), many)
+        at += np.arange(len(at))
+        ids = flat[at]
+        offsets = np.concatenate([[0], 4 * np.cumsum(np.bincount(text_of, many, len(starts)).astype(np.int64))]).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
 
 
 class Utf8Stream:
@@ -308,44 +449,48 @@ class Decoder:
 _MACHINES = {}
 
 
-def _machines(data, pattern):
+def _machines(data, pattern, cut_at_spaces):
     """Encoder and decoder of a worker process, kept from task to task."""
-    key = hashlib.sha256(data + pattern.encode()).digest()
+    key = hashlib.sha256(data + pattern.encode()).digest(), cut_at_spaces
     if key not in _MACHINES:
         _MACHINES.clear()
         ranks = parse_ranks(data)
-        _MACHINES[key] = Encoder(ranks, pattern), Decoder(ranks)
+        _MACHINES[key] = Encoder(ranks, pattern, cut_at_spaces=cut_at_spaces), Decoder(ranks)
     return _MACHINES[key]
 
 
-def encode_decode(docs, ranks, pattern, id_col="doc_id", text_col="text"):
+def encode_decode(docs, ranks, pattern, id_col="doc_id", text_col="text", cut_at_spaces=False):
     """Encode every text and decode the ids again: `(id, ids, decoded)`.
 
     `ranks` is the content of a rank file (bytes), which bounds what is broadcast. `ids` is binary: little-endian
     unsigned 32-bit integers, see `unpack_ids`. No special tokens: their strings are ordinary text. A null or empty
     text has no ids and decodes to an empty text. Rows map one to one, repeated ones and null ids included; other
-    columns are not looked at.
+    columns are not looked at. `cut_at_spaces` is much faster and right only for patterns that always start a match at a
+    space between two characters that are no white space.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     data = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def convert(batches):
-        encoder, decoder = _machines(data.value, pattern)
-        for batch in batches:
-            for at, texts in text_slices(batch, "text"):
-                ids = [encoder.encode(text) for text in texts]
-                columns = [batch["id"].slice(at, len(ids)), pa.array(ids, pa.binary())]
-                columns.append(pa.array([decoder.decode(packed) for packed in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "decoded"])
+        encoder, decoder = _machines(data.value, pattern, cut_at_spaces)
+        gc.disable()  # states refer to no states: nothing here is a cycle, and there are very many of them to look through
+        try:
+            for batch in batches:
+                for at, n in slices(batch, "text", TOGETHER_BYTES):
+                    ids = encoder.encode_all(batch["text"].slice(at, n))
+                    decoded = pa.array([decoder.decode(packed.as_buffer()) for packed in ids], pa.string())
+                    yield pa.RecordBatch.from_arrays([batch["id"].slice(at, n), ids, decoded], names=["id", "ids", "decoded"])
+        finally:
+            gc.enable()
 
     schema = T.StructType([*rows.schema.fields[:1], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
     out = rows.mapInArrow(convert, schema)
     return out.withColumnRenamed("id", id_col)
 
 
-def encode(docs, ranks, pattern, id_col="doc_id", text_col="text"):
+def encode(docs, ranks, pattern, id_col="doc_id", text_col="text", cut_at_spaces=False):
     """`(id, ids)` with ids as an array of integers."""
-    packed = encode_decode(docs, ranks, pattern, id_col, text_col)
+    packed = encode_decode(docs, ranks, pattern, id_col, text_col, cut_at_spaces)
     return packed.select(id_col, unpack_ids(F.col("ids")).alias("ids"))
 
 

@@ -45,7 +45,7 @@ def rank_file(name="byte_bpe_50k.tiktoken"):
 
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark, sf):
-    coded = encode_decode(table(spark, sf, "documents"), rank_file(), public_tokenizers.PATTERN)
+    coded = encode_decode(table(spark, sf, "documents"), rank_file(), public_tokenizers.PATTERN, cut_at_spaces=True)
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("bigint").alias("n_tokens"),

@@ -34,7 +34,7 @@ def contamination_stage(spark, docs, sf_dir):
 
 def token_stage(spark, docs, sf_dir):
     """Token ids of every document, with digests of the ids and of the text they decode to."""
-    coded = encode_decode(docs, rank_file(), public_tokenizers.PATTERN)
+    coded = encode_decode(docs, rank_file(), public_tokenizers.PATTERN, cut_at_spaces=True)
     return coded.select(
         "doc_id",
         F.col("decoded").alias("text"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from queries.base import (
     CAPPED,
+    DOCS,
     PARTED,
     FINDINGS,
     RULES,
@@ -29,6 +30,7 @@ from rulelens.operators.findings import (
     findings_of_packs,
     limit_per_path,
 )
+from rulelens.operators.outline import prose_spans, section_context
 from rulelens.operators.spans import enclosing_span
 from rulelens.packs import HOUSE, PACKS
 from rulelens.plans.storage import materialize
@@ -298,3 +300,58 @@ def roundtrip(spark, sf):
         "f.confidence",
         "f.source",
     )
+
+
+# The documents with a heading before every sixth line and a blank line before every fourth.
+_PROSE = """split AS (SELECT path, string_split(regexp_replace(content, '\\n$', ''), chr(10)) AS ls FROM docs),
+made AS (SELECT path, flatten(list_transform(ls, lambda x, i: list_concat(
+  CASE WHEN i % 12 = 1 THEN ['# Part ' || (i // 12)] WHEN i % 6 = 1 THEN ['## Half ' || (i // 6)] ELSE [] END,
+  CASE WHEN i % 4 = 1 THEN [''] ELSE [] END, [x]))) AS ls FROM split),
+mlines AS MATERIALIZED (SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) AS n, len(ls) AS size FROM made),
+kinds AS MATERIALIZED (SELECT *, CASE WHEN starts_with(line, '# Part ') THEN 1 WHEN starts_with(line, '## Half ') THEN 2 ELSE 0 END AS depth FROM mlines),
+sections AS MATERIALIZED (SELECT path, line AS title, depth, n AS first, coalesce(lead(n) OVER (PARTITION BY path ORDER BY n), size + 1) - 1 AS next_any,
+  coalesce(min(CASE WHEN depth = 1 THEN n END) OVER (PARTITION BY path ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), size + 1) - 1 AS next_part
+  FROM kinds WHERE depth > 0)"""
+
+
+def _prose(spark, sf):
+    lines = F.split(F.regexp_replace("content", r"\n\z", ""), "\n")
+
+    def with_marks(x, i):
+        number = i + 1
+        none = F.array().cast("array<string>")
+        part = F.concat(F.lit("# Part "), F.floor(number / 12).cast("string"))
+        half = F.concat(F.lit("## Half "), F.floor(number / 6).cast("string"))
+        head = F.when(number % 12 == 1, F.array(part)).when(number % 6 == 1, F.array(half)).otherwise(none)
+        return F.concat(head, F.when(number % 4 == 1, F.array(F.lit(""))).otherwise(none), F.array(x))
+
+    text = F.array_join(F.flatten(F.transform(lines, with_marks)), "\n")
+    return materialize(documents(spark, sf).select("path", text.alias("content")), "prose")
+
+
+@query(
+    "prose_sections",
+    f"""WITH {DOCS}, {_PROSE}
+SELECT path, CASE depth WHEN 1 THEN substr(title, 3) ELSE substr(title, 4) END AS name, CAST(depth AS BIGINT) AS depth,
+  CAST(first AS BIGINT) AS start_line, CAST(CASE depth WHEN 1 THEN next_part ELSE next_any END AS BIGINT) AS end_line FROM sections""",
+)
+def sections_of_prose(spark, sf):
+    spans = prose_spans(_prose(spark, sf)).filter("kind = 'section'")
+    return spans.select("path", "name", *[F.col(c).cast("bigint") for c in ("depth", "start_line", "end_line")])
+
+
+@query(
+    "section_context",
+    f"""WITH {DOCS}, {_PROSE}, points AS (SELECT path, n FROM kinds WHERE n % 5 = 2),
+around AS (SELECT p.path, p.n, string_agg(CASE depth WHEN 1 THEN substr(title, 3) ELSE substr(title, 4) END, ' / ' ORDER BY first) AS names
+  FROM points p JOIN sections s ON s.path = p.path AND s.first <= p.n AND p.n <= CASE depth WHEN 1 THEN next_part ELSE next_any END GROUP BY 1, 2)
+SELECT path, CAST(n AS BIGINT) AS start_line, 'in section ' || names AS context FROM points JOIN around USING (path, n)
+WHERE EXISTS (SELECT 1 FROM kinds k WHERE k.path = points.path AND k.n = points.n)""",
+)
+def context_in_sections(spark, sf):
+    """The sections around every fifth line, against a join of all lines with all sections of their text."""
+    prose = _prose(spark, sf)
+    points = prose.select("path", F.posexplode(F.split("content", "\n")).alias("at", "line")).filter("(at + 1) % 5 = 2")
+    points = points.select("path", (F.col("at") + 1).alias("start_line"), F.concat_ws(":", "path", "at").alias("issue_id"), F.lit(None).cast("string").alias("context"))
+    found = section_context(materialize(points, "points"), prose)
+    return found.select("path", F.col("start_line").cast("bigint"), "context")

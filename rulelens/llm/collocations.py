@@ -4,8 +4,8 @@ Texts are read four times, each time by tasks that hold tables of bounded size:
 
 1. every word of a language is counted, and how many sequences each hash partition gets (its mass);
 2. Misra-Gries summaries of all pairs of frequent words, 3. of all longer sequences made of pairs that may be frequent:
-   each hash partition has more counters than its mass divided by the threshold, so the sum of all decrements of a
-   partition stays below the threshold, and what is frequent keeps a counter;
+   each hash partition has several times as many counters as its mass divided by the threshold, so the sum of all
+   decrements of a partition stays below a share of the threshold, and what is frequent keeps a counter;
 4. sequences that may be frequent are counted exactly, as texts.
 
 Summaries merge by adding counters and decrements; a task that reaches its memory bound hands its summary over and begins
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rulelens.llm.texts import PRIME, Words, mix, signed, slices
+from rulelens.llm.texts import PRIME, Words, arrow_list, mix, signed, slices
 from rulelens.plans.joins import lookup_join
 from rulelens.plans.storage import materialize
 
@@ -28,10 +28,16 @@ UNNAMED = "und"
 # A key's first bits are its hash partition.
 PARTITION_BITS = 6
 PARTITIONS = 1 << PARTITION_BITS
+# Counters of a partition: so many times its mass divided by the threshold. The more, the fewer candidates there are in vain.
+CAPACITY = 8
 # Counters a task keeps, and keys it gathers before they are added to them.
 MAX_COUNTERS, BUFFERED = 2_000_000, 1_000_000
 # Bits of a sieve: at least so many for each member, as far as the bound allows.
 SIEVE_BITS_EACH, MIN_SIEVE, MAX_SIEVE = 32, 1 << 16, 1 << 26
+# Rows a task adds up before it hands them over.
+MAX_ROWS = 500_000
+# Occurrences for each range of phrases that are added up together.
+RANGE_MASS = 1 << 22
 SALTS = 64
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -184,6 +190,25 @@ def _pieces(batches):
             yield Pieces(batch["text"].slice(at, n), batch["lang"].slice(at, n))
 
 
+def _added_up(batches, keys):
+    """Rows with a count `n`, added up by their keys in the task; handed over when there are too many of them."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) > 2 * MAX_ROWS:
+            held = _summed(held, keys)
+            if len(held[0]) > MAX_ROWS:
+                yield from held
+                held = []
+    if held:
+        yield from _summed(held, keys)
+
+
+def _summed(batches, keys):
+    added = pa.Table.from_batches(batches).group_by(keys).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
+    return added.select(batches[0].schema.names).combine_chunks().to_batches() or [batches[0].slice(0, 0)]
+
+
 def _distinct(columns):
     """First row of each distinct combination of the columns, and how often it is there."""
     order = np.lexsort(columns)
@@ -197,9 +222,9 @@ def _distinct(columns):
 
 
 def _words_and_masses(longest):
-    """Rows `(lang, word, n, kind, part)`: words of a slice, and masses of a task (kind 2 for pairs, 3 for longer)."""
+    """Rows `(lang, word, n, kind, part)`: words, and masses of a task (kind 2 for pairs, 3 for longer)."""
 
-    def convert(batches):
+    def rows(batches):
         mass = np.zeros((2, PARTITIONS), np.int64)
         for words in _pieces(batches):
             for n in range(2, longest + 1):
@@ -218,7 +243,7 @@ def _words_and_masses(longest):
             names=["lang", "word", "n", "kind", "part"],
         )
 
-    return convert
+    return lambda batches: _added_up(rows(batches), ["lang", "word", "kind", "part"])
 
 
 def _summaries(shared, sizes, base, capacity):
@@ -240,7 +265,7 @@ def _summaries(shared, sizes, base, capacity):
 def _candidates(rows, shared, sizes, base, mass, least):
     """Stored keys that may have `least` occurrences."""
     spark = rows.sparkSession
-    capacity = mass // least + 1
+    capacity = CAPACITY * mass // least + 1
     convert = _summaries(shared, sizes, base, capacity)
     rows = materialize(rows.mapInArrow(convert, "part int, key bigint, n bigint, cut bigint"), "summaries")
     cuts = rows.filter("key is null").groupBy("part").agg(F.sum("cut").alias("cut")).collect()
@@ -251,10 +276,14 @@ def _candidates(rows, shared, sizes, base, mass, least):
     return materialize(able.select("key"), "candidates")
 
 
-def _phrase_counts(shared, longest):
-    """Rows `(lang, phrase, n)`: the sequences of a slice that may be in the sieve, counted as texts."""
+def _phrase_counts(shared, longest, ranges):
+    """Rows `(range, lang, phrase, n)` of lists: the sequences of a task that may be in the sieve, counted as texts and dealt
+    to ranges by their hash.
 
-    def convert(batches):
+    A frequent sequence is in most tasks; as lists its counts travel as columns, a row for each task and range.
+    """
+
+    def rows(batches):
         sieve = Sieve(*shared.value)
         for words in _pieces(batches):
             for n in range(2, longest + 1):
@@ -270,6 +299,27 @@ def _phrase_counts(shared, longest):
                     [words.langs.take(pa.array(words.lang[at])), phrase, pa.array(counts)], names=["lang", "phrase", "n"]
                 )
 
+    def convert(batches):
+        for batch in _added_up(rows(batches), ["lang", "phrase"]):
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, batch["phrase"].to_pylist()), np.uint64, len(batch))
+            of = (hashes % np.uint64(ranges)).astype(np.int32)
+            order = np.argsort(of, kind="stable")
+            filled, first = np.unique(of[order], return_index=True)
+            offsets = np.append(first, len(of))
+            lists = [arrow_list(batch[c].take(pa.array(order)), offsets) for c in ("lang", "phrase", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array(filled), *lists], names=["range", "lang", "phrase", "n"])
+
+    return convert
+
+
+def _frequent(least):
+    """Of one range: the sequences with at least `least` occurrences in all tasks together."""
+
+    def convert(table):
+        flat = pa.table({c: table[c].combine_chunks().flatten() for c in ("lang", "phrase", "n")})
+        added = flat.group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "f"])
+        return added.filter(pc.greater_equal(added["f"], least))
+
     return convert
 
 
@@ -303,8 +353,11 @@ def phrase_counts(docs, least=100, longest=LONGEST, text_col="text", lang_col="l
     if longest > 2:
         longer = _candidates(rows, share(sieve_of(pairs)), range(3, longest + 1), 2, mass[1], least)
         able = pairs.unionByName(longer)
-    counted = rows.mapInArrow(_phrase_counts(share(sieve_of(able)), longest), "lang string, phrase string, n bigint")
-    counted = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    ranges = int(mass.sum()) // RANGE_MASS + 1
+    counted = rows.mapInArrow(
+        _phrase_counts(share(sieve_of(able)), longest, ranges), "range int, lang array<string>, phrase array<string>, n array<bigint>"
+    )
+    counted = counted.groupBy("range").applyInArrow(_frequent(least), "lang string, phrase string, f bigint")
     return materialize(counted, "phrases"), words
 
 

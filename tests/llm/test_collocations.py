@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import UPPER
 
@@ -74,8 +75,8 @@ def test_equals_the_definition(spark, least, longest, top):
     assert sorted(map(tuple, got.collect())) == expected(rows, least, longest, top)
 
 
-def test_every_frequent_sequence_survives_small_summaries(spark, monkeypatch):
-    monkeypatch.setattr(own, "BUFFERED", 50)
+def test_every_frequent_sequence_is_counted(spark, monkeypatch):
+    monkeypatch.setattr(own, "RANGE_MASS", 500)
     rows = texts(9, 400)
     phrases, words = phrase_counts(frame(spark, rows, 6), 6, 4)
     found = counted(rows, 4)
@@ -108,6 +109,22 @@ def test_merged_summaries_keep_the_frequent_and_cut_the_rest():
         assert total[key] <= 60 <= total[key] + cut[key >> (64 - own.PARTITION_BITS)]
 
 
+def test_rows_are_added_up_in_parts(monkeypatch):
+    monkeypatch.setattr(own, "MAX_ROWS", 10)
+    rnd = random.Random(1)
+    want, batches = Counter(), []
+    for _ in range(40):
+        some = [(rnd.choice("ab"), str(rnd.randint(0, 30)), rnd.randint(1, 5)) for _ in range(9)]
+        for lang, phrase, n in some:
+            want[lang, phrase] += n
+        batches.append(pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*some)], names=["lang", "phrase", "n"]))
+    got = Counter()
+    for batch in own._added_up(iter(batches), ["lang", "phrase"]):
+        for row in batch.to_pylist():
+            got[row["lang"], row["phrase"]] += row["n"]
+    assert got == want and list(own._added_up(iter([]), ["lang"])) == []
+
+
 def test_empty_tables_and_ties(spark):
     assert collocations(frame(spark, []), 2).count() == 0
     rows = [("b a. a b. c d", "en")] * 3

@@ -176,6 +176,21 @@ def _found(batches):
         yield pa.RecordBatch.from_arrays([c.filter(later) for c in columns], names=["id", "place", "run", "k", "ref_id", "ref_start"])
 
 
+def _segments(batches):
+    """From found windows sorted by id, run and place: windows in a row whose reference goes on, as one row with their number."""
+    names = ["id", "place", "run", "k", "ref_id", "ref_start"]
+    for batch in batches:
+        if not len(batch):
+            continue
+        ids, place, run, _, ref_id, ref = (batch[c].to_numpy() for c in names)
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (run[1:] != run[:-1]) | (place[1:] != place[:-1] + 1)
+        new[1:] |= (ref_id[1:] != ref_id[:-1]) | (ref[1:] != ref[:-1] + 1)
+        first = np.flatnonzero(new)
+        many = np.diff(np.append(first, len(ids))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(first)) for c in names), pa.array(many)], names=[*names, "n"])
+
+
 def _matched(words, found, window):
     """Places of the windows that were found, in order, with their reference; runs are checked against the text, as an id
     may have several."""
@@ -184,14 +199,18 @@ def _matched(words, found, window):
     if not len(flat) or not len(places):
         return (np.zeros(0, np.int64),) * 3
     row = np.repeat(np.arange(len(found)), pc.fill_null(found.value_lengths(), 0).to_numpy(zero_copy_only=False))
-    place, run, k, ref_id, ref_start = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+    place, run, k, ref_id, ref_start, many = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+    # Each window of a segment by itself.
+    row, place, run, k, ref_id, ref_start = (np.repeat(x, many) for x in (row, place, run, k, ref_id, ref_start))
+    step = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    place, k, ref_start = place + step, k + step, ref_start + step
     starts = _runs(words, places, anchors)
     digests = signed(_digest(full, np.append(starts, len(places))))
     begin = words.first[row] + place - k
     at = np.minimum(np.searchsorted(places[starts], begin), len(starts) - 1)
     good = (places[starts[at]] == begin) & (digests[at] == run) & (begin < words.first[row + 1])
     at, first = np.unique((begin + k)[good], return_index=True)
-    return at, ref_id[good][first], ref_start[good][first].astype(np.int64)
+    return at, ref_id[good][first], ref_start[good][first]
 
 
 def _factors(words, found, window):
@@ -261,8 +280,10 @@ def _parse(docs, rest, window, cut, id_col, text_col):
     found = windows.sortWithinPartitions("anchor", "window", "id", "place").mapInArrow(
         _found, "id bigint, place int, run bigint, k int, ref_id bigint, ref_start int"
     )
-    # At most one entry for each word of the document.
-    listed = found.groupBy("id").agg(F.collect_list(F.struct("place", "run", "k", "ref_id", "ref_start")).alias("found"))
+    segments = found.repartition("id").sortWithinPartitions("id", "run", "place").mapInArrow(
+        _segments, "id bigint, place int, run bigint, k int, ref_id bigint, ref_start int, n int"
+    )
+    listed = segments.groupBy("id").agg(F.collect_list(F.struct("place", "run", "k", "ref_id", "ref_start", "n")).alias("found"))
     joined = placed.join(listed, "id", "left")
     kind = dict(joined.dtypes)["rest"]
     schema = f"id bigint, rest {kind}, n_words bigint, n_removed bigint, factors array<struct<{FACTOR}>>, text string"

@@ -26,9 +26,9 @@ from rulelens.llm.texts import slices
 
 # Long texts are worked off in pieces of about so many characters.
 SEGMENT_CHARS = 1 << 20
-MAX_STATES = 100_000
+MAX_STATES = 60_000
 # Chunks that are remembered; pre-tokens and pairs of tokens, in each of two generations.
-MAX_CHUNKS = 1_500_000
+MAX_CHUNKS = 1_000_000
 MAX_WORDS = 60_000
 MAX_PAIRS = 120_000
 BYTES = [bytes((byte,)) for byte in range(256)]

@@ -21,7 +21,8 @@ from rulelens.streaming.streams import (
 
 
 def _stream(spark, sf, name):
-    return read_stream(spark, sf, table(spark, sf, name).schema, f"{name}.parquet")
+    # As a glob, the name stands for a table that is one file and for one that is a folder of files.
+    return read_stream(spark, f"{sf}/{{{name}}}.parquet", table(spark, sf, name).schema)
 
 
 @query("stream_review", f"WITH {DOCS}, {applicable_sql('docs')}, {_answers_sql('docs')} SELECT {_OUT} FROM fresh_findings")

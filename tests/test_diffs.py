@@ -1,10 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 from helpers import finding, findings_df
 
 from rulelens.functions.linediff import changes, common_lines, hunks
-from rulelens.sources.diffs import diff_hunks, on_changed_lines, renamed_rows
+from rulelens.sources.diffs import _diffs, diff_hunks, on_changed_lines, renamed_rows
 
 
 def longest(a, b):
@@ -97,3 +98,14 @@ def test_many_equal_texts_are_paired_one_to_one(corpus):
     old, new = (corpus([(f"{side}/{i:03d}", "") for i in range(n)]) for side, n in (("o", 70), ("n", 50)))
     got = sorted((r["old_path"], r["path"]) for r in renamed_rows(old, new).collect())
     assert got == [(f"o/{i:03d}", f"n/{i:03d}") for i in range(50)]
+
+
+def test_results_leave_a_task_in_pieces():
+    rows = [(f"{i}.py", i == 2, None if i == 2 else ["a", "b"], ["a", "c" * 9, f"{i}"]) for i in range(5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*rows)], ["path", "is_new", "before", "after"])
+    whole, pieces = (list(_diffs(1, together)([batch])) for together in (1 << 20, 12))
+    assert [b.num_rows for b in whole] == [5] and [b.num_rows for b in pieces] == [1] * 5
+    got = [row for b in pieces for row in b.to_pylist()]
+    assert got == whole[0].to_pylist() and [row["path"] for row in got] == [row[0] for row in rows]
+    assert got[0]["changed"] == [{"first_line": 2, "last_line": 3}]
+    assert got[2]["hunks"] == [{"start_line": 1, "end_line": 3, "content": "a\nccccccccc\n2", "header": ""}]

@@ -1,3 +1,5 @@
+from queries.changes import edited
+from rulelens.plans.storage import run_dir
 from rulelens.sources.changes import changed_rows, mark_new, parse_hunks
 
 PATCH = """diff --git a/m.py b/m.py
@@ -46,3 +48,14 @@ def test_changes(corpus):
 def test_mark_new(corpus):
     got = mark_new(corpus([("a", ""), ("b", "")]), corpus([("a", "x"), ("a", "y")])).collect()
     assert {r["path"]: r["is_new"] for r in got} == {"a": False, "b": True}
+
+
+def test_edited_texts_are_split_once(spark):
+    home = run_dir(spark, "edited")
+    rows = [(i, "src0", "en", f"a{i}\nb\nc\n" if i % 2 else f"a{i}\nb") for i in range(1, 14)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{home}/documents.parquet")
+    later = edited(spark, home)
+    assert later._jdf.queryExecution().optimizedPlan().toString().count("split(regexp_replace(") == 1
+    got = {r["path"].removeprefix("src0/en/"): r["content"] for r in later.collect()}
+    assert len(got) == 13 and "11.txt" not in got and got["new-13.txt"] == got["13.txt"] == "a13\nb\nc\n"
+    assert got["3.txt"] == "a3 edited 3\nb\nc" and got["6.txt"] == "a6 edited 6\nb\nadded 6" and got["1.txt"] == "a1\nb\nc\n"

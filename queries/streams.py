@@ -25,6 +25,23 @@ def _stream(spark, sf, name):
     return read_stream(spark, f"{sf}/{{{name}}}.parquet", table(spark, sf, name).schema)
 
 
+def _arrive_in_order(rows, home, batches, start):
+    """Let stored `rows` arrive by their `_batch`, each batch as many files; `start` takes the stream of them on to its end.
+
+    The stream is stopped after each batch and goes on from its checkpoint. Batches without rows of their own follow only the
+    last one, so that the times of a batch count as in a stream that was never stopped.
+    """
+    spark, name = rows.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    schema, before = rows.drop("_batch").schema, spark.conf.get(name)
+    try:
+        for number in range(batches):
+            rows.filter(F.col("_batch") == number).drop("_batch").write.mode("append").parquet(f"{home}/in")
+            spark.conf.set(name, before if number == batches - 1 else "false")
+            start(read_stream(spark, f"{home}/in", schema))
+    finally:
+        spark.conf.set(name, before)
+
+
 @query("stream_review", f"WITH {DOCS}, {applicable_sql('docs')}, {_answers_sql('docs')} SELECT {_OUT} FROM fresh_findings")
 def reviewed_stream(spark, sf):
     home = run_dir(spark, "stream-review")
@@ -54,12 +71,14 @@ def reviewed_by_state(spark, sf):
     """Documents arrive in three batches; texts that were answered in one are not asked for in the next."""
     home = run_dir(spark, "stream-state")
     docs = documents_corpus(table(spark, sf, "documents")).select("path", "content")
-    part = F.pmod(F.xxhash64("path"), F.lit(3))
-    docs.repartitionByRange(3, part).write.parquet(f"{home}/in")
-    stream = read_stream(spark, f"{home}/in", "path string, content string", maxFilesPerTrigger=1)
-    with keyed_state(spark):
+    docs = docs.withColumn("_batch", F.pmod(F.xxhash64("path"), F.lit(3)))
+
+    def go_on(stream):
         outcomes = review_outcomes(stream, RULES, _first_response(RESPONSES, EMPTY_ANSWER))
         write_available(outcomes, f"{home}/out", f"{home}/ck")
+
+    with keyed_state(spark):
+        _arrive_in_order(docs, home, 3, go_on)
     found = findings_of_outcomes(spark.read.schema(OUTCOME).parquet(f"{home}/out"), PACK_NAME)
     return found.select("path", "rule_id", "level", F.col("start_line").cast("bigint"), "title").distinct()
 
@@ -99,14 +118,6 @@ def usage_stream(spark, sf):
     )
 
 
-def _arrive_in_order(rows, home, batches):
-    """Write rows as one file a batch, one after the other, so that a stream takes them in this order."""
-    stored = materialize(rows, "arrivals")
-    for number in range(batches):
-        stored.filter(F.col("_batch") == number).drop("_batch").coalesce(1).write.mode("append").parquet(f"{home}/in")
-    return stored.drop("_batch").schema
-
-
 # Calls arrive by day in three batches; every ninth call of the first two thirds only comes with the last one, and is counted
 # if its day had not been closed by the batch before (a batch closes days by the times of the batches before it).
 @query(
@@ -130,9 +141,9 @@ def late_usage(spark, sf):
     at, third = F.unix_micros("timestamp") - first, (last - first) / 3
     batch = F.when(at < third, 0).when(at < 2 * third, 1).otherwise(2)
     batch = F.when((batch < 2) & (F.col("total_tokens") % 9 == 0), 2).otherwise(batch)
-    schema = _arrive_in_order(log.withColumn("_batch", batch), home, 3)
-    stream = read_stream(spark, f"{home}/in", schema, maxFilesPerTrigger=1)
-    write_available(stream_usage(stream), f"{home}/out", f"{home}/ck")
+    _arrive_in_order(
+        log.withColumn("_batch", batch), home, 3, lambda stream: write_available(stream_usage(stream), f"{home}/out", f"{home}/ck")
+    )
     closed = spark.read.parquet(f"{home}/out")
     return closed.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "model", "calls", "total_tokens")
 
@@ -154,7 +165,7 @@ def late_findings(spark, sf):
     last = (F.col("_number") % 7 == 0).cast("int")
     twice = found.withColumn("_batch", F.explode(F.when(last == 1, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))))
     # A repeat comes a minute after the first, within the delay.
-    schema = _arrive_in_order(twice.drop("_number"), home, 3)
-    stream = read_stream(spark, f"{home}/in", schema, maxFilesPerTrigger=1)
-    write_available(stream_dedup(stream), f"{home}/out", f"{home}/ck")
+    _arrive_in_order(
+        twice.drop("_number"), home, 3, lambda stream: write_available(stream_dedup(stream), f"{home}/out", f"{home}/ck")
+    )
     return spark.read.parquet(f"{home}/out").select("path", F.col("start_line").cast("bigint"), "rule_id", "issue_id")

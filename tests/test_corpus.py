@@ -4,6 +4,8 @@ from pathlib import PurePosixPath
 
 import pytest
 
+from rulelens.plans.storage import materialize
+from rulelens.sources import corpus as sources
 from rulelens.sources.corpus import corpus_scan, drop_ignored, exclude_paths, include_paths
 from rulelens.sources.files import list_tree, read_text_files, with_corpus_defaults, write_text_files
 
@@ -109,3 +111,12 @@ def test_written_files_are_read_back(spark, tmp_path):
     assert write_text_files(frame, str(tmp_path / "out")) == 4
     assert rows(read_text_files(spark, str(tmp_path / "out"))) == {"a/b.py": "x\ny", "_u.py": "", "c.py": "two"}
     assert write_text_files(frame.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_small_inputs_are_moved_in_parts_of_bounded_size(spark, corpus, monkeypatch):
+    rows = materialize(corpus([(f"{i}.py", f"{i} x") for i in range(200)]), "rows")
+    assert sources.spread_small(rows, "path").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(sources, "SPREAD_BYTES", 50)
+    spread = sources.spread_small(rows, "path")
+    assert spread.rdd.getNumPartitions() > 4 * spark.sparkContext.defaultParallelism
+    assert sorted(spread.collect()) == sorted(rows.collect())

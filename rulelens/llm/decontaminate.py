@@ -24,10 +24,11 @@ def _small(df):
 
 def _words(column):
     """Words of a text as an array; null and wordless texts have an empty one."""
-    text = F.translate(F.coalesce(column, F.lit("")), UPPER, UPPER.lower())
-    # Not `$`, which also stands before a final U+0085, U+2028 or U+2029: these are words.
-    bare = F.regexp_replace(text, f"^{BREAK}|{BREAK}\\z", "")
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BREAK, -1))
+    text = F.coalesce(column, F.lit(""))
+    # Where all is ASCII the quick `lower` does the same.
+    small = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+    # Only before the first and after the last word a piece can be empty.
+    return F.array_remove(F.split(small, BREAK, -1), "")
 
 
 def benchmark_items(items, window=WINDOW, id_col="item_id", text_col="text"):

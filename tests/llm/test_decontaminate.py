@@ -1,7 +1,9 @@
 import random
+import re
 
 import pytest
 from brute import phrase_hits
+from pyspark.sql import functions as F
 
 from rulelens.llm import decontaminate
 
@@ -54,3 +56,12 @@ def test_a_line_separator_at_the_end_is_a_word(spark):
     want = {i: phrase_hits(t, items) for i, t in data}
     assert got == {i: (n, len(hit), names) for i, (n, hit, names) in want.items()}
     assert got[0] == (4, 3, ["7"])
+
+
+def test_words_are_cut_in_one_pass(spark):
+    _words, UPPER = decontaminate._words, decontaminate.UPPER
+    texts = [None, "", " .,", "One TWO", "-One\tTWO3-", "Ünd ÄB_c\u0085", "\u2028x.", "İX K"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(_words(F.col("text")).alias("words"))
+    assert "regexp_replace" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    small = str.maketrans(UPPER, UPPER.lower())
+    assert [r["words"] for r in rows.collect()] == [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(small)) for t in texts]
